@@ -106,10 +106,11 @@ def parse_mixed_timestamp(readings: DataFrame, source: str, target: str | None =
     )
     staged = staged.withColumn("__moment", F.coalesce(F.col("__iso"), loose))
     moment = F.when(F.year("__moment") <= 9999, F.col("__moment"))
-    columns = [moment.alias(target) if name == target else F.col(name) for name in kept]
-    if target not in kept:
-        columns.append(moment.alias(target))
-    return staged.select(*columns)
+    # A later filter on the result stops at this explode of one element. Pushed further down, it
+    # would hold a copy of every step above.
+    parsed = F.explode(F.array(moment)).alias(target)
+    columns = [parsed if name == target else F.col(name) for name in kept]
+    return staged.select(*columns, *([] if target in kept else [parsed]))
 
 
 def date_parts(moment: Column) -> dict[str, Column]:

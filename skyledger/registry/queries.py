@@ -156,24 +156,19 @@ def rows_to_frame(spark, folder):
 
 @query
 def model_store(spark, folder):
-    """Predictions before saving against predictions after loading."""
+    """Each test row is scored by the model and by its saved and loaded copy."""
     model = inputs.forest(spark, folder)
     path = scratch_folder(spark, "model")
     models.save_model(model, path)
     models.save_model(model, path)
     loaded = models.load_model(spark, path)
-    vectors = inputs.test_vectors(spark, folder)
-    before = forest.predict(model, vectors)
-    both = loaded.setPredictionCol("again").setProbabilityCol("p").setRawPredictionCol("r")
-    compared = both.transform(vectors.withColumn("first", F.lit(0)))
-    before = before.groupBy("prediction").agg(F.count("*").alias("n_before"))
-    after = compared.groupBy(F.col("again").cast("int").alias("prediction")).agg(
-        F.count("*").alias("n_after")
-    )
-    joined = before.join(after, "prediction", "full")
-    return joined.agg(
-        F.sum("n_before").alias("n_rows"),
-        F.sum(F.when(F.col("n_before") == F.col("n_after"), F.col("n_after")).otherwise(0)).alias("n_same"),
+    loaded.setPredictionCol("again").setProbabilityCol("odds_again").setRawPredictionCol("votes_again")
+    scored = loaded.transform(model.transform(inputs.test_vectors(spark, folder)))
+    same = (F.col("prediction") == F.col("again")) & (
+        vector_to_array("probability") == vector_to_array("odds_again")
+    )
+    return scored.groupBy("main_aqi").agg(
+        F.count("*").alias("n_rows"), F.count_if(same).alias("n_same")
     )
 
 

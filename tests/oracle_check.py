@@ -1,0 +1,45 @@
+"""Compare a registered query with its SQL in DuckDB."""
+
+from __future__ import annotations
+
+import datetime
+import math
+from collections import Counter
+
+import duckdb
+from pyspark.sql import DataFrame
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return connection
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else value + 0.0
+    if isinstance(value, datetime.datetime):
+        return value.isoformat()
+    return value
+
+
+def _counted(names: list[str], rows) -> Counter:
+    order = sorted(range(len(names)), key=lambda place: names[place])
+    return Counter(tuple(_plain(row[place]) for place in order) for row in rows)
+
+
+def difference(frame: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None where both give the same columns, rows and values."""
+    expected = connection.execute(sql)
+    names = [column[0] for column in expected.description]
+    if sorted(names) != sorted(frame.columns):
+        return f"columns {sorted(frame.columns)} instead of {sorted(names)}"
+    want = _counted(names, expected.fetchall())
+    got = _counted(frame.columns, frame.collect())
+    if want == got:
+        return None
+    return f"rows {got.total()} of {want.total()}; extra {list((got - want).items())[:2]}; missing {list((want - got).items())[:2]}"
