@@ -27,8 +27,10 @@ def _city_of_order(spark: SparkSession, folder: str) -> DataFrame:
 def readings_view(spark: SparkSession, folder: str) -> DataFrame:
     """Raw readings with city, copies, missing labels and some odd labels.
 
-    Small tables join first and Spark picks each join by size. The copies come from one pass that
-    emits some rows twice, not from a union that would read and join everything twice.
+    Small tables join first, by whatever join their size allows. The last join is a merge join:
+    both sides grow with the data, and it leaves rows partitioned by reading id, which is all that
+    removing copies needs, so no second shuffle follows. The copies come from one pass that emits
+    some rows twice, not from a union that would read and join everything twice.
     """
     item = table(spark, folder, "lineitem")
     hours = F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
@@ -42,7 +44,8 @@ def readings_view(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(1)
     )
     once, twice = F.array(F.lit(0)), F.array(F.lit(0), F.lit(1))
-    joined = item.join(_city_of_order(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"))
+    city = _city_of_order(spark, folder).hint("merge")
+    joined = item.join(city, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.col("l_orderkey").alias("reading_id"),
         F.col("l_linenumber").alias("line_no"),
