@@ -1,0 +1,144 @@
+"""Features, advice, baselines and aggregates on small literal frames."""
+
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from skyledger.operators import advice, analytics, baselines, features
+from skyledger.schema import DEFAULT_BASELINES, FEATURES, REQUEST_DEFAULTS
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def _readings(spark, rows):
+    columns = ", ".join(f"{name} double" for name in FEATURES) + ", main_aqi int"
+    return spark.createDataFrame(rows, columns)
+
+
+def test_features_that_only_one_side_has_are_left_out(spark):
+    train = spark.createDataFrame([(1.0, 2.0, 5)], "components_co double, components_so2 double, hour int")
+    test = spark.createDataFrame([(1.0, 5)], "components_co double, hour int")
+    assert features.available_features(train) == ["components_co", "components_so2", "hour"]
+    assert features.available_features(train, test) == ["components_co", "hour"]
+    with pytest.raises(ValueError):
+        features.available_features(train, spark.createDataFrame([(1,)], "other int"))
+    with pytest.raises(ValueError, match="components_so2"):
+        features.assemble(test, ["components_co", "components_so2"])
+
+
+def test_missing_features_skip_keep_or_fail(spark):
+    whole = tuple(float(place) for place in range(11))
+    frame = _readings(spark, [(*whole, 1), (*whole[:10], None, 2), (float("nan"), *whole[1:], 3)])
+    assert [row.main_aqi for row in features.assemble(frame).collect()] == [1]
+    assert features.count_incomplete(frame).first().asDict() == {"n_rows": 3, "incomplete_rows": 2}
+    kept = features.assemble(frame, handle_invalid="keep").select(F.size(vector_to_array("features")).alias("n"))
+    assert [row.n for row in kept.collect()] == [11, 11, 11]
+    with pytest.raises(Exception):
+        features.assemble(frame, handle_invalid="error").collect()
+
+
+def test_defaults_fill_null_nan_and_absent_fields(spark):
+    frame = spark.createDataFrame(
+        [(None, float("nan"), 0.0), ("Quetta", 7.0, None)], "city string, components_pm2_5 double, temperature_2m double"
+    )
+    first, second = features.fill_request_defaults(frame).collect()
+    assert (first.city, first.components_pm2_5, first.temperature_2m) == ("Karachi", 101.0, 0.0)
+    assert (second.city, second.components_pm2_5, second.temperature_2m) == ("Quetta", 7.0, 25.0)
+    assert (first.hour, first.month, first.components_co, first.components_no2) == (12, 6, 1795.0, 38.0)
+
+
+def test_derived_features(spark):
+    row = features.derive_features(features.fill_request_defaults(spark.createDataFrame([("x",)], "city string"))).first()
+    assert [row[name] for name in FEATURES] == [1795.0, 38.0, 40.0, 101.0, 101.0 * 1.2, 12.0, 25.0, 60.0, 10.0, 12, 6]
+    assert set(REQUEST_DEFAULTS) <= set(row.asDict())
+
+
+def test_advice_of_every_class_and_of_unknown_ones(spark):
+    codes = [0, 1, 2, 3, 4, 5, 6, None]
+    frame = spark.createDataFrame([(code, "Lahore") for code in codes], "aqi_code int, city string")
+    joined = advice.attach_advice(frame)
+    status = {row.aqi_code: row.health_status for row in joined.collect()}
+    labels = {row.aqi_code: row.aqi_label for row in joined.collect()}
+    assert status[1] == "HEALTHY" and status[5] == "HAZARDOUS CRISIS"
+    assert {status[code] for code in (0, 3, 6, None)} == {"UNHEALTHY FOR SENSITIVE GROUPS"}
+    assert labels[2] == "Fair Air Index (Lahore)"
+    assert joined.count() == len(codes)
+    assert "BroadcastHashJoin" in _plan(joined) and "Exchange hashpartitioning" not in _plan(joined)
+
+
+def test_baselines_skip_nan_and_join_without_a_cross_join(spark):
+    frame = spark.createDataFrame(
+        [(10.0, 0.0, float("nan"), 1.0), (20.0, 0.0, 4.0, None)],
+        "components_co double, components_no2 double, components_pm2_5 double, temperature_2m double",
+    )
+    means = baselines.dataset_baselines(frame, 91.5)
+    assert means.first().asDict() == {
+        "components_co": 15.0, "components_no2": 0.0, "components_pm2_5": 4.0, "temperature_2m": 1.0,
+        "model_accuracy": 91.5,
+    }
+    compared = baselines.percent_of_baseline(frame, means)
+    text = _plan(compared)
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text and "Subquery" in text
+    rows = [(r.components_co_percent, r.components_no2_percent, r.components_pm2_5_percent) for r in compared.collect()]
+    assert rows[1] == (133, None, 100)
+    literal = baselines.percent_of_baseline(frame, means.first().asDict())
+    assert sorted(map(str, literal.collect())) == sorted(map(str, compared.collect()))
+    assert baselines.default_baselines(spark).first().asDict() == DEFAULT_BASELINES
+
+
+def test_profile_shares_sum_to_one_and_an_empty_whole_has_none(spark):
+    frame = spark.createDataFrame(
+        [(1, 50.0, 200.0, 20.0, 10.0), (2, 0.0, 0.0, 0.0, 0.0)],
+        "id int, components_pm2_5 double, components_co double, components_no2 double, temperature_2m double",
+    )
+    rows = baselines.composition_profile(frame, ["id"]).collect()
+    assert {row.part: row.share for row in rows if row.id == 1} == {
+        "components_pm2_5": 0.5, "components_co": 0.2, "components_no2": 0.2, "temperature_2m": 0.1,
+    }
+    assert [row.share for row in rows if row.id == 2] == [None] * 4
+
+
+MONTHS = "year int, month int, main_aqi int, components_pm2_5 double, city string"
+
+
+def _months(spark):
+    return spark.createDataFrame(
+        [
+            (2022, 1, 4, 10.0, "A"), (2021, 12, 2, 20.0, "B"), (2021, 12, 3, 21.0, "B"), (2021, 2, 5, float("nan"), "A"),
+            (2021, 2, 5, 7.0, None), (None, 2, 1, 99.0, "C"),
+        ],
+        MONTHS,
+    )
+
+
+def test_timeline_is_in_time_order_and_skips_missing_keys(spark):
+    rows = [tuple(row) for row in analytics.monthly_timeline(_months(spark)).collect()]
+    assert rows == [("02/2021", 7.0), ("12/2021", 20.5), ("01/2022", 10.0)]
+    series = analytics.timeline_series(_months(spark)).first()
+    assert (series.labels, series.real_pm25) == (["02/2021", "12/2021", "01/2022"], [7.0, 20.5, 10.0])
+
+
+def test_dashboard_is_one_pass_and_has_the_same_figures(spark):
+    board = analytics.dashboard(_months(spark))
+    row = board.first()
+    assert row.labels == ["02/2021", "12/2021", "01/2022"] and row.real_pm25 == [7.0, 20.5, 10.0]
+    assert row.overall_index == analytics.overall_index(_months(spark)).first()[0] == round(20 / 6 * 40, 1)
+    assert _plan(board).count("Scan ExistingRDD") == 1
+    fallback = analytics.empty_dashboard(spark)
+    assert fallback.columns == board.columns and fallback.first().labels == []
+
+
+def test_leaderboard(spark):
+    rows = analytics.city_leaderboard(_months(spark)).collect()
+    assert [(row.city, row.mean_aqi, row.city_index, row.n_readings) for row in rows] == [
+        ("A", 4.5, 180.0, 2), ("B", 2.5, 100.0, 2), ("C", 1.0, 40.0, 1),
+    ]
+
+
+def test_aggregates_of_nothing(spark):
+    empty = spark.createDataFrame([], MONTHS)
+    assert analytics.monthly_timeline(empty).count() == 0
+    row = analytics.dashboard(empty).first()
+    assert row.labels == [] and row.overall_index is None
