@@ -64,9 +64,27 @@ def round_half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5))
 
 
+def round_shown(value: Column, digits: int) -> Column:
+    """Round to the nearest decimal, judged by the binary value: 2.675 to 2.67, 0.125 to 0.12.
+
+    `round` and `bround` judge by the shortest text of a number, which can look like a half where
+    the number itself lies above or below it. That distance is computed exactly here, by
+    multiplying the number in two halves that lose no bits.
+    """
+    scale = 10.0 ** (digits + 1)
+    near = F.round(value * scale)
+    looks_half = (near / scale == value) & (F.abs(near) % 10 == 5)
+    spread = value * 134217729.0
+    upper = spread - (spread - value)
+    distance = (upper * scale - near) + (value - upper) * scale
+    return F.when(looks_half & (distance != 0), (near + F.signum(distance) * 5) / scale).otherwise(
+        F.bround(value, digits)
+    )
+
+
 def to_percent(share: Column) -> Column:
     """0.9123 to 91.2."""
-    return F.round(share * 100, 1)
+    return round_shown(share * 100, 1)
 
 
 def repeatable_uniform(*keys: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import nan_to_null
+from ..functions.numbers import nan_to_null, round_shown
 from ..functions.timestamps import month_label
 from ..schema import AQI_INDEX_SCALE, LABEL
 
@@ -31,7 +31,7 @@ def monthly_timeline(readings: DataFrame) -> DataFrame:
     """``MM/YYYY`` and mean PM2.5, in time order."""
     return in_time_order(monthly_means(readings)).select(
         month_label(F.col("year"), F.col("month")).alias("label"),
-        F.round("mean_pm2_5", 2).alias("real_pm25"),
+        round_shown(F.col("mean_pm2_5"), 2).alias("real_pm25"),
     )
 
 
@@ -40,7 +40,7 @@ def _timeline_point() -> Column:
         "year",
         "month",
         month_label(F.col("year"), F.col("month")).alias("label"),
-        F.round("mean_pm2_5", 2).alias("value"),
+        round_shown(F.col("mean_pm2_5"), 2).alias("value"),
     )
 
 
@@ -56,9 +56,14 @@ def timeline_series(readings: DataFrame) -> DataFrame:
     )
 
 
+def _index(mean_class: Column) -> Column:
+    return round_shown(mean_class * AQI_INDEX_SCALE, 1)
+
+
 def overall_index(readings: DataFrame) -> DataFrame:
     """Mean class of the dataset on the index scale."""
-    return readings.agg(F.round(F.avg(LABEL) * AQI_INDEX_SCALE, 1).alias("overall_index"))
+    mean = readings.agg(F.avg(LABEL).alias("mean_aqi"))
+    return mean.select(_index(F.col("mean_aqi")).alias("overall_index"))
 
 
 def city_leaderboard(readings: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def city_leaderboard(readings: DataFrame) -> DataFrame:
         readings.where(F.col("city").isNotNull())
         .groupBy("city")
         .agg(F.avg(LABEL).alias("mean_aqi"), F.count("*").alias("n_readings"))
-        .withColumn("city_index", F.round(F.col("mean_aqi") * AQI_INDEX_SCALE, 1))
+        .withColumn("city_index", _index(F.col("mean_aqi")))
         .orderBy(F.desc("mean_aqi"), "city")
     )
 
@@ -98,7 +103,7 @@ def dashboard(readings: DataFrame) -> DataFrame:
         F.lit("success").alias("status"),
         F.col("points.label").alias("labels"),
         F.col("points.value").alias("real_pm25"),
-        F.round(F.col("mean_aqi") * AQI_INDEX_SCALE, 1).alias("overall_index"),
+        _index(F.col("mean_aqi")).alias("overall_index"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -56,24 +55,21 @@ def fit_forest(
 ) -> RandomForestClassificationModel:
     """Train on vectors and labels; labels 1 to 5 give six classes, as class 0 counts too.
 
-    Fitting reads its input three times (classes, split points, sampled rows), so it is kept for
-    as long as that takes, on disk where memory is short.
+    Fitting reads its input a few times (classes, split points, sampled rows) and then works on
+    its own compact copy of the rows. Give it a written feature table: reading that again is
+    cheaper than a second cached copy, and survives the loss of an executor.
     """
     if repeatable_partitions:
         features = in_repeatable_order(features, repeatable_partitions)
     training = features.select(VECTOR, F.col(LABEL).cast("double").alias(LABEL))
-    training = training.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return RandomForestClassifier(
-            labelCol=LABEL,
-            featuresCol=VECTOR,
-            numTrees=num_trees,
-            maxDepth=max_depth,
-            seed=seed,
-            maxMemoryInMB=max_memory_mb,
-        ).fit(training)
-    finally:
-        training.unpersist()
+    return RandomForestClassifier(
+        labelCol=LABEL,
+        featuresCol=VECTOR,
+        numTrees=num_trees,
+        maxDepth=max_depth,
+        seed=seed,
+        maxMemoryInMB=max_memory_mb,
+    ).fit(training)
 
 
 def confidence(probability: str = "probability") -> Column:

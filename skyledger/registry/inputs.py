@@ -15,6 +15,7 @@ from ..operators.forest import fit_forest
 from ..session import scratch_folder, tune
 from ..sources.driver_tables import readings_view, test_split, train_split
 from ..sources.models import load_model, save_model
+from ..sources.tables import read_features, write_features
 
 KEYS = ["reading_id", "line_no"]
 KEY_FIELDS = T.StructType([T.StructField("reading_id", T.LongType()), T.StructField("line_no", T.IntegerType())])
@@ -94,10 +95,10 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 @cache
 def _forest_path(application: str, folder: str) -> str:
     spark = SparkSession.active()
-    path = scratch_folder(spark, "forest")
-    training = assemble(train_split(clean(spark, folder)))
-    save_model(fit_forest(training), path)
-    return path
+    root = scratch_folder(spark, "forest")
+    write_features(assemble(train_split(clean(spark, folder))), f"{root}/features")
+    save_model(fit_forest(read_features(spark, f"{root}/features")), f"{root}/model")
+    return f"{root}/model"
 
 
 def forest(spark: SparkSession, folder: str) -> RandomForestClassificationModel:

@@ -127,6 +127,11 @@ ALL_MEASURES = ", ".join(MEASURES)
 VECTOR = ", ".join(f"CAST({name} AS DOUBLE) AS f_{name}" for name in FEATURES)
 
 
+def _shown(value: str, digits: int) -> str:
+    """Printing rounds by the binary value."""
+    return f"CAST(format('{{:.{digits}f}}', {value}) AS DOUBLE)"
+
+
 def _with(parts: str, select: str) -> str:
     return f"WITH {READINGS}{parts} {select}"
 
@@ -224,8 +229,8 @@ def all_oracles() -> dict[str, str]:
              greatest(components_no2, components_o3, components_pm2_5, components_so2) AS largest
             FROM readings"""),
         "prediction_to_int": _with(CLEAN, "SELECT reading_id, line_no, main_aqi AS aqi_code FROM clean"),
-        "percent_rounding": _with("", """
-            SELECT reading_id, line_no, round(relative_humidity_2m / 97 * 100, 1) AS percent FROM readings"""),
+        "percent_rounding": _with("", f"""
+            SELECT reading_id, line_no, {_shown('components_pm2_5 / 400 * 100', 1)} AS percent FROM readings"""),
         "display_index": _with("", f"""
             SELECT *, {SHOWN_INDEX} AS display_index FROM (
              SELECT reading_id, line_no, CASE WHEN reading_id % 10 <> 9 THEN reading_id % 8 END AS aqi_code
@@ -276,19 +281,19 @@ def all_oracles() -> dict[str, str]:
         "monthly_order": _with(CLEAN, f"""
             SELECT year, month, round(mean_pm2_5, 9) AS mean_pm2_5 FROM ({MONTHLY}) ORDER BY year, month"""),
         "monthly_timeline": _with(CLEAN, f"""
-            SELECT {LABEL} AS label, round(mean_pm2_5, 2) AS real_pm25 FROM ({MONTHLY}) ORDER BY year, month"""),
-        "overall_index": _with(CLEAN, "SELECT round(avg(main_aqi) * 40, 1) AS overall_index FROM clean"),
-        "city_leaderboard": _with(CLEAN, """
+            SELECT {LABEL} AS label, {_shown("mean_pm2_5", 2)} AS real_pm25 FROM ({MONTHLY}) ORDER BY year, month"""),
+        "overall_index": _with(CLEAN, f"SELECT {_shown('avg(main_aqi) * 40', 1)} AS overall_index FROM clean"),
+        "city_leaderboard": _with(CLEAN, f"""
             SELECT city, round(avg(main_aqi), 9) AS mean_aqi, count(*) AS n_readings,
-             round(avg(main_aqi) * 40, 1) AS city_index
+             {_shown('avg(main_aqi) * 40', 1)} AS city_index
             FROM clean GROUP BY city ORDER BY avg(main_aqi) DESC, city"""),
         "timeline_series": _with(CLEAN, f"""
             SELECT CAST(row_number() OVER (ORDER BY year, month) - 1 AS INT) AS place,
-             {LABEL} AS label, round(mean_pm2_5, 2) AS real_pm25 FROM ({MONTHLY})"""),
+             {LABEL} AS label, {_shown("mean_pm2_5", 2)} AS real_pm25 FROM ({MONTHLY})"""),
         "dashboard_or_fallback": _with(CLEAN, f"""
             SELECT 'success' AS status, CAST(count(*) AS INT) AS n_months,
              string_agg({LABEL}, ',' ORDER BY year, month) AS labels,
-             (SELECT round(avg(main_aqi) * 40, 1) FROM clean) AS overall_index FROM ({MONTHLY})
+             (SELECT {_shown('avg(main_aqi) * 40', 1)} FROM clean) AS overall_index FROM ({MONTHLY})
             UNION ALL SELECT 'fallback', 0, '', NULL"""),
         "forest_shape": _with(CLEAN, """
             SELECT 15 AS num_trees, 5 AS max_depth, 11 AS num_features,

@@ -354,7 +354,7 @@ def prediction_to_int(spark, folder):
 
 @query
 def percent_rounding(spark, folder):
-    share = F.col("relative_humidity_2m") / 97
+    share = F.col("components_pm2_5") / 400
     return inputs.readings(spark, folder).select(*KEYS, to_percent(share).alias("percent"))
 
 

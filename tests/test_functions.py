@@ -1,10 +1,10 @@
 """Column functions on literal values and against data frames or plain Python."""
 
 import math
+import random
 import warnings
 
 import pandas as pd
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -156,6 +156,17 @@ def test_a_filter_on_the_parsed_date_does_not_copy_the_steps(spark):
     assert parsed.count() == 1
 
 
-@pytest.mark.parametrize("name", ["to_percent"])
-def test_percent(spark, name):
-    assert _column(spark, [0.9123, 1.0, None], "double", getattr(numbers, name)) == [91.2, 100.0, None]
+def test_percent(spark):
+    assert _column(spark, [0.9123, 1.0, None], "double", numbers.to_percent) == [91.2, 100.0, None]
+
+
+def test_shown_values_round_as_python_does(spark):
+    draw = random.Random(5)
+    values = [2.675, 0.125, 0.375, 127.335, 1.005, 2.5, -2.675, -0.125, 0.0, 1e-9, 123456.785, 0.285, 1.115]
+    values += [draw.randrange(10**6) / 1000 for _ in range(4000)]
+    values += [draw.randrange(10**5) / 400 for _ in range(4000)]
+    values += [draw.uniform(-500, 500) for _ in range(2000)]
+    for digits in (1, 2):
+        rounded = _column(spark, values, "double", lambda x: numbers.round_shown(x, digits))
+        assert rounded == [round(value, digits) for value in values]
+    assert _column(spark, [None, float("inf")], "double", lambda x: numbers.round_shown(x, 1)) == [None, math.inf]
