@@ -16,7 +16,7 @@ from .sources.requests import read_requests, stream_requests
 from .streaming.scoring import start_scoring
 
 
-def _arguments() -> argparse.Namespace:
+def _arguments(words: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="skyledger", description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
 
@@ -44,16 +44,18 @@ def _arguments() -> argparse.Namespace:
         if name == "stream":
             job.add_argument("--checkpoint", required=True)
             job.add_argument("--interval", help="keep running, e.g. '10 seconds'")
-    return parser.parse_args()
+    return parser.parse_args(words)
 
 
-def main() -> None:
-    options = _arguments()
+def main(words: list[str] | None = None) -> None:
+    options = _arguments(words)
     spark = tune(SparkSession.builder.appName(f"skyledger-{options.job}").getOrCreate())
     if options.job == "preprocess":
         prepared = preprocess(spark, options.train, options.test, options.output)
         prepared.train_report.show()
         prepared.test_report.show()
+        prepared.train_incomplete.show()
+        prepared.test_incomplete.show()
     elif options.job == "train":
         trained = train_and_evaluate(
             spark, options.train_features, options.test_features, options.model

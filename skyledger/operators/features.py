@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import nan_to_null
+from ..functions.timestamps import date_parts
 from ..schema import (
     CONSTANT_FEATURES,
+    DATETIME,
     FEATURES,
     LABEL,
     PM10_PER_PM25,
@@ -60,14 +62,21 @@ def count_incomplete(readings: DataFrame, features: list[str] | None = None) ->
 
 
 def fill_request_defaults(requests: DataFrame) -> DataFrame:
-    """Replace a missing, NULL or NaN request field by its default."""
+    """Replace a missing, NULL or NaN request field by its default.
+
+    Hour and month come from ``datetime`` where only that is given.
+    """
     types = dict(requests.dtypes)
+    dated = date_parts(F.col(DATETIME)) if types.get(DATETIME, "").startswith("timestamp") else {}
 
     def filled(name: str, default):
-        if name not in types:
-            return F.lit(default)
-        value = nan_to_null(F.col(name)) if types[name] in ("double", "float") else F.col(name)
-        return F.coalesce(value, F.lit(default))
+        sources = []
+        if name in types:
+            is_real = types[name] in ("double", "float")
+            sources.append(nan_to_null(F.col(name)) if is_real else F.col(name))
+        if name in dated:
+            sources.append(dated[name])
+        return F.coalesce(*sources, F.lit(default))
 
     return requests.withColumns(
         {name: filled(name, default) for name, default in REQUEST_DEFAULTS.items()}

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_readings, cleaning_report_after_write
-from ..operators.features import assemble, available_features
+from ..operators.features import assemble, available_features, count_incomplete
 from ..sources.csv_files import read_testing, read_training, write_csv
 from ..sources.tables import read_readings, write_features, write_readings
 
 
 @dataclass(frozen=True)
 class PreparedData:
-    """Where preprocessing left its tables, and what it dropped."""
+    """Where preprocessing left its tables, what cleaning dropped and what the vectors lack."""
 
     train_readings: str
     test_readings: str
@@ -24,6 +24,8 @@ class PreparedData:
     test_features: str
     train_report: DataFrame
     test_report: DataFrame
+    train_incomplete: DataFrame
+    test_incomplete: DataFrame
 
 
 def preprocess(spark: SparkSession, train_folder: str, test_folder: str, output: str) -> PreparedData:
@@ -53,4 +55,6 @@ def preprocess(spark: SparkSession, train_folder: str, test_folder: str, output:
         vectors["test"],
         cleaning_report_after_write(raw["train"], clean["train"]),
         cleaning_report_after_write(raw["test"], clean["test"]),
+        count_incomplete(clean["train"], features),
+        count_incomplete(clean["test"], features),
     )

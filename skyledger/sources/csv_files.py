@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import missing_to_null, to_measure, to_whole_number
 from ..schema import (
     CONCATENATED_FILE,
+    DATETIME,
     LABEL,
     MEASURES,
     TEST_PIECES,
@@ -48,14 +49,34 @@ def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
         return list(pool.map(header, paths))
 
 
-def typed_readings(raw: DataFrame) -> DataFrame:
+def numeric_extras(raw: DataFrame) -> list[str]:
+    """Undeclared text columns that hold nothing but numbers and missing values.
+
+    Costs one pass over those columns.
+    """
+    declared = {DATETIME, "city", *MEASURES, *_WHOLE_NUMBERS}
+    extras = [name for name in raw.columns if name not in declared]
+    if not extras:
+        return []
+
+    def fits(name: str):
+        value = missing_to_null(F.col(name))
+        return F.every(value.isNull() | value.try_cast("double").isNotNull()).alias(name)
+
+    verdict = raw.agg(*[fits(name) for name in extras]).first()
+    return [name for name in extras if verdict[name]]
+
+
+def typed_readings(raw: DataFrame, numbers: list[str] | None = None) -> DataFrame:
     """Give text columns their declared type; what does not parse becomes NULL.
 
-    ``datetime`` stays text, because copies are removed on raw rows before it is parsed.
+    ``numbers`` names further numeric columns; any other column stays text. So does ``datetime``,
+    because copies are removed on raw rows before it is parsed.
     """
+    measures = {*MEASURES, *(numbers or [])}
 
     def typed(name: str):
-        if name in MEASURES:
+        if name in measures:
             return to_measure(F.col(name)).alias(name)
         if name in _WHOLE_NUMBERS:
             return to_whole_number(F.col(name)).alias(name)
@@ -65,10 +86,16 @@ def typed_readings(raw: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, paths: str | list[str], header: list[str] | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    header: list[str] | None = None,
+    infer: bool = False,
 ) -> DataFrame:
     """Read CSV files or folders of them as one frame of readings.
 
+    Types are declared. ``infer`` looks through the columns that are not, at the price of a pass
+    over them, and makes those of numbers numeric.
+
     Columns are matched by name; a column that a path lacks is NULL there. There is one scan per
     distinct header, not per path. Give ``header`` where all files share it, and no file is opened
     before the scan; a file that differs then fails the scan.
@@ -87,7 +114,7 @@ def read_csv(
         for names, members in groups.items()
     ]
     whole = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
-    return typed_readings(whole)
+    return typed_readings(whole, numeric_extras(whole) if infer else None)
 
 
 def read_csv_glob(spark: SparkSession, pattern: str, header: list[str] | None = None) -> DataFrame:

@@ -49,6 +49,15 @@ def test_defaults_fill_null_nan_and_absent_fields(spark):
     assert (first.hour, first.month, first.components_co, first.components_no2) == (12, 6, 1795.0, 38.0)
 
 
+def test_hour_and_month_come_from_the_datetime_where_only_that_is_given(spark):
+    frame = spark.sql(
+        "SELECT * FROM VALUES (TIMESTAMP_NTZ '2021-08-13 05:00:00', 7), (TIMESTAMP_NTZ '2021-08-13 05:00:00', NULL),"
+        " (NULL, NULL) AS t(datetime, hour)"
+    )
+    rows = features.fill_request_defaults(frame).collect()
+    assert [(row.hour, row.month) for row in rows] == [(7, 8), (5, 8), (12, 6)]
+
+
 def test_derived_features(spark):
     row = features.derive_features(features.fill_request_defaults(spark.createDataFrame([("x",)], "city string"))).first()
     assert [row[name] for name in FEATURES] == [1795.0, 38.0, 40.0, 101.0, 101.0 * 1.2, 12.0, 25.0, 60.0, 10.0, 12, 6]
@@ -90,7 +99,7 @@ def test_baselines_skip_nan_and_join_without_a_cross_join(spark):
 
 def test_profile_shares_sum_to_one_and_an_empty_whole_has_none(spark):
     frame = spark.createDataFrame(
-        [(1, 50.0, 200.0, 20.0, 10.0), (2, 0.0, 0.0, 0.0, 0.0)],
+        [(1, 50.0, 200.0, 20.0, 10.0), (2, 0.0, 0.0, 0.0, 0.0), (3, 30.0, None, float("nan"), 10.0)],
         "id int, components_pm2_5 double, components_co double, components_no2 double, temperature_2m double",
     )
     rows = baselines.composition_profile(frame, ["id"]).collect()
@@ -98,6 +107,9 @@ def test_profile_shares_sum_to_one_and_an_empty_whole_has_none(spark):
         "components_pm2_5": 0.5, "components_co": 0.2, "components_no2": 0.2, "temperature_2m": 0.1,
     }
     assert [row.share for row in rows if row.id == 2] == [None] * 4
+    assert {row.part: row.share for row in rows if row.id == 3} == {
+        "components_pm2_5": 0.75, "components_co": None, "components_no2": None, "temperature_2m": 0.25,
+    }
 
 
 MONTHS = "year int, month int, main_aqi int, components_pm2_5 double, city string"

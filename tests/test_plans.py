@@ -1,5 +1,7 @@
 """The whole chain on CSV folders, and how it behaves on skewed keys."""
 
+from types import SimpleNamespace
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 import oracle_check
 from skyledger import session
+from skyledger.__main__ import main
 from skyledger.operators.clean import drop_copies
 from skyledger.operators.forest import evaluate, predict
 from skyledger.plans.dashboard import current_baselines, live_dashboard
@@ -41,7 +44,9 @@ def test_preprocess_tables_agree_with_each_other(spark, prepared):
     # Missing labels and copies are all in the test part.
     other = done.test_report.first()
     assert other.initial_rows > other.labelled_rows > other.unique_rows > other.clean_rows
-    assert read_features(spark, done.train_features).count() == readings.dropna(subset=["components_so2"]).count()
+    incomplete = done.train_incomplete.first()
+    assert incomplete.incomplete_rows == readings.where("components_so2 IS NULL").count() > 0
+    assert read_features(spark, done.train_features).count() == incomplete.n_rows - incomplete.incomplete_rows
     assert read_features(spark, done.test_features).columns == ["features", "main_aqi"]
     assert set(dict(read_csv(spark, done.test_csv).dtypes)) >= {"hour", "month", "year", "main_aqi"}
 
@@ -64,6 +69,37 @@ def test_dashboard_and_baselines_of_a_table_and_of_none(spark, prepared):
     assert current_baselines(spark, f"{root}/absent").first().asDict() == DEFAULT_BASELINES
 
 
+def test_jobs_of_the_command_line(spark, prepared, tmp_path, capsys):
+    root, done = prepared
+    out = str(tmp_path)
+    requests = f"{out}/requests"
+    inputs.requests(spark, "/root/testdata/sf0.001").drop(*inputs.KEYS).write.json(requests)
+    main(["preprocess", "--train", f"{root}/train", "--test", f"{root}/test", "--output", f"{out}/tables"])
+    main(["train", "--train-features", f"{out}/tables/train_features", "--test-features",
+          f"{out}/tables/test_features", "--model", f"{out}/model"])
+    assert "accuracy 0." in capsys.readouterr().out
+    main(["dashboard", "--readings", f"{out}/tables/train_readings", "--output", f"{out}/board"])
+    assert spark.read.json(f"{out}/board").first().status == "success"
+    common = ["--requests", requests, "--readings", done.train_readings, "--model", f"{out}/model"]
+    main(["score", *common, "--output", f"{out}/answers"])
+    main(["stream", *common, "--output", f"{out}/streamed", "--checkpoint", f"{out}/progress"])
+    batch, streamed = spark.read.parquet(f"{out}/answers"), spark.read.parquet(f"{out}/streamed")
+    assert batch.count() == streamed.count() == spark.read.json(requests).count()
+    assert batch.exceptAll(streamed).isEmpty()
+
+
+def test_scratch_needs_a_shared_folder_off_a_local_master():
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext = SimpleNamespace(master=master)
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+
+    assert session.scratch_root(Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert session.scratch_root(Session("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session("spark://host:7077"))
+
+
 def test_scratch_follows_the_session(spark):
     assert session.scratch_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert session.scratch_folder(spark, "x") != session.scratch_folder(spark, "x")

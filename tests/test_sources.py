@@ -38,6 +38,14 @@ def test_types_and_missing_tokens(spark, tmp_path):
     ]
 
 
+def test_inference_is_opt_in_and_covers_undeclared_columns(spark, tmp_path):
+    path = _write(tmp_path / "a.csv", "main_aqi,latitude,note,blank\n1,31.5,x,NA\n2,NA,7,\n3,1e1,,\n")
+    assert dict(csv_files.read_csv(spark, path).dtypes)["latitude"] == "string"
+    read = csv_files.read_csv(spark, path, infer=True)
+    assert dict(read.dtypes) == {"main_aqi": "int", "latitude": "double", "note": "string", "blank": "double"}
+    assert [row.latitude for row in read.orderBy("main_aqi").collect()] == [31.5, None, 10.0]
+
+
 def test_pieces_with_other_columns_join_by_name(spark, tmp_path):
     _write(tmp_path / "x_complete_data.csv", HEADER + "2021-08-01,1,10,3,Lahore\n")
     _write(tmp_path / "y_complete_data.csv", "city,components_pm2_5,main_aqi,datetime\nQuetta,20,2,2021-08-02\n")
