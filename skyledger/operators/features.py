@@ -6,9 +6,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import nan_to_null
+from ..functions.numbers import lenient_number, nan_to_null
 from ..functions.timestamps import date_parts
 from ..schema import (
+    BASELINE_MEASURES,
     CONSTANT_FEATURES,
     DATETIME,
     FEATURES,
@@ -61,6 +62,12 @@ def count_incomplete(readings: DataFrame, features: list[str] | None = None) ->
     )
 
 
+def requests_from_form(forms: DataFrame) -> DataFrame:
+    """Requests from typed-in text: each number is what the text starts with, or 0."""
+    numbers = [name for name in BASELINE_MEASURES if name in forms.columns]
+    return forms.withColumns({name: lenient_number(F.col(name)) for name in numbers})
+
+
 def fill_request_defaults(requests: DataFrame) -> DataFrame:
     """Replace a missing, NULL or NaN request field by its default.
 

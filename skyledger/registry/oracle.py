@@ -205,6 +205,10 @@ def all_oracles() -> dict[str, str]:
              WHEN 5 THEN -10 * components_pm2_5
              WHEN 6 THEN CAST('0.' || CAST(CAST(components_pm2_5 AS INT) AS VARCHAR) AS DOUBLE)
              ELSE 0.0 END AS number FROM readings"""),
+        "form_requests": _with("", """
+            SELECT reading_id, line_no, city, components_pm2_5,
+             CASE WHEN reading_id % 3 <> 0 THEN components_pm2_5 ELSE 0.0 END AS components_co,
+             0.0::DOUBLE AS components_no2, -(line_no + 0.5::DOUBLE) AS temperature_2m FROM readings"""),
         "pm25_class": _with(REQUESTS, f"""
             SELECT reading_id, line_no, components_pm2_5, {BAND} AS aqi_code FROM requests"""),
         "fallback_rule": _with(REQUESTS, """

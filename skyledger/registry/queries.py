@@ -217,18 +217,22 @@ def feature_projection(spark, folder):
     rows = inputs.clean(spark, folder)
     train, test = train_split(rows), test_split(rows).drop("components_so2")
     names = features.available_features(train, test)
-    pairs = F.array(
+    totals = test.select(names).agg(
+        *[F.count(name).alias(f"n_{name}") for name in names],
+        *[F.avg(F.col(name).cast("double")).alias(f"mean_{name}") for name in names],
+    )
+    rows = F.array(
         *[
-            F.struct(F.lit(place).alias("place"), F.lit(name).alias("feature"),
-                     F.col(name).cast("double").alias("value"))
+            F.struct(
+                F.lit(place).alias("place"),
+                F.lit(name).alias("feature"),
+                F.col(f"n_{name}").alias("n_values"),
+                F.round(f"mean_{name}", 4).alias("mean_value"),
+            )
             for place, name in enumerate(names)
         ]
     )
-    return (
-        test.select(F.inline(pairs))
-        .groupBy("place", "feature")
-        .agg(F.count("value").alias("n_values"), F.round(F.avg("value"), 4).alias("mean_value"))
-    )
+    return totals.select(F.inline(rows))
 
 
 def _with_gaps(spark, folder) -> DataFrame:
@@ -291,6 +295,20 @@ def lenient_number(spark, folder):
     return inputs.readings(spark, folder).select(*KEYS, number_at_start(text).alias("number"))
 
 
+@query
+def form_requests(spark, folder):
+    """Requests typed in by hand: some with a unit, some left empty."""
+    form = inputs.readings(spark, folder).select(
+        *KEYS,
+        "city",
+        F.concat(F.col("components_pm2_5").cast("int"), F.lit(" ug/m3")).alias("components_pm2_5"),
+        F.when(F.col("reading_id") % 3 != 0, F.col("components_pm2_5").cast("int").cast("string")).alias("components_co"),
+        F.lit("n/a").alias("components_no2"),
+        F.concat(F.lit("-"), F.col("line_no"), F.lit(".5C")).alias("temperature_2m"),
+    )
+    return features.requests_from_form(form)
+
+
 @query
 def pm25_class(spark, folder):
     return inputs.requests(spark, folder).select(
