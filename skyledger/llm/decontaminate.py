@@ -316,7 +316,7 @@ def _merged(found: list[DataFrame]) -> DataFrame:
         (F.size("hit") > 0).alias("contaminated"),
         "item_ids",
         F.zip_with(
-            starts, stops, lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
+            starts, stops, lambda a, b: F.named_struct(F.lit("start"), a, F.lit("stop"), b)
         ).alias("spans"),
         "text_key",
         F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"),

@@ -37,7 +37,7 @@ def fixture(seed):
     items = [(k, text(rnd.choice([1, 4, 10, 14, 30]))) for k in range(6)]
     items += [(None, text(12)), (90, None), (91, " .,! "), (92, items[3][1])]
     docs = [(k, text(rnd.randrange(60))) for k in range(30)]
-    docs += [(k, text(20) + ", " + rnd.choice(items)[1].upper() + "--" + text(9)) for k in range(30, 36)]
+    docs += [(k, text(20) + ", " + (rnd.choice(items)[1] or "").upper() + "--" + text(9)) for k in range(30, 36)]
     docs += [(40, None), (41, ""), (None, items[2][1]), (42, "!!!"), (43, items[3][1]), (43, items[3][1])]
     docs += [(44, "x " * 5000 + items[4][1])]
     return docs, items
