@@ -80,3 +80,9 @@ def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null becomes empty."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+
+
+def bounded_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most ``limit`` distinct rows, chosen by a hash of the keys: the same at every layout."""
+    order = F.xxhash64(*(F.col(key).cast("string") for key in keys))
+    return rows.distinct().orderBy(order, *keys).limit(limit)
