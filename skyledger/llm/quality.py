@@ -56,7 +56,8 @@ class Signals:
         self.echoes = sum(map(operator.eq, self.words, self.words[1:]))
         lines = [line for line in data.split(b"\n") if line.strip()]
         self.n_bytes = sum(map(len, lines))
-        self.repeated = self.n_bytes - sum(map(len, set(lines)))
+        # Beyond the second time; a heading or notice may well stand at both ends of a text.
+        self.repeated = sum(len(line) * (count - 2) for line, count in Counter(lines).items() if count > 2)
         self.top = max(Counter(self.words).values(), default=0)
 
     def share(self, count: int) -> float:
@@ -92,8 +93,8 @@ LABELLERS = [
     lambda s: _bad(s.share(s.top), 0.3) if s.n_words >= 30 else ABSTAIN,
     lambda s: _bad(s.repeated / max(1, s.n_bytes), 0.3) if s.n_bytes >= 80 else ABSTAIN,
     lambda s: _bad(0.01 - s.share(s.ends), 0.0) if s.n_words >= 60 else ABSTAIN,
-    lambda s: _good(s.upper <= 0.2 * s.letters and s.shouts <= 0.1 * s.n_words),
-    lambda s: _good(s.symbols <= 0.1 * s.n_words and s.loose <= 0.05 * s.n_words),
+    lambda s: _good(s.upper <= 0.2 * s.letters and s.shouts <= 0.1 * s.n_words and s.repeated <= 0.1 * s.n_bytes),
+    lambda s: _good(s.symbols <= 0.1 * s.n_words and s.loose <= 0.05 * s.n_words and s.echoes <= 0.05 * s.n_words),
     lambda s: _good(s.echoes <= 0.05 * s.n_words and s.repeated <= 0.1 * s.n_bytes),
 ]
 
