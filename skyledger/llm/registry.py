@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, toxicity
+from . import decontaminate, quality, sentencepiece_fst, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,20 @@ def op7_quality(spark, folder):
     return quality.score_quality(table(spark, folder, "documents"))
 
 
+@query
+def op8_sentencepiece(spark, folder):
+    """Digests of the ids and of the decoded text; ids of a null text are none."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = sentencepiece_fst.round_trip(docs, sentencepiece_fst.read_model())
+    return done.select(
+        F.col("doc_id").cast("long"),
+        "n_pieces",
+        F.lower(F.lpad(F.hex(F.xxhash64("ids")), 16, "0")).alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "round_trip",
+    )
+
+
 WORDS_SQL = r"""regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
