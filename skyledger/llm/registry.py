@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sentencepiece_fst, simhash, toxicity
+from . import decontaminate, licenses, quality, sentencepiece_fst, simhash, toxicity, url_reputation
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def op8_sentencepiece(spark, folder):
     )
 
 
+@query
+def op6_url_reputation(spark, folder):
+    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
+    judged = url_reputation.judge_urls(pages, url_reputation.outcomes_by_document(pages, labels))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
+@query
+def op10_licenses(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 WORDS_SQL = r"""regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -83,3 +95,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+def _reputation_sql() -> str:
+    """The levels of ``url_reputation``, spelled out."""
+    s = url_reputation.Settings()
+    second = ", ".join(f"'{name}'" for name in url_reputation.SECOND_LEVEL)
+
+    def strength(groups: str) -> str:
+        return f"""(SELECT 1 / least(greatest(coalesce(
+            (sum(pow(g - n * parent, 2) / n) - sum(parent * (1 - parent)))
+              / nullif(sum(parent * (1 - parent) * (n - 1)), 0), 0),
+            1 / (1 + {s.strongest})), 1 / (1 + {s.weakest})) - 1 AS s FROM {groups} WHERE n > 0)"""
+
+    rules = sorted(url_reputation.RULES, key=lambda rule: -len(rule.text))
+    fits = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{{}}'"
+        for r in rules
+    ]
+    rule = "CASE " + " ".join(f.format(r.text) for f, r in zip(fits, rules)) + " END"
+    verdict = "CASE " + " ".join(f.format(r.verdict) for f, r in zip(fits, rules))
+    return rf"""
+WITH split AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', ['h', 'p']) AS x FROM pages),
+p AS (SELECT page_id, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.p AS path FROM split),
+good AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+outcome AS (SELECT host, good FROM p JOIN good ON doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT)),
+seen AS (SELECT host, count(good) AS n, sum(good) AS g FROM outcome GROUP BY host),
+named AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM p),
+parts AS (SELECT host, bare, array_to_string(string_split(bare, '.')[-2:], '.') AS two,
+          array_to_string(string_split(bare, '.')[-3:], '.') AS three, regexp_matches(bare, '^[0-9.]+$|^\[') AS address FROM named),
+h AS (SELECT host, CASE WHEN address THEN bare WHEN two IN ({second}) THEN three ELSE two END AS domain,
+      CASE WHEN address THEN bare WHEN two IN ({second}) THEN two ELSE string_split(bare, '.')[-1] END AS suffix,
+      coalesce(n, 0) AS n, coalesce(g, 0) AS g FROM parts LEFT JOIN seen USING (host)),
+d AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(g) AS g FROM h GROUP BY domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY suffix),
+s1 AS (SELECT *, (SELECT (sum(g) + 1) / (sum(n) + 2) FROM s0) AS parent FROM s0),
+s2 AS (SELECT suffix, (g + s * parent) / (n + s) AS parent FROM s1, {strength('s1')}),
+d1 AS (SELECT * FROM d JOIN s2 USING (suffix)),
+d2 AS (SELECT domain, (g + s * parent) / (n + s) AS parent FROM d1, {strength('d1')}),
+h1 AS (SELECT * FROM h JOIN d2 USING (domain)),
+h2 AS (SELECT host, n, s, (g + s * parent) / (n + s) AS mean FROM h1, {strength('h1')}),
+r AS (SELECT host, n, mean - {s.deviations} * sqrt(mean * (1 - mean) / (n + s + 1)) AS bound FROM h2)
+SELECT page_id, host, path, {rule} AS rule,
+       {verdict} ELSE CASE WHEN bound >= {s.least} THEN 'allow' ELSE 'block' END END AS verdict,
+       CAST(n AS BIGINT) AS n_labelled
+FROM p JOIN r USING (host)"""
+
+
+_ORACLES["op6_url_reputation"] = _reputation_sql()
