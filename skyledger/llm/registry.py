@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, quality, sentencepiece_fst, simhash, toxicity, url_reputation
+from . import decontaminate, fingerprints, html_extract, licenses, quality, sentencepiece_fst, simhash, toxicity, url_reputation
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op3_html_extraction(spark, folder):
     return html_extract.extract_main_text(table(spark, folder, "pages"))
 
 
+@query
+def op4_fingerprints(spark, folder):
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
 @query
 def op5_toxicity(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
