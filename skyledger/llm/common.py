@@ -41,13 +41,23 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
 
 
 class Shared:
-    """A bounded object for all tasks, broadcast with its class."""
+    """A bounded object for all tasks, broadcast with its class and unpacked once per process."""
 
     def __init__(self, spark: SparkSession, value):
-        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.packed = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
 
     def value(self):
-        return pickle.loads(self.packed.value)
+        held = self.packed.value
+        if "value" not in held:
+            held["value"] = pickle.loads(held["packed"])
+        return held["value"]
+
+    def built(self, build: Callable):
+        """What ``build`` makes of the object, kept by a worker process for its next tasks."""
+        held = self.packed.value
+        if "built" not in held:
+            held["built"] = build(self.value())
+        return held["built"]
 
 
 def map_batches(

@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, licenses, quality, sentencepiece_fst, simhash, toxicity, url_reputation
-from .common import table
+from ..session import scratch_folder
+from . import (
+    decontaminate,
+    fingerprints,
+    html_extract,
+    licenses,
+    quality,
+    sentencepiece_fst,
+    simhash,
+    token_rollups,
+    toxicity,
+    url_reputation,
+)
+from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -80,6 +92,34 @@ def op6_url_reputation(spark, folder):
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled")
 
 
+@query
+def op9_token_rollups(spark, folder):
+    """Four batches over all documents: counts under a byte-pair vocabulary, counts in bytes, the
+    byte-pair counts revised by an end mark each, and all but the first of equal texts deleted from
+    both; the third comes twice and counts once."""
+    docs, root = table(spark, folder, "documents"), scratch_folder(spark, "rollup")
+    pieces = stored(token_rollups.count_tokens(docs, token_rollups.read_ranks(), "byte_bpe_50k"), "counts")
+    plain = docs.select(
+        token_rollups.doc_key(docs).alias("doc_key"),
+        F.lit("utf8_bytes").alias("tokenizer"),
+        "source",
+        "lang",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_tokens"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"),
+    )
+    plain = stored(plain, "counts")
+    marked = pieces.withColumn("n_tokens", F.col("n_tokens") + 1)
+    first = plain.groupBy("text_key").agg(F.min("doc_key").alias("doc_key"))
+    copies = plain.join(first, ["text_key", "doc_key"], "left_anti")
+    both = copies.unionByName(copies.withColumn("tokenizer", F.lit("byte_bpe_50k")))
+    token_rollups.commit_batch(root, 1, token_rollups.changes(pieces, "insert"))
+    token_rollups.commit_batch(root, 2, token_rollups.changes(plain, "insert"))
+    token_rollups.commit_batch(root, 3, token_rollups.changes(marked, "revise"))
+    token_rollups.commit_batch(root, 4, token_rollups.changes(both, "delete"))
+    token_rollups.commit_batch(root, 3, token_rollups.changes(marked, "revise"))
+    return token_rollups.totals(spark, root)
+
+
 @query
 def op10_licenses(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
