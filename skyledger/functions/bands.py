@@ -78,6 +78,7 @@ def fallback_result(pm25: Column, city: Column) -> Column:
             F.array(*[F.lit(text) for text in values["precautions"]]).alias("precautions"),
             F.lit(values["color_theme"]).alias("color_theme"),
             F.lit(FALLBACK_CONFIDENCE).alias("prediction_confidence"),
+            city.alias("city"),
         )
 
     return F.when(nan_to_null(pm25) > FALLBACK_LIMIT, result(FALLBACK_HIGH)).otherwise(

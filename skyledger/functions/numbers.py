@@ -41,14 +41,28 @@ def missing_to_null(text: Column) -> Column:
     return F.when(~text.isin(MISSING_TOKENS), text)
 
 
+# A number as data files write it; a cast alone would also take 1.5d and 2f.
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
+def is_number(text: Column) -> Column:
+    """Whether a text is a plain decimal number."""
+    return text.rlike(_NUMBER)
+
+
 def to_measure(text: Column) -> Column:
-    """Text to double; anything that is no number, NaN included, becomes NULL."""
-    return nan_to_null(text.try_cast("double"))
+    """Text to double; anything that is no finite number becomes NULL.
+
+    A number too large for a double (``1e400``) is NULL too: infinity would turn every mean into
+    infinity.
+    """
+    number = F.when(is_number(text), F.trim(text).try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def to_whole_number(text: Column) -> Column:
     """Text to int, also from ``4.0``; NULL where it is no whole number."""
-    number = text.try_cast("double")
+    number = to_measure(text)
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 

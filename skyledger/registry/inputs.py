@@ -19,6 +19,8 @@ from ..sources.tables import read_features, write_features
 
 KEYS = ["reading_id", "line_no"]
 KEY_FIELDS = T.StructType([T.StructField("reading_id", T.LongType()), T.StructField("line_no", T.IntegerType())])
+# Makes the registered fit repeat whatever the layout of its rows.
+FIT_PARTITIONS = 8
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
@@ -97,7 +99,8 @@ def _forest_path(application: str, folder: str) -> str:
     spark = SparkSession.active()
     root = scratch_folder(spark, "forest")
     write_features(assemble(train_split(clean(spark, folder))), f"{root}/features")
-    save_model(fit_forest(read_features(spark, f"{root}/features")), f"{root}/model")
+    rows = read_features(spark, f"{root}/features")
+    save_model(fit_forest(rows, repeatable_partitions=FIT_PARTITIONS), f"{root}/model")
     return f"{root}/model"
 
 

@@ -72,10 +72,10 @@ BAND = (
     "CASE WHEN components_pm2_5 > 150 THEN 5 WHEN components_pm2_5 > 100 THEN 4 "
     "WHEN components_pm2_5 > 50 THEN 3 WHEN components_pm2_5 > 25 THEN 2 ELSE 1 END"
 )
-TEST_RULE = f"""{CLEAN},
-scored AS (SELECT main_aqi AS label, {BAND} AS predicted FROM clean WHERE reading_id % 5 = 0)
+ALL_RULE = f"""{CLEAN},
+scored AS (SELECT main_aqi AS label, {BAND} AS predicted FROM clean)
 """
-PER_CLASS = f"""{TEST_RULE},
+PER_CLASS = f"""{ALL_RULE},
 classes AS (
 SELECT k.code,
  (SELECT count(*) FROM scored s WHERE s.label = k.code) AS support,
@@ -139,7 +139,7 @@ def _with(parts: str, select: str) -> str:
 def all_oracles() -> dict[str, str]:
     means_of_features = " UNION ALL ".join(
         f"SELECT {place} AS place, '{name}' AS feature, count({name}) AS n_values, "
-        f"round(avg(CAST({name} AS DOUBLE)), 4) AS mean_value FROM clean WHERE reading_id % 5 = 0"
+        f"round(avg(CAST({name} AS DOUBLE)), 4) AS mean_value FROM clean"
         for place, name in enumerate(f for f in FEATURES if f != "components_so2")
     )
     return {
@@ -220,7 +220,8 @@ def all_oracles() -> dict[str, str]:
              CASE WHEN high THEN 'Wear a protective N95 mask outside. | Curtail heavy training exercises.'
               ELSE 'Atmosphere is stable. Safe to proceed with standard tasks.' END AS precautions,
              CASE WHEN high THEN '#d9bca7' ELSE '#10b981' END AS color_theme,
-             91.5::DOUBLE AS prediction_confidence
+             91.5::DOUBLE AS prediction_confidence, city, 1795.7::DOUBLE AS components_co,
+             38.6::DOUBLE AS components_no2, 101.0::DOUBLE AS components_pm2_5, 21.5::DOUBLE AS temperature_2m
             FROM (SELECT *, components_pm2_5 > 100 AS high FROM filled)"""),
         "rule_confidence": _with("", f"""
             SELECT {BAND} AS aqi_code, count(*) AS n_rows, count(*) AS n_inside
@@ -232,7 +233,43 @@ def all_oracles() -> dict[str, str]:
             SELECT reading_id, line_no,
              greatest(components_no2, components_o3, components_pm2_5, components_so2) AS largest
             FROM readings"""),
-        "prediction_to_int": _with(CLEAN, "SELECT reading_id, line_no, main_aqi AS aqi_code FROM clean"),
+        **{
+            query: _with(CLEAN, f"""
+            SELECT main_aqi, count(*) AS n_rows, count(*) AS {column}
+            FROM clean WHERE reading_id % 5 = 0 GROUP BY main_aqi""")
+            for query, column in (
+                ("prediction_to_int", "n_whole"), ("forest_confidence", "n_same"), ("forest_predictions", "n_same"))
+        },
+        "forest_fit": _with(CLEAN, """
+            SELECT count(*) AS n_train, 11 AS n_features, 1.0::DOUBLE AS total_importance,
+             true AS none_negative, true AS layout_is_no_matter FROM clean WHERE reading_id % 5 <> 0"""),
+        "forest_metrics": _with(CLEAN, """
+            SELECT count(*) AS n_rows, true AS accuracy_agrees, true AS weighted_f1_agrees
+            FROM clean WHERE reading_id % 5 = 0"""),
+        "score_by_forest": _with(REQUESTS, """
+            SELECT 'success' AS status, count(*) AS n_rows, count(*) AS n_advice, count(*) AS n_index,
+             count(*) AS n_confidence, count(*) AS n_model FROM requests"""),
+        "stream_by_forest": _with(REQUESTS, """
+            SELECT CASE WHEN ok THEN 'success' ELSE 'error' END AS status, count(*) AS n_rows,
+             count(*) FILTER (WHERE ok) AS n_advice, count(*) FILTER (WHERE ok) AS n_index,
+             count(*) FILTER (WHERE ok) AS n_confidence, count(*) FILTER (WHERE ok) AS n_model
+            FROM (SELECT reading_id % 13 <> 0 AS ok FROM requests) GROUP BY ok"""),
+        "score_json_requests": _with(REQUESTS, f"""
+            SELECT CASE WHEN kind NOT IN (4, 5) THEN reading_id END AS reading_id,
+             CASE WHEN kind NOT IN (4, 5) THEN line_no END AS line_no,
+             CASE WHEN kind IN (3, 4, 5) THEN 'error' ELSE 'success' END AS status,
+             CASE WHEN kind NOT IN (3, 4, 5) THEN {BAND} END AS aqi_code,
+             CASE WHEN kind NOT IN (3, 4, 5) THEN city END AS city, hour, month,
+             CASE WHEN kind NOT IN (3, 4, 5) THEN 'rule' END AS scored_by,
+             CASE WHEN kind = 3 THEN 'components_pm2_5 is no number'
+              WHEN kind IN (4, 5) THEN 'no JSON object' END AS message
+            FROM (SELECT reading_id, line_no, reading_id % 17 AS kind, coalesce(city, 'Karachi') AS city,
+             CASE WHEN reading_id % 17 = 6 THEN 101.0::DOUBLE
+              ELSE coalesce(components_pm2_5, 101.0::DOUBLE) END AS components_pm2_5,
+             CAST(CASE WHEN reading_id % 17 IN (4, 5) THEN 12 WHEN reading_id % 17 = 7 THEN line_no
+              ELSE coalesce(hour, 12) END AS INT) AS hour,
+             CAST(CASE WHEN reading_id % 17 IN (4, 5) THEN 6 WHEN reading_id % 17 = 7 THEN line_no + 1
+              ELSE coalesce(month, 6) END AS INT) AS month FROM requests)"""),
         "percent_rounding": _with("", f"""
             SELECT reading_id, line_no, {_shown('components_pm2_5 / 400 * 100', 1)} AS percent FROM readings"""),
         "display_index": _with("", f"""
@@ -306,14 +343,14 @@ def all_oracles() -> dict[str, str]:
         "forest_prediction_counts": _with(CLEAN, """
             SELECT main_aqi, count(*) AS n_rows, count(*) AS n_class_valid, count(*) AS n_confidence_valid
             FROM clean WHERE reading_id % 5 = 0 GROUP BY main_aqi"""),
-        "rule_accuracy": _with(TEST_RULE, """
+        "rule_accuracy": _with(ALL_RULE, """
             SELECT count(*) AS n_rows,
              round(avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy FROM scored"""),
         "rule_weighted_f1": _with(PER_CLASS, """
             SELECT CAST(sum(support) AS BIGINT) AS n_rows,
              round(sum(support * coalesce(2.0::DOUBLE * hits / nullif(support + claimed, 0), 0)) / sum(support), 9)
               AS weighted_f1 FROM classes"""),
-        "confusion_matrix": _with(TEST_RULE, """
+        "confusion_matrix": _with(ALL_RULE, """
             SELECT label, predicted, count(*) AS n_rows FROM scored GROUP BY label, predicted"""),
         "score_by_rule": _with(ANSWERS, "SELECT * FROM answers"),
         "stream_by_rule": _with(ANSWERS, "SELECT " + ", ".join(

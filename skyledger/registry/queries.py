@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def feature_projection(spark, folder):
     rows = inputs.clean(spark, folder)
     train, test = train_split(rows), test_split(rows).drop("components_so2")
     names = features.available_features(train, test)
-    totals = test.select(names).agg(
+    totals = train.select(names).unionByName(test.select(names)).agg(
         *[F.count(name).alias(f"n_{name}") for name in names],
         *[F.avg(F.col(name).cast("double")).alias(f"mean_{name}") for name in names],
     )
@@ -320,8 +321,10 @@ def pm25_class(spark, folder):
 def fallback_rule(spark, folder):
     rows = features.fill_request_defaults(inputs.requests(spark, folder))
     answer = fallback_result(F.col("components_pm2_5"), F.col("city"))
-    return rows.select(*KEYS, answer.alias("answer")).select(
-        *KEYS, "answer.*"
+    answered = baselines.attach_baselines(rows, baselines.default_baselines(spark))
+    flat = answered.select(*KEYS, answer.alias("answer"), "historical_baselines")
+    return flat.select(
+        *KEYS, "answer.*", *[f"historical_baselines.{name}" for name in BASELINE_MEASURES]
     ).withColumn("precautions", F.array_join("precautions", " | "))
 
 
@@ -360,14 +363,35 @@ def vector_max(spark, folder):
 
 @query
 def forest_confidence(spark, folder):
-    scored = forest.predict(inputs.forest(spark, folder), inputs.test_vectors(spark, folder))
-    return scored.select(*KEYS, "confidence")
+    """How often the confidence is the probability of the predicted class and no class has more."""
+    rows = _both_ways(spark, folder)
+    odds = vector_to_array("probability")
+    same = (F.col("confidence") == odds[F.col("prediction").cast("int")]) & (
+        F.size(F.filter(odds, lambda share: share > F.col("confidence"))) == 0
+    )
+    return rows.groupBy("main_aqi").agg(F.count("*").alias("n_rows"), F.count_if(same).alias("n_same"))
+
+
+def _both_ways(spark, folder) -> DataFrame:
+    """Test rows with what the model itself says and with class and confidence of `predict`."""
+    model = inputs.forest(spark, folder)
+    raw = model.transform(inputs.test_vectors(spark, folder)).withColumnRenamed("prediction", "raw_prediction")
+    own = model.copy()
+    own.setPredictionCol("prediction").setProbabilityCol("own_probability").setRawPredictionCol("own_votes")
+    own_odds = own.transform(raw)
+    return own_odds.select(
+        "*",
+        F.col("prediction").cast("int").alias("aqi_code"),
+        forest.confidence("own_probability").alias("confidence"),
+    )
 
 
 @query
 def prediction_to_int(spark, folder):
-    prediction = F.col("main_aqi").cast("double")
-    return inputs.clean(spark, folder).select(*KEYS, prediction.cast("int").alias("aqi_code"))
+    """The class of `predict` is a whole number, and one that the forest knows."""
+    scored = forest.predict(inputs.forest(spark, folder), inputs.test_vectors(spark, folder))
+    whole = F.lit(dict(scored.dtypes)["prediction"] == "int") & F.col("prediction").between(0, 5)
+    return scored.groupBy("main_aqi").agg(F.count("*").alias("n_rows"), F.count_if(whole).alias("n_whole"))
 
 
 @query
@@ -510,10 +534,25 @@ def dashboard_or_fallback(spark, folder):
 
 @query
 def forest_fit(spark, folder):
-    """Importance of each feature in the trained forest."""
+    """Importances of the forest, and whether fits of rows laid out in two ways give equal trees."""
     model = inputs.forest(spark, folder)
-    rows = [(name, float(value)) for name, value in zip(FEATURES, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    vectors = features.assemble(train_split(inputs.clean(spark, folder)))
+    layouts = []
+    for n in (3, 7):
+        path = scratch_folder(spark, "layout")
+        tables.write_features(vectors.repartition(n), path)
+        fitted = forest.fit_forest(
+            tables.read_features(spark, path), num_trees=3, repeatable_partitions=inputs.FIT_PARTITIONS
+        )
+        layouts.append(fitted.toDebugString.split("\n", 1)[1])
+    importances = [float(value) for value in model.featureImportances.toArray()]
+    return train_split(inputs.clean(spark, folder)).agg(
+        F.count("*").alias("n_train"),
+        F.lit(len(importances)).alias("n_features"),
+        F.round(F.lit(sum(importances)), 9).alias("total_importance"),
+        F.lit(min(importances) >= 0).alias("none_negative"),
+        F.lit(layouts[0] == layouts[1]).alias("layout_is_no_matter"),
+    )
 
 
 @query
@@ -530,7 +569,13 @@ def forest_shape(spark, folder):
 
 @query
 def forest_predictions(spark, folder):
-    return forest.predict(inputs.forest(spark, folder), inputs.test_vectors(spark, folder))
+    """How often the class of `predict` is the one with the most votes, the first of equal ones."""
+    rows = _both_ways(spark, folder)
+    votes = vector_to_array("rawPrediction")
+    most = F.array_position(votes, F.array_max(votes)) - 1
+    return rows.groupBy("main_aqi").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("aqi_code") == most).alias("n_same")
+    )
 
 
 @query
@@ -546,13 +591,25 @@ def forest_prediction_counts(spark, folder):
 
 @query
 def forest_metrics(spark, folder):
+    """Accuracy and weighted F1 against those of Spark's evaluator."""
     scored = forest.predict(inputs.forest(spark, folder), inputs.test_vectors(spark, folder))
-    return forest.evaluate(scored)
+    path = scratch_folder(spark, "scored")
+    scored.write.parquet(path)
+    stored = spark.read.parquet(path)
+    doubles = stored.select(F.col("main_aqi").cast("double"), F.col("prediction").cast("double"))
+    theirs = {
+        name: MulticlassClassificationEvaluator(labelCol="main_aqi", metricName=metric).evaluate(doubles)
+        for name, metric in (("accuracy", "accuracy"), ("weighted_f1", "f1"))
+    }
+    own = forest.evaluate(stored)
+    return own.select(
+        "n_rows", *[(F.abs(F.col(name) - value) < 1e-9).alias(f"{name}_agrees") for name, value in theirs.items()]
+    )
 
 
 def _rule_predictions(spark, folder) -> DataFrame:
     prediction = class_of_pm25(F.col("components_pm2_5"))
-    return test_split(inputs.clean(spark, folder)).select("main_aqi", prediction.alias("prediction"))
+    return inputs.clean(spark, folder).select("main_aqi", prediction.alias("prediction"))
 
 
 @query
@@ -603,8 +660,29 @@ def score_by_rule(spark, folder):
 def score_by_forest(spark, folder):
     means = baselines.dataset_baselines(inputs.clean(spark, folder))
     model = inputs.forest(spark, folder)
-    answers = scoring.score(inputs.requests(spark, folder), means, model, keep=KEYS)
-    return _flat_answer(answers, "prediction_confidence")
+    return _agreeing(scoring.score(inputs.requests(spark, folder), means, model, keep=KEYS))
+
+
+def _agreeing(answers: DataFrame) -> DataFrame:
+    """Per status, answers whose advice, label and index are those of their own class, whose
+    confidence can be one, and which say that the model gave them."""
+    texts = advice.advice_table(answers.sparkSession).collect()
+    expected = F.lit(None)
+    for row in texts:
+        own = F.struct(
+            F.lit(row.health_status).alias("health_status"),
+            F.concat(F.lit(row.label_prefix + " ("), "city", F.lit(")")).alias("aqi_label"),
+            F.lit(row.color_theme).alias("color_theme"),
+        )
+        expected = F.when(advice.advice_class(F.col("aqi_code")) == row.advice_class, own).otherwise(expected)
+    given = F.struct("health_status", "aqi_label", "color_theme")
+    return answers.groupBy("status").agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(given == expected).alias("n_advice"),
+        F.count_if(F.col("display_index") == index_of_class(F.col("aqi_code"))).alias("n_index"),
+        F.count_if(F.col("prediction_confidence").between(0, 100)).alias("n_confidence"),
+        F.count_if(F.col("scored_by") == "model").alias("n_model"),
+    )
 
 
 def _request_lines(spark, folder) -> str:
@@ -615,16 +693,55 @@ def _request_lines(spark, folder) -> str:
         "temperature_2m", F.nullif(F.col("temperature_2m"), F.lit(float("nan")))
     )
     broken = F.when(F.col("reading_id") % 13 == 0, F.concat(F.lit("x"), line)).otherwise(line)
-    rows.select(broken.alias("value")).repartition(4).write.text(path)
+    rows.select(broken.alias("value")).write.text(path)
     return path
 
 
+def _mixed_request_lines(spark, folder) -> str:
+    """Requests as JSON files in which numbers come as text or with a fraction, some are junk or
+    missing, some lines are cut or no object, and some give a date instead of hour and month."""
+    path = scratch_folder(spark, "mixed-requests")
+    rows = inputs.requests(spark, folder).withColumn(
+        "temperature_2m", F.nullif(F.col("temperature_2m"), F.lit(float("nan")))
+    )
+
+    def line(**changed: Column) -> Column:
+        fields = [changed.get(name, F.col(name)).alias(name) for name in [*KEYS, *REQUEST_DEFAULTS]]
+        more = [value.alias(name) for name, value in changed.items() if name not in REQUEST_DEFAULTS]
+        return F.to_json(F.struct(*fields, *more), {"ignoreNullFields": "true"})
+
+    kind = F.col("reading_id") % 17
+    moment = F.format_string("2021-%02d-13T%02d:30:00", F.col("line_no") + 1, F.col("line_no"))
+    texts = {name: F.col(name).cast("string") for name in ("hour", "components_pm2_5")}
+    absent = F.lit(None).cast("int")
+    value = (
+        F.when(kind == 0, line(**texts))
+        .when(kind == 2, line(hour=F.col("hour") + 0.9))
+        .when(kind == 3, line(components_pm2_5=F.lit("abc")))
+        .when(kind == 4, F.expr("left(plain, length(plain) - 3)"))
+        .when(kind == 5, F.concat(F.lit("["), F.col("plain"), F.lit("]")))
+        .when(kind == 6, line(components_pm2_5=F.lit("NaN")))
+        .when(kind == 7, line(hour=absent, month=absent, datetime=moment))
+        .otherwise(F.col("plain"))
+    )
+    rows.withColumn("plain", line()).select(value.alias("value")).write.text(path)
+    return path
+
+
+@query
+def score_json_requests(spark, folder):
+    lines = request_files.read_requests(spark, _mixed_request_lines(spark, folder), inputs.KEY_FIELDS)
+    means = baselines.default_baselines(spark)
+    answers = scoring.score(lines, means, keep=[*KEYS, "hour", "month"])
+    return answers.select(*KEYS, "status", "aqi_code", "city", "hour", "month", "scored_by", "message")
+
+
 def _streamed(spark, folder, model) -> tuple[DataFrame, DataFrame]:
     """Answers of the stream and of a batch over the same files."""
     lines = _request_lines(spark, folder)
     means = baselines.dataset_baselines(inputs.clean(spark, folder)).first().asDict()
     output = scratch_folder(spark, "answers")
-    arriving = request_files.stream_requests(spark, lines, inputs.KEY_FIELDS, files_per_batch=2)
+    arriving = request_files.stream_requests(spark, lines, inputs.KEY_FIELDS)
     started = start_scoring(
         arriving, means, output, scratch_folder(spark, "progress"), model, keep=KEYS
     )
@@ -642,8 +759,7 @@ def stream_by_rule(spark, folder):
 
 @query
 def stream_by_forest(spark, folder):
-    answers = _streamed(spark, folder, inputs.forest(spark, folder))[0]
-    return _flat_answer(answers, "prediction_confidence")
+    return _agreeing(_streamed(spark, folder, inputs.forest(spark, folder))[0])
 
 
 @query

@@ -4,18 +4,11 @@ import pytest
 
 import __spark_entry__ as registry
 import oracle_check
+from skyledger.registry.oracle import all_oracles
+from skyledger.registry.queries import all_queries
 
-QUERIES = registry.queries()
-ORACLES = registry.oracle_sql()
-# Only what a trained forest decides has no SQL.
-WITHOUT_SQL = {
-    "forest_confidence",
-    "forest_fit",
-    "forest_metrics",
-    "forest_predictions",
-    "score_by_forest",
-    "stream_by_forest",
-}
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +16,9 @@ def tables(small):
     return oracle_check.connect(small)
 
 
-def test_every_query_but_the_forest_has_sql():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registry.queries()) and set(ORACLES) <= set(registry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -33,11 +26,6 @@ def test_query_equals_sql(spark, small, tables, name):
     assert oracle_check.difference(QUERIES[name](spark, small), tables, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_gives_rows(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
-
-
 def test_entry_is_the_timeline(spark):
     rows = registry.entry(spark)
     assert rows.columns == ["label", "real_pm25"]
