@@ -10,8 +10,9 @@ filter over neighbouring pieces, which lets b follow a only if merging the strin
 A sequence is what merging gives exactly if all its neighbours pass, so for such a model one path is
 left at each place, and encodings equal those of the sentencepiece library.
 
-No piece has the mark after another character, so paths never cross into a new word: a text is
-composed word by word, and what a word gave is kept in a table of bounded size.
+A text is composed word by word, where a word ends between characters that no piece joins (a mark
+after another character, a letter and a comma), so paths never cross; what a word gave is kept in a
+table of bounded size, which a worker process carries from task to task.
 
 Cases: null and empty texts have no ids; no ids decode to the empty text. Decoding gives the text
 back exactly, but for the mark itself (U+2581), which becomes a space. Very long words are walked in
@@ -40,8 +41,10 @@ MARK = "▁"
 # Byte fallback is dearer than any piece.
 BYTE_COST = 1e6
 PAIR_BASE = 1 << 24
-WORDS_KEPT = 600_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
+PAIRS_KEPT = 400_000
+# Rows that a task holds ids of at once.
+ROWS = 1000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _BYTE = 1, 6
 _USER_DEFINED = 4
@@ -94,6 +97,22 @@ class WordTable(dict):
         return found
 
 
+def _word_pattern(texts: list[str]) -> str:
+    """Pattern of the parts of a text that no piece crosses: characters that stand next to each
+    other in some piece, directly or through others, go together; marks go with what follows."""
+    if any(MARK in text.lstrip(MARK) for text in texts):
+        return ".+"
+    group: dict[str, set[str]] = {}
+    for text in texts:
+        chars = set(text) - {MARK}
+        if len(text.lstrip(MARK)) > 1:
+            merged = set().union(chars, *(group[char] for char in chars if char in group))
+            group.update(dict.fromkeys(merged, merged))
+    groups = sorted({id(chars): chars for chars in group.values()}.values(), key=len, reverse=True)
+    runs = "|".join(f"[{''.join(map(re.escape, sorted(chars)))}]+" for chars in groups)
+    return f"{MARK}*(?:{runs}|[^{MARK}])|{MARK}+" if runs else f"{MARK}*[^{MARK}]|{MARK}+"
+
+
 class Transducer:
     """The compiled transducers of a model."""
 
@@ -110,13 +129,8 @@ class Transducer:
         self.byte_ids = {int(t[3:5], 16): k for k, t in enumerate(pieces.texts) if pieces.kinds[k] == _BYTE}
         self.merges = pieces.merges
         self.follows: dict[int, bool] = {}
-        inner = any(MARK in text.lstrip(MARK) for text in self.id_of)
-        self.words = re.compile(".+" if inner else f"{MARK}*[^{MARK}]+|{MARK}+", re.S).findall
+        self.words = re.compile(_word_pattern(list(self.id_of)), re.S).findall
         self.table = WordTable(self.shortest_path)
-        self.outputs = [
-            bytes([int(text[3:5], 16)]) if kind == _BYTE else text.replace(MARK, " ").encode() if kind == _NORMAL else b""
-            for text, kind in zip(pieces.texts, pieces.kinds)
-        ]
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, best score first, leftmost first."""
@@ -181,6 +195,16 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
+
+class Decoder:
+    """The way back: pieces and bytes to text, without the space put in front."""
+
+    def __init__(self, pieces: Pieces):
+        self.outputs = [
+            bytes([int(text[3:5], 16)]) if kind == _BYTE else text.replace(MARK, " ").encode() if kind == _NORMAL else b""
+            for text, kind in zip(pieces.texts, pieces.kinds)
+        ]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.outputs.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
@@ -193,7 +217,7 @@ def _with_column(docs: DataFrame, name: str, kind: T.DataType, made) -> DataFram
 
     def run(batches):
         build = made()
-        for batch in batches:
+        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
             column = build(batch)
             arrays = [value for field, value in zip(batch.schema, batch.columns) if field.name in names] + [column]
             fields = [field for field in batch.schema if field.name in names] + [pa.field(name, column.type)]
@@ -208,7 +232,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = Shared(docs.sparkSession, pieces)
 
     def made():
-        machine = Transducer(shared.value())
+        machine = shared.built(Transducer)
 
         def build(batch):
             packed = [machine.packed(text) for text in batch.column("text").to_pylist()]
@@ -226,7 +250,7 @@ def decode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = Shared(docs.sparkSession, pieces)
 
     def made():
-        machine = Transducer(shared.value())
+        machine = shared.built(Decoder)
 
         def build(batch):
             ids = batch.column("ids")
