@@ -12,7 +12,7 @@ from .plans.preprocess import preprocess
 from .plans.training import train_and_evaluate
 from .session import tune
 from .sources.models import load_model
-from .sources.requests import read_requests, stream_requests
+from .sources.requests import read_requests, stream_requests, text_fields
 from .streaming.scoring import start_scoring
 
 
@@ -24,11 +24,14 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     prepare.add_argument("--train", required=True)
     prepare.add_argument("--test", required=True)
     prepare.add_argument("--output", required=True)
+    prepare.add_argument("--header", help="comma-joined columns of all files, which are then not looked up")
+    prepare.add_argument("--handle-invalid", choices=["skip", "keep", "error"], default="skip")
 
     train = jobs.add_parser("train", help="fit, measure and save the forest")
     train.add_argument("--train-features", required=True)
     train.add_argument("--test-features", required=True)
     train.add_argument("--model", required=True)
+    train.add_argument("--repeatable-partitions", type=int, help="a fit that does not depend on the layout of rows")
 
     board = jobs.add_parser("dashboard", help="timeline and overall index of clean readings")
     board.add_argument("--readings", required=True)
@@ -41,8 +44,11 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
         job.add_argument("--model", required=True, help="absent model: the rule answers")
         job.add_argument("--model-accuracy", type=float)
         job.add_argument("--output", required=True)
+        job.add_argument("--id", action="append", default=[], help="request field to carry into the answer")
+        job.add_argument("--on-error", choices=["error", "fallback"], default="error")
         if name == "stream":
             job.add_argument("--checkpoint", required=True)
+            job.add_argument("--files-per-batch", type=int, help="most files of a batch; default: all that wait")
             job.add_argument("--interval", help="keep running, e.g. '10 seconds'")
     return parser.parse_args(words)
 
@@ -51,14 +57,21 @@ def main(words: list[str] | None = None) -> None:
     options = _arguments(words)
     spark = tune(SparkSession.builder.appName(f"skyledger-{options.job}").getOrCreate())
     if options.job == "preprocess":
-        prepared = preprocess(spark, options.train, options.test, options.output)
+        header = options.header.split(",") if options.header else None
+        prepared = preprocess(
+            spark, options.train, options.test, options.output, header, options.handle_invalid
+        )
         prepared.train_report.show()
         prepared.test_report.show()
         prepared.train_incomplete.show()
         prepared.test_incomplete.show()
     elif options.job == "train":
         trained = train_and_evaluate(
-            spark, options.train_features, options.test_features, options.model
+            spark,
+            options.train_features,
+            options.test_features,
+            options.model,
+            options.repeatable_partitions,
         )
         print(f"accuracy {trained.accuracy:.4f}, weighted F1 {trained.weighted_f1:.4f}")
     elif options.job == "dashboard":
@@ -66,17 +79,21 @@ def main(words: list[str] | None = None) -> None:
     else:
         model = load_model(spark, options.model)
         means = current_baselines(spark, options.readings, options.model_accuracy)
+        carried = text_fields(options.id)
         if options.job == "score":
-            answers = score(read_requests(spark, options.requests), means, model)
+            requests = read_requests(spark, options.requests, carried)
+            answers = score(requests, means, model, options.id, options.on_error)
             answers.write.mode("overwrite").parquet(options.output)
         else:
             start_scoring(
-                stream_requests(spark, options.requests),
+                stream_requests(spark, options.requests, carried, options.files_per_batch),
                 means.first().asDict(),
                 options.output,
                 options.checkpoint,
                 model,
-                interval=options.interval,
+                options.id,
+                options.interval,
+                options.on_error,
             ).awaitTermination()
 
 

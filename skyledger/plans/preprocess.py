@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_readings, cleaning_report_after_write
 from ..operators.features import assemble, available_features, count_incomplete
-from ..sources.csv_files import read_testing, read_training, write_csv
+from ..sources.csv_files import (
+    read_testing,
+    read_training,
+    refuse_uneven_pieces,
+    testing_paths,
+    training_paths,
+    write_csv,
+)
 from ..sources.tables import read_readings, write_features, write_readings
 
 
@@ -28,13 +35,31 @@ class PreparedData:
     test_incomplete: DataFrame
 
 
-def preprocess(spark: SparkSession, train_folder: str, test_folder: str, output: str) -> PreparedData:
+def preprocess(
+    spark: SparkSession,
+    train_folder: str,
+    test_folder: str,
+    output: str,
+    header: list[str] | None = None,
+    handle_invalid: str = "skip",
+) -> PreparedData:
     """Clean both folders and write readings, CSV copies and feature vectors.
 
+    ``header`` names the columns of all files, which are then not opened before the scan.
+    ``handle_invalid`` says what a missing feature does: ``skip`` drops the row, ``keep`` puts NaN,
+    ``error`` fails. A piece that lacks a feature column which others have would lose all its rows
+    to ``skip``, so it is refused, by name, unless ``keep`` is asked for.
+
     Cleaning runs once per folder; the CSV, the vectors and the report start from its written
     table.
     """
-    raw = {"train": read_training(spark, train_folder), "test": read_testing(spark, test_folder)}
+    if handle_invalid == "skip" and not header:
+        for paths in (training_paths(spark, train_folder), testing_paths(spark, test_folder)):
+            refuse_uneven_pieces(spark, paths)
+    raw = {
+        "train": read_training(spark, train_folder, header),
+        "test": read_testing(spark, test_folder, header),
+    }
     table = {part: f"{output}/{part}_readings" for part in raw}
     csv = {part: f"{output}/{part}_csv" for part in raw}
     vectors = {part: f"{output}/{part}_features" for part in raw}
@@ -45,7 +70,7 @@ def preprocess(spark: SparkSession, train_folder: str, test_folder: str, output:
     features = available_features(clean["train"], clean["test"])
     for part, readings in clean.items():
         write_csv(readings, csv[part])
-        write_features(assemble(readings, features), vectors[part])
+        write_features(assemble(readings, features, handle_invalid=handle_invalid), vectors[part])
     return PreparedData(
         table["train"],
         table["test"],

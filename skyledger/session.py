@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from .sources.paths import qualified_path, remove_at_end
+
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,7 +18,10 @@ RUNTIME_SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings every plan here relies on."""
+    """Apply the run-time SQL settings every plan here relies on.
+
+    They stay set: plans are built lazily, so they must hold when the caller runs them.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -26,17 +30,19 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine, because there
-    every task runs on it.
+    Only a local master may do without: there every task runs on one machine, and a folder of the
+    default file system serves.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.gettempdir()
+    return qualified_path(spark, "/tmp")
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new, unused folder name under the shared folder."""
-    return f"{scratch_root(spark)}/skyledger/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused folder name under the shared folder; it is removed when the application ends."""
+    own = f"{scratch_root(spark)}/skyledger/{spark.sparkContext.applicationId}"
+    remove_at_end(spark, own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"

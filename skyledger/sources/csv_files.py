@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -19,7 +21,7 @@ from ..schema import (
     TRAIN_PIECES,
     TRAIN_WORKBOOKS,
 )
-from .paths import EmptySourceError, matching_paths, path_exists
+from .paths import EmptySourceError, first_line, matching_paths, path_exists
 
 _WHOLE_NUMBERS = [LABEL, "hour", "month", "year"]
 _HEADER_READERS = 16
@@ -39,14 +41,21 @@ def _text_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in header])
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
-    """The header of each path; each needs only the first line of one file."""
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The header of a path, from the first line of its first file; no Spark job."""
+    line = first_line(spark, path) or ""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    seen = Counter(name.lower() for name in names)
+    # Names that are empty or stand twice get their place, as Spark names them.
+    return tuple(
+        f"_c{place}" if not name else f"{name}{place}" if seen[name.lower()] > 1 else name
+        for place, name in enumerate(names)
+    )
 
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(_csv_options(spark).csv(path).columns)
 
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
     with ThreadPoolExecutor(min(_HEADER_READERS, len(paths))) as pool:
-        return list(pool.map(header, paths))
+        return list(pool.map(lambda path: _header(spark, path), paths))
 
 
 def numeric_extras(raw: DataFrame) -> list[str]:
@@ -137,6 +146,20 @@ def training_paths(spark: SparkSession, folder: str) -> list[str]:
     return matching_paths(spark, f"{folder}/{TRAIN_PIECES}")
 
 
+def testing_paths(spark: SparkSession, folder: str) -> list[str]:
+    return matching_paths(spark, f"{folder}/{TEST_PIECES}")
+
+
+def refuse_uneven_pieces(spark: SparkSession, paths: list[str]) -> None:
+    """Raise where a piece lacks a feature column that another piece of the same part has."""
+    headers = dict(zip(paths, _headers(spark, paths))) if paths else {}
+    wanted = {name for names in headers.values() for name in names} & set(MEASURES)
+    for path, names in headers.items():
+        missing = sorted(wanted - set(names))
+        if missing:
+            raise ValueError(f"{path} lacks {', '.join(missing)}, which other pieces have")
+
+
 def read_training(spark: SparkSession, folder: str, header: list[str] | None = None) -> DataFrame:
     """Training readings; raises `EmptySourceError` before planning where there are none."""
     paths = training_paths(spark, folder)
@@ -147,7 +170,7 @@ def read_training(spark: SparkSession, folder: str, header: list[str] | None = N
 
 def read_testing(spark: SparkSession, folder: str, header: list[str] | None = None) -> DataFrame:
     """Testing readings; raises `EmptySourceError` before planning where there are none."""
-    paths = matching_paths(spark, f"{folder}/{TEST_PIECES}")
+    paths = testing_paths(spark, folder)
     if not paths:
         raise EmptySourceError(f"no testing files in {folder}")
     return read_csv(spark, paths, header)

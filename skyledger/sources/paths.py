@@ -9,14 +9,61 @@ class EmptySourceError(ValueError):
     """No input was found where a source was asked to read."""
 
 
+def _resolved(spark: SparkSession, path: str):
+    """A path and the file system it lives on."""
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Files or folders that match a glob, in order of name; empty where there are none."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(pattern)
-    file_system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    path, file_system = _resolved(spark, pattern)
     found = file_system.globStatus(path)
     return sorted(status.getPath().toString() for status in (found or []))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    return bool(matching_paths(spark, path))
+    """Whether a plain path exists; brackets and stars in it are ordinary characters."""
+    found, file_system = _resolved(spark, path)
+    return file_system.exists(found)
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """A path with the file system it stands for."""
+    found, file_system = _resolved(spark, path)
+    return file_system.makeQualified(found).toString()
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Make a folder that its file system removes when the application ends."""
+    found, file_system = _resolved(spark, path)
+    if not file_system.exists(found):
+        file_system.mkdirs(found)
+        file_system.deleteOnExit(found)
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of the first file of a path that has one, read without a Spark job."""
+    jvm = spark.sparkContext._jvm
+    place, file_system = _resolved(spark, path)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(file_system.getConf())
+    listed = sorted((status for status in file_system.listStatus(place)), key=lambda s: s.getPath().getName())
+    for status in listed:
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            line = first_line(spark, status.getPath().toString())
+        else:
+            stream = file_system.open(status.getPath())
+            codec = codecs.getCodec(status.getPath())
+            opened = codec.createInputStream(stream) if codec else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "UTF-8"))
+            try:
+                line = reader.readLine()
+            finally:
+                reader.close()
+        if line is not None:
+            return line
+    return None

@@ -21,6 +21,7 @@ from skyledger.schema import DEFAULT_BASELINES
 from skyledger.sources.csv_files import read_csv, write_csv
 from skyledger.sources.driver_tables import readings_view
 from skyledger.sources.models import load_model
+from skyledger.sources.paths import path_exists, qualified_path
 from skyledger.sources.tables import read_features, read_readings
 
 
@@ -95,11 +96,15 @@ def test_scratch_needs_a_shared_folder_off_a_local_master():
             self.conf = {"spark.checkpoint.dir": folder} if folder else {}
 
     assert session.scratch_root(Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
-    assert session.scratch_root(Session("local[4]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_root(Session("spark://host:7077"))
 
 
+def test_scratch_without_a_shared_folder_is_on_the_default_file_system(spark):
+    local = SimpleNamespace(sparkContext=spark.sparkContext, conf={})
+    assert session.scratch_root(local) == qualified_path(spark, "/tmp") == "file:/tmp"
+
+
 def test_scratch_follows_the_session(spark):
     assert session.scratch_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert session.scratch_folder(spark, "x") != session.scratch_folder(spark, "x")
@@ -142,3 +147,20 @@ def test_results_hold_and_the_join_splits_where_one_key_has_a_third(spark, skewe
     finally:
         for key in small_parts:
             spark.conf.unset(key)
+
+
+def test_a_piece_without_a_column_does_not_vanish_unnoticed(spark, small, tmp_path):
+    root, text = str(tmp_path), inputs.text_readings(spark, small).where("reading_id % 12 = 0")
+    write_csv(text, f"{root}/train/a_complete_data.csv")
+    write_csv(text.drop("components_so2"), f"{root}/train/b_complete_data.csv")
+    write_csv(text, f"{root}/test/all.csv")
+    with pytest.raises(ValueError, match="b_complete_data.csv lacks components_so2"):
+        preprocess(spark, f"{root}/train", f"{root}/test", f"{root}/out")
+    done = preprocess(spark, f"{root}/train", f"{root}/test", f"{root}/kept", handle_invalid="keep")
+    assert read_features(spark, done.train_features).count() == read_readings(spark, done.train_readings).count()
+
+
+def test_a_plain_path_is_no_glob(spark, tmp_path):
+    (tmp_path / "run[1]").mkdir()
+    assert path_exists(spark, str(tmp_path / "run[1]"))
+    assert not path_exists(spark, str(tmp_path / "run*"))

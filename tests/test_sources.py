@@ -1,6 +1,7 @@
 """Files in, files out."""
 
 import datetime
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,24 @@ def test_readings_table_prunes_months_and_splits_a_hot_one(spark, tmp_path):
     plan = stored.where((F.col("year") == 2021) & (F.col("month") == 2)).select("components_pm2_5")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in text and "ReadSchema: struct<components_pm2_5:double>" in text
+
+
+def test_headers_of_many_pieces_start_no_jobs(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"p{k:03d}_complete_data.csv").write_text("datetime,main_aqi\n2021-08-01,1\n" if k % 2 else "main_aqi,datetime\n1,2021-08-01\n")
+    spark.sparkContext.setJobGroup("headers", "opening pieces")
+    frame = csv_files.read_csv_glob(spark, f"{tmp_path}/*_complete_data.csv")
+    # Spark lists many paths in a job of its own, one per distinct header; headers take none.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) <= 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert frame.where("main_aqi = 1").count() == 200
+
+
+def test_header_forms(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffmain_aqi,"a,b",,x,X\n1,2,3,4,5\n')
+    assert csv_files._header(spark, str(tmp_path / "a.csv")) == ("main_aqi", "a,b", "_c2", "x3", "X4")
+    (tmp_path / "empty.csv").write_text("")
+    assert csv_files._header(spark, str(tmp_path / "empty.csv")) == ()
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as file:
+        file.write("q,r\n1,2\n")
+    assert csv_files._header(spark, str(tmp_path / "z.csv.gz")) == ("q", "r")
