@@ -10,8 +10,21 @@ _CLOCK = r"(?!\d)[T ,]*(.*)$"
 _YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + _CLOCK
 # 20210813, 20210813 05:00
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})" + _CLOCK
-# 8/13/21
-_SHORT_YEAR = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})" + _CLOCK
+# 202108130500, 20210813050000
+_COMPACT_MINUTE = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})$"
+_COMPACT_SECOND = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$"
+# 8/13/21; the years come from the pivot
+_SHORT_YEAR = r"^(\d{1,2})[/.-](\d{1,2})[/.-](%s)" + _CLOCK
+# 13-Aug-21
+_DAY_NAME_SHORT_YEAR = r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?[ -](%s)" + _CLOCK
+# 08/2021
+_MONTH_AND_YEAR = r"^(\d{1,2})[/-](\d{4})$"
+# Aug 2021
+_NAME_AND_YEAR = r"^([A-Za-z]{3,9})\.?[ ,-]+(\d{4})$"
+# Friday, ...
+_WEEKDAY = r"(?i)^(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? +(?=\S)"
+# 5:00 2021-08-13
+_CLOCK_FIRST = r"^(\d{1,2}:\d{2}(?::\d{2})?) +(\S.*)$"
 # 8/13/2021 5:00, 8-13-2021, 13.8.2021
 _NUMERIC_DATE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK
 # 13 August 2021, 3rd Aug 2021, 13-Aug-2021 05:00
@@ -38,15 +51,34 @@ def _month_number(name: Column) -> Column:
     return F.when(name.rlike(_MONTH_NAME), number)
 
 
-def parse_mixed_timestamp(readings: DataFrame, source: str, target: str | None = None) -> DataFrame:
+# Two-digit years from here on belong to the last century, the others to this one.
+YEAR_PIVOT = 69
+
+
+def _centuries(pivot: int) -> list[tuple[str, str]]:
+    """Alternatives of two-digit years, and the century that each lot belongs to."""
+    lots = [(range(pivot, 100), "19"), (range(pivot), "20")]
+    return [("|".join(f"{year:02d}" for year in years), century) for years, century in lots if years]
+
+
+def _in_turn(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def parse_mixed_timestamp(
+    readings: DataFrame, source: str, target: str | None = None, year_pivot: int = YEAR_PIVOT
+) -> DataFrame:
     """Parse a text column whose format may change from row to row; NULL where nothing fits.
 
     ISO text needs one cast. Any other shape is rewritten to ISO and cast; those steps see NULL
     for rows already parsed, so they cost nothing there. Ambiguous numeric dates are month first,
     day first only where month first is impossible. A zone offset is dropped, since readings are
-    in local time.
+    in local time. Two-digit years below ``year_pivot`` are of this century, the others of the last.
+    A month without a day is its first; names of weekdays are read over.
     """
-    target = target or source
+    target, centuries = target or source, _centuries(year_pivot)
     kept = readings.columns
     # Each step reads the one before more than once, so they stay separate projections.
     staged = readings.withColumn("__iso", _as_timestamp(F.col(source)))
@@ -59,10 +91,15 @@ def parse_mixed_timestamp(readings: DataFrame, source: str, target: str | None =
             "__half": F.upper(
                 F.regexp_extract("__tidy", r"(?i)(?<=[\d ])([ap])\.?m\.?$", 1)
             ),
-            "__body": F.regexp_replace(
-                F.regexp_replace("__tidy", r"(?i)(?<=[\d ])[ap]\.?m\.?$", ""),
-                _DAY_THEN_NAME,
-                "$2 $1 $3 $4",
+            "__body": _in_turn(
+                F.trim(F.regexp_replace("__tidy", r"(?i)(?<=[\d ])[ap]\.?m\.?$", "")),
+                [
+                    (_WEEKDAY, ""),
+                    (_CLOCK_FIRST, "$2 $1"),
+                    (_DAY_THEN_NAME, "$2 $1 $3 $4"),
+                    *[(_DAY_NAME_SHORT_YEAR % years, f"$2 $1 {century}$3 $4") for years, century in centuries],
+                    (_NAME_AND_YEAR, "$1 1 $2 "),
+                ],
             ),
         }
     )
@@ -77,14 +114,16 @@ def parse_mixed_timestamp(readings: DataFrame, source: str, target: str | None =
                 F.concat(F.lit("$3-"), F.col("__month"), F.lit("-$2 $4")),
             ),
         ).otherwise(
-            F.regexp_replace(
-                F.regexp_replace(
-                    F.regexp_replace("__body", _YEAR_FIRST, "$1-$2-$3 $4"),
-                    _COMPACT,
-                    "$1-$2-$3 $4",
-                ),
-                _SHORT_YEAR,
-                "$1/$2/20$3 $4",
+            _in_turn(
+                F.col("__body"),
+                [
+                    (_YEAR_FIRST, "$1-$2-$3 $4"),
+                    (_COMPACT, "$1-$2-$3 $4"),
+                    (_COMPACT_MINUTE, "$1-$2-$3 $4:$5"),
+                    (_COMPACT_SECOND, "$1-$2-$3 $4:$5:$6"),
+                    *[(_SHORT_YEAR % years, f"$1/$2/{century}$3 $4") for years, century in centuries],
+                    (_MONTH_AND_YEAR, "$2-$1-1 "),
+                ],
             )
         ),
     )

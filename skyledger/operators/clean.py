@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import date_parts, parse_mixed_timestamp
 from ..schema import DATETIME, LABEL
+from ..sources.csv_files import BAD_LABEL, MALFORMED, TRACE
 
 
 def drop_unlabelled(readings: DataFrame) -> DataFrame:
     return readings.where(F.col(LABEL).isNotNull())
 
 
+def drop_malformed(readings: DataFrame) -> DataFrame:
+    """Leave out rows that did not have the fields of their header, and the marks of a trace."""
+    if MALFORMED in readings.columns:
+        readings = readings.where(F.col(MALFORMED).isNull())
+    return readings.drop(*TRACE)
+
+
 def drop_copies(readings: DataFrame) -> DataFrame:
     """Keep one of each set of equal rows; NULL equals NULL and NaN equals NaN.
 
@@ -38,7 +46,7 @@ def add_date_parts(readings: DataFrame) -> DataFrame:
 
 def clean_readings(raw: DataFrame) -> DataFrame:
     """All cleaning steps; copies are judged on raw rows, before dates are parsed."""
-    unique = drop_copies(drop_unlabelled(raw))
+    unique = drop_copies(drop_unlabelled(drop_malformed(raw)))
     return add_date_parts(drop_undated(parse_datetime(unique)))
 
 
@@ -46,7 +54,13 @@ _REPORT = ["initial_rows", "labelled_rows", "unique_rows", "clean_rows", "droppe
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
-    """Rows left after each step, as one row, from one shuffle of the raw rows."""
+    """Rows left after each step, as one row, from one shuffle of the raw rows.
+
+    Of rows read with a trace it also counts the malformed ones and bad labels among the sound.
+    """
+    traced = [name for name in TRACE if name in raw.columns]
+    if traced:
+        return _traced_report(raw)
     groups = raw.groupBy(raw.columns).agg(F.count("*").alias("__copies"))
     labelled = F.col(LABEL).isNotNull()
     dated = labelled & F.col(DATETIME).isNotNull()
@@ -63,6 +77,52 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     )
 
 
+def _trace_counts(raw: DataFrame) -> list:
+    sound = F.col(MALFORMED).isNull()
+    return [
+        F.count("*").alias("initial_rows"),
+        F.count_if(~sound).alias("malformed_rows"),
+        F.count_if(sound & F.col(BAD_LABEL)).alias("bad_label_rows"),
+    ]
+
+
+def _traced_report(raw: DataFrame) -> DataFrame:
+    found = raw.agg(*_trace_counts(raw)).withColumn("one", F.lit(1))
+    rest = cleaning_report(drop_malformed(raw)).drop("initial_rows", "dropped_rows").withColumn("one", F.lit(1))
+    return found.join(rest, "one").select(
+        *_REPORT[:1], "malformed_rows", "bad_label_rows", *_REPORT[1:-1],
+        (F.col("initial_rows") - F.col("clean_rows")).alias("dropped_rows"),
+    )
+
+
+class CountedCleaning:
+    """Cleaning whose steps are counted by the pass that writes its result.
+
+    ``rows`` is to be written once; ``report`` then holds one row of counts. Counts come from the
+    tasks of that pass, so where stages are done again after lost executors they may be too high;
+    `cleaning_report` counts exactly, at the price of a pass of its own.
+    """
+
+    def __init__(self, raw: DataFrame):
+        self.spark = raw.sparkSession
+        self.read, self.unique, self.clean = (Observation() for _ in range(3))
+        labelled = F.col(LABEL).isNotNull()
+        sound = F.col(MALFORMED).isNull()
+        raw = raw.observe(self.read, *_trace_counts(raw), F.count_if(sound & labelled).alias("labelled_rows"))
+        unique = drop_copies(drop_unlabelled(drop_malformed(raw)))
+        unique = unique.observe(self.unique, F.count("*").alias("unique_rows"))
+        done = add_date_parts(drop_undated(parse_datetime(unique)))
+        self.rows = done.observe(self.clean, F.count("*").alias("clean_rows"))
+
+    def report(self) -> DataFrame:
+        counts = {**self.read.get, **self.unique.get, **self.clean.get}
+        counts["dropped_rows"] = counts["initial_rows"] - counts["clean_rows"]
+        names = [*_REPORT[:1], "malformed_rows", "bad_label_rows", *_REPORT[1:]]
+        return self.spark.createDataFrame(
+            [tuple(counts[name] for name in names)], ", ".join(f"{name} long" for name in names)
+        )
+
+
 def cleaning_report_after_write(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """The same report where the clean rows are a written table already.
 

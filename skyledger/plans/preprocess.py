@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.clean import clean_readings, cleaning_report_after_write
+from ..operators.clean import CountedCleaning
 from ..operators.features import assemble, available_features, count_incomplete
 from ..sources.csv_files import (
     read_testing,
@@ -50,22 +50,25 @@ def preprocess(
     ``error`` fails. A piece that lacks a feature column which others have would lose all its rows
     to ``skip``, so it is refused, by name, unless ``keep`` is asked for.
 
-    Cleaning runs once per folder; the CSV, the vectors and the report start from its written
-    table.
+    Each raw folder is scanned once, for the table and the report; the CSV and the vectors start
+    from the written table.
     """
     if handle_invalid == "skip" and not header:
         for paths in (training_paths(spark, train_folder), testing_paths(spark, test_folder)):
             refuse_uneven_pieces(spark, paths)
     raw = {
-        "train": read_training(spark, train_folder, header),
-        "test": read_testing(spark, test_folder, header),
+        "train": read_training(spark, train_folder, header, trace=True),
+        "test": read_testing(spark, test_folder, header, trace=True),
     }
     table = {part: f"{output}/{part}_readings" for part in raw}
     csv = {part: f"{output}/{part}_csv" for part in raw}
     vectors = {part: f"{output}/{part}_features" for part in raw}
     clean: dict[str, DataFrame] = {}
+    reports: dict[str, DataFrame] = {}
     for part, readings in raw.items():
-        write_readings(clean_readings(readings), table[part])
+        counted = CountedCleaning(readings)
+        write_readings(counted.rows, table[part])
+        reports[part] = counted.report()
         clean[part] = read_readings(spark, table[part])
     features = available_features(clean["train"], clean["test"])
     for part, readings in clean.items():
@@ -78,8 +81,8 @@ def preprocess(
         csv["test"],
         vectors["train"],
         vectors["test"],
-        cleaning_report_after_write(raw["train"], clean["train"]),
-        cleaning_report_after_write(raw["test"], clean["test"]),
+        reports["train"],
+        reports["test"],
         count_incomplete(clean["train"], features),
         count_incomplete(clean["test"], features),
     )

@@ -240,6 +240,22 @@ def all_oracles() -> dict[str, str]:
             for query, column in (
                 ("prediction_to_int", "n_whole"), ("forest_confidence", "n_same"), ("forest_predictions", "n_same"))
         },
+        "csv_malformed": _with(PARSED + """,
+            kinds AS (SELECT * REPLACE (
+             CASE WHEN reading_id % 31 = 3 THEN NULL ELSE components_co END AS components_co,
+             CASE WHEN reading_id % 31 = 4 THEN 'A "B", C' ELSE city END AS city),
+             reading_id % 31 AS kind FROM parsed),
+            sound AS (SELECT * FROM kinds WHERE main_aqi IS NOT NULL AND kind NOT IN (1, 2, 5, 6))""", """
+            SELECT *, initial_rows - clean_rows AS dropped_rows FROM
+             (SELECT unnest(['exact', 'pass']) AS counted_by),
+             (SELECT count(*) AS initial_rows, count(*) FILTER (WHERE kind IN (5, 6)) AS malformed_rows,
+              count(*) FILTER (WHERE kind IN (1, 2)) AS bad_label_rows FROM kinds),
+             (SELECT count(*) AS labelled_rows FROM sound),
+             (SELECT count(*) AS unique_rows, count(datetime) AS clean_rows FROM (SELECT DISTINCT * FROM sound))"""),
+        "timestamp_shapes": _with("", """
+            SELECT reading_id, line_no, CASE WHEN reading_id % 9 < 3 THEN date_trunc('day', datetime)
+             WHEN reading_id % 9 IN (5, 6) THEN date_trunc('month', datetime) ELSE datetime END AS moment
+            FROM readings"""),
         "forest_fit": _with(CLEAN, """
             SELECT count(*) AS n_train, 11 AS n_features, 1.0::DOUBLE AS total_importance,
              true AS none_negative, true AS layout_is_no_matter FROM clean WHERE reading_id % 5 <> 0"""),

@@ -194,6 +194,21 @@ def mixed_timestamp_parse(spark, folder):
     return parse_mixed_timestamp(text, "datetime", "moment").select(*_typed_keys(), "moment")
 
 
+@query
+def timestamp_shapes(spark, folder):
+    """Less usual shapes: weekdays, two-digit years, digits alone, months without a day, time first."""
+    moment = F.col("datetime")
+    shapes = [
+        "d-MMM-yy", "EEE MMM d yyyy", "EEEE, MMMM d, yyyy", "yyyyMMddHHmm", "yyyyMMddHHmmss",
+        "MM/yyyy", "MMM yyyy", "H:mm yyyy-MM-dd", "M/d/yy H:mm",
+    ]
+    text = F
+    for rest, shape in enumerate(shapes):
+        text = text.when(F.col("reading_id") % len(shapes) == rest, F.date_format(moment, shape))
+    rows = inputs.readings(spark, folder).select(*KEYS, text.alias("text"))
+    return parse_mixed_timestamp(rows, "text", "moment").select(*KEYS, "moment")
+
+
 @query
 def drop_bad_datetime(spark, folder):
     dated = cleaning.drop_undated(cleaning.parse_datetime(inputs.text_readings(spark, folder)))
@@ -469,6 +484,37 @@ def cleaning_report_after_write(spark, folder):
     return cleaning.cleaning_report_after_write(raw, tables.read_readings(spark, path))
 
 
+@query
+def csv_malformed(spark, folder):
+    """Lines with a field too many or too few, with labels and numbers that are none; counted by
+    the report and by the pass that writes the clean rows."""
+    path = scratch_folder(spark, "malformed")
+    text = inputs.text_readings(spark, folder)
+    kind = F.col("reading_id").cast("long") % 31
+    text = text.withColumns(
+        {
+            "main_aqi": F.when(kind == 1, "3.7").when(kind == 2, "high").otherwise(F.col("main_aqi")),
+            "components_co": F.when(kind == 3, "2f").otherwise(F.col("components_co")),
+            "city": F.when(kind == 4, 'A "B", C').otherwise(F.col("city")),
+        }
+    )
+    # Quotes inside a field are doubled, as files of data frames have them.
+    field = lambda name: F.concat(F.lit('"'), F.replace(F.coalesce(name, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    whole = F.concat_ws(",", *[field(F.col(name)) for name in text.columns])
+    short = F.concat_ws(",", *[field(F.col(name)) for name in text.columns[:-2]])
+    line = F.when(kind == 5, F.concat(whole, F.lit(',"more"'))).when(kind == 6, short).otherwise(whole)
+    lines = text.select(line.alias("value"))
+    lines.write.text(path)
+    # The header is given, so no file starts with one.
+    raw = csv_files.read_csv(spark, path, text.columns, trace=True, headed=False)
+    counted = cleaning.CountedCleaning(raw)
+    counted.rows.write.parquet(scratch_folder(spark, "counted"))
+    sums = F.struct(*[F.col(name) for name in counted.report().columns])
+    exact = cleaning.cleaning_report(raw).select(F.lit("exact").alias("counted_by"), sums.alias("n")).select("counted_by", "n.*")
+    passing = counted.report().select(F.lit("pass").alias("counted_by"), "*")
+    return exact.unionByName(passing)
+
+
 @query
 def dataset_baselines(spark, folder):
     means = baselines.dataset_baselines(inputs.clean(spark, folder))

@@ -7,7 +7,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +27,35 @@ _WHOLE_NUMBERS = [LABEL, "hour", "month", "year"]
 _HEADER_READERS = 16
 
 
-def _csv_options(spark: SparkSession):
+# The text of a row that does not have the fields of its header, and whether a label is no label.
+MALFORMED = "_malformed"
+BAD_LABEL = "_bad_label"
+TRACE = [MALFORMED, BAD_LABEL]
+
+
+def _csv_options(spark: SparkSession, strict: bool, multi_line: bool, headed: bool):
     # With enforceSchema off, Spark checks every file's header against the schema it is read by.
+    # Rows are judged by all their fields, whatever columns are used later.
     return (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
+        spark.read.option("header", headed)
+        .option("enforceSchema", not headed)
         .option("escape", '"')
-        .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)
+        .option("multiLine", multi_line)
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
     )
 
 
 def _text_schema(header: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(name, T.StringType()) for name in header])
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*header, MALFORMED]])
+
+
+def _sound(raw: DataFrame) -> Column:
+    """Whether a row has the fields of its header. It reads a second column on purpose: Spark
+    answers no query that needs the column of malformed rows alone."""
+    mark = F.concat_ws("", MALFORMED, F.lit("\x01"), raw.columns[0])
+    return mark.startswith("\x01")
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -63,7 +80,7 @@ def numeric_extras(raw: DataFrame) -> list[str]:
 
     Costs one pass over those columns.
     """
-    declared = {DATETIME, "city", *MEASURES, *_WHOLE_NUMBERS}
+    declared = {DATETIME, "city", MALFORMED, *MEASURES, *_WHOLE_NUMBERS}
     extras = [name for name in raw.columns if name not in declared]
     if not extras:
         return []
@@ -89,9 +106,13 @@ def typed_readings(raw: DataFrame, numbers: list[str] | None = None) -> DataFram
             return to_measure(F.col(name)).alias(name)
         if name in _WHOLE_NUMBERS:
             return to_whole_number(F.col(name)).alias(name)
-        return missing_to_null(F.col(name)).alias(name)
+        return (F.col(name) if name == MALFORMED else missing_to_null(F.col(name))).alias(name)
 
-    return raw.select([typed(name) for name in raw.columns])
+    trace = []
+    if MALFORMED in raw.columns and LABEL in raw.columns:
+        label = missing_to_null(F.col(LABEL))
+        trace = [(label.isNotNull() & to_whole_number(label).isNull()).alias(BAD_LABEL)]
+    return raw.select([typed(name) for name in raw.columns] + trace)
 
 
 def read_csv(
@@ -99,12 +120,25 @@ def read_csv(
     paths: str | list[str],
     header: list[str] | None = None,
     infer: bool = False,
+    trace: bool = False,
+    strict: bool = False,
+    multi_line: bool = False,
+    headed: bool = True,
 ) -> DataFrame:
     """Read CSV files or folders of them as one frame of readings.
 
+    A row with more or fewer fields than its header is malformed. Such rows are left out; ``strict``
+    fails instead; ``trace`` keeps them, with their text in ``_malformed``, and marks labels that are
+    no whole number in ``_bad_label``, so that the cleaning report can count both.
+
+    A quoted field may hold a line break only with ``multi_line``; files are then read whole by one
+    task each, so keep them small.
+
     Types are declared. ``infer`` looks through the columns that are not, at the price of a pass
     over them, and makes those of numbers numeric.
 
+    Files without a header line (``headed`` false) need ``header``.
+
     Columns are matched by name; a column that a path lacks is NULL there. There is one scan per
     distinct header, not per path. Give ``header`` where all files share it, and no file is opened
     before the scan; a file that differs then fails the scan.
@@ -119,10 +153,12 @@ def read_csv(
         for path, found in zip(paths, _headers(spark, paths)):
             groups.setdefault(found, []).append(path)
     scans = [
-        _csv_options(spark).schema(_text_schema(list(names))).csv(members)
+        _csv_options(spark, strict, multi_line, headed).schema(_text_schema(list(names))).csv(members)
         for names, members in groups.items()
     ]
     whole = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
+    if not trace:
+        whole = whole.where(_sound(whole)).drop(MALFORMED)
     return typed_readings(whole, numeric_extras(whole) if infer else None)
 
 
@@ -160,30 +196,41 @@ def refuse_uneven_pieces(spark: SparkSession, paths: list[str]) -> None:
             raise ValueError(f"{path} lacks {', '.join(missing)}, which other pieces have")
 
 
-def read_training(spark: SparkSession, folder: str, header: list[str] | None = None) -> DataFrame:
+def read_training(
+    spark: SparkSession, folder: str, header: list[str] | None = None, **options: bool
+) -> DataFrame:
     """Training readings; raises `EmptySourceError` before planning where there are none."""
     paths = training_paths(spark, folder)
     if not paths:
         raise EmptySourceError(f"no training files in {folder}")
-    return read_csv(spark, paths, header)
+    return read_csv(spark, paths, header, **options)
 
 
-def read_testing(spark: SparkSession, folder: str, header: list[str] | None = None) -> DataFrame:
+def read_testing(
+    spark: SparkSession, folder: str, header: list[str] | None = None, **options: bool
+) -> DataFrame:
     """Testing readings; raises `EmptySourceError` before planning where there are none."""
     paths = testing_paths(spark, folder)
     if not paths:
         raise EmptySourceError(f"no testing files in {folder}")
-    return read_csv(spark, paths, header)
+    return read_csv(spark, paths, header, **options)
 
 
 def write_csv(readings: DataFrame, path: str) -> None:
-    """Write with header and without index; timestamps as ``2021-08-01 05:00:00``."""
-    shown = [
-        F.col(field.name).cast("string").alias(field.name)
-        if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType))
-        else F.col(field.name)
-        for field in readings.schema.fields
-    ]
+    """Write with header and without index; timestamps as ``2021-08-01 05:00:00``.
+
+    A line break inside a text is written as a space, so that each row stays on its line and large
+    files can be split.
+    """
+
+    def written(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
+            return F.col(field.name).cast("string").alias(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return F.regexp_replace(field.name, r"[\r\n]+", " ").alias(field.name)
+        return F.col(field.name)
+
+    shown = [written(field) for field in readings.schema.fields]
     readings.select(shown).write.mode("overwrite").option("header", True).option(
         "escape", '"'
     ).csv(path)

@@ -170,3 +170,33 @@ def test_shown_values_round_as_python_does(spark):
         rounded = _column(spark, values, "double", lambda x: numbers.round_shown(x, digits))
         assert rounded == [round(value, digits) for value in values]
     assert _column(spark, [None, float("inf")], "double", lambda x: numbers.round_shown(x, 1)) == [None, math.inf]
+
+
+RARE_SHAPES = [
+    "13-Aug-21", "13-Aug-99", "Fri Aug 13 2021", "Friday, August 13, 2021", "202108130500", "20210813051542", "08/2021",
+    "Aug 2021", "5:00 2021-08-13", "5:00:30 8/13/2021", "8/13/99", "8/13/68", "13-Aug-21 5:00 PM",
+]
+
+
+def test_rare_date_shapes_as_data_frames_read_them(spark):
+    rows = spark.createDataFrame([(text,) for text in RARE_SHAPES], "text string")
+    got = [row.moment for row in parse_mixed_timestamp(rows, "text", "moment").collect()]
+    assert got == [pd.to_datetime(text).to_pydatetime() for text in RARE_SHAPES]
+
+
+def test_the_pivot_of_short_years_is_a_parameter(spark):
+    rows = spark.createDataFrame([("1/2/30",), ("1/2/29",)], "text string")
+    got = [row.moment.year for row in parse_mixed_timestamp(rows, "text", "moment", year_pivot=30).collect()]
+    assert got == [1930, 2029]
+
+
+def test_names_of_weekdays_and_bare_words_are_no_dates(spark):
+    rows = spark.createDataFrame([("Sunday",), ("Mon",), ("monday morning",), ("12345",), ("1234567890",)], "text string")
+    assert [row.moment for row in parse_mixed_timestamp(rows, "text", "moment").collect()] == [None] * 5
+
+
+def test_numbers_with_letters_or_beyond_range_are_missing(spark):
+    rows = spark.createDataFrame([("1.5d",), ("2f",), ("1e400",), (" 3.5 ",), ("-.5e1",), ("0x1p3",), ("inf",)], "text string")
+    got = rows.select(numbers.to_measure(F.col("text")).alias("a"), numbers.to_whole_number(F.col("text")).alias("b")).collect()
+    assert [row.a for row in got] == [None, None, None, 3.5, -5.0, None, None]
+    assert [row.b for row in got] == [None, None, None, None, -5, None, None]
