@@ -25,6 +25,7 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     prepare.add_argument("--test", required=True)
     prepare.add_argument("--output", required=True)
     prepare.add_argument("--header", help="comma-joined columns of all files, which are then not looked up")
+    prepare.add_argument("--city-of-file", action="store_true", help="rows without a city take that of their piece")
     prepare.add_argument("--handle-invalid", choices=["skip", "keep", "error"], default="skip")
 
     train = jobs.add_parser("train", help="fit, measure and save the forest")
@@ -59,7 +60,7 @@ def main(words: list[str] | None = None) -> None:
     if options.job == "preprocess":
         header = options.header.split(",") if options.header else None
         prepared = preprocess(
-            spark, options.train, options.test, options.output, header, options.handle_invalid
+            spark, options.train, options.test, options.output, header, options.handle_invalid, options.city_of_file
         )
         prepared.train_report.show()
         prepared.test_report.show()

@@ -83,30 +83,44 @@ DASHBOARD_SCHEMA = T.StructType(
         T.StructField("labels", T.ArrayType(T.StringType())),
         T.StructField("real_pm25", T.ArrayType(T.DoubleType())),
         T.StructField("overall_index", T.DoubleType()),
+        T.StructField("cities", T.ArrayType(T.StringType())),
+        T.StructField("city_index", T.ArrayType(T.DoubleType())),
     ]
 )
 
 
 def dashboard(readings: DataFrame) -> DataFrame:
-    """Timeline arrays and overall index of a dataset as one row, from one pass over it."""
-    monthly = readings.groupBy("year", "month").agg(
+    """Timeline arrays, overall index and city leaderboard of a dataset as one row, from one pass.
+
+    Cities come in the order of the leaderboard; there are none where readings have no city.
+    """
+    if "city" not in readings.columns:
+        readings = readings.withColumn("city", F.lit(None).cast("string"))
+    sums = readings.groupingSets([["year", "month"], ["city"]], "year", "month", "city").agg(
         F.avg(nan_to_null(F.col("components_pm2_5"))).alias("mean_pm2_5"),
         F.sum(LABEL).alias("label_sum"),
         F.count(LABEL).alias("label_count"),
+        F.grouping("city").alias("monthly"),
     )
-    dated = F.col("year").isNotNull() & F.col("month").isNotNull()
-    whole = monthly.agg(
+    of_month, of_city = F.col("monthly") == 1, F.col("monthly") == 0
+    dated = of_month & F.col("year").isNotNull() & F.col("month").isNotNull()
+    mean = F.col("label_sum") / F.col("label_count")
+    place = F.struct((-mean).alias("order"), "city", _index(mean).alias("index"))
+    whole = sums.agg(
         F.array_sort(F.collect_list(F.when(dated, _timeline_point()))).alias("points"),
-        (F.sum("label_sum") / F.sum("label_count")).alias("mean_aqi"),
+        F.array_sort(F.collect_list(F.when(of_city & F.col("city").isNotNull(), place))).alias("board"),
+        (F.sum(F.when(of_month, F.col("label_sum"))) / F.sum(F.when(of_month, F.col("label_count")))).alias("mean_aqi"),
     )
     return whole.select(
         F.lit("success").alias("status"),
         F.col("points.label").alias("labels"),
         F.col("points.value").alias("real_pm25"),
         _index(F.col("mean_aqi")).alias("overall_index"),
+        F.col("board.city").alias("cities"),
+        F.col("board.index").alias("city_index"),
     )
 
 
 def empty_dashboard(spark: SparkSession) -> DataFrame:
     """What is shown while there is no dataset: the same columns, no figures."""
-    return spark.createDataFrame([("fallback", [], [], None)], DASHBOARD_SCHEMA)
+    return spark.createDataFrame([("fallback", [], [], None, [], [])], DASHBOARD_SCHEMA)

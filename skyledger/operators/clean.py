@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import date_parts, parse_mixed_timestamp
 from ..schema import DATETIME, LABEL
-from ..sources.csv_files import BAD_LABEL, MALFORMED, TRACE
+from ..sources.csv_files import BAD_LABEL, CITY_OF_FILE, MALFORMED, TRACE
 
 
 def drop_unlabelled(readings: DataFrame) -> DataFrame:
@@ -25,9 +25,13 @@ def drop_copies(readings: DataFrame) -> DataFrame:
     """Keep one of each set of equal rows; NULL equals NULL and NaN equals NaN.
 
     Equal rows collapse inside each task before the shuffle, so a large group of copies reaches
-    it as one row per task.
+    it as one row per task. The city of the file is no part of a row: of copies the first by name
+    stays, and becomes the row's city.
     """
-    return readings.dropDuplicates()
+    if CITY_OF_FILE not in readings.columns:
+        return readings.dropDuplicates()
+    own = [name for name in readings.columns if name != CITY_OF_FILE]
+    return readings.groupBy(own).agg(F.min(CITY_OF_FILE).alias("city"))
 
 
 def parse_datetime(readings: DataFrame) -> DataFrame:

@@ -42,13 +42,15 @@ def preprocess(
     output: str,
     header: list[str] | None = None,
     handle_invalid: str = "skip",
+    city_of_file: bool = False,
 ) -> PreparedData:
     """Clean both folders and write readings, CSV copies and feature vectors.
 
     ``header`` names the columns of all files, which are then not opened before the scan.
     ``handle_invalid`` says what a missing feature does: ``skip`` drops the row, ``keep`` puts NaN,
     ``error`` fails. A piece that lacks a feature column which others have would lose all its rows
-    to ``skip``, so it is refused, by name, unless ``keep`` is asked for.
+    to ``skip``, so it is refused, by name, unless ``keep`` is asked for. ``city_of_file`` takes the city of rows that name none from
+    the name of their piece.
 
     Each raw folder is scanned once, for the table and the report; the CSV and the vectors start
     from the written table.
@@ -57,8 +59,8 @@ def preprocess(
         for paths in (training_paths(spark, train_folder), testing_paths(spark, test_folder)):
             refuse_uneven_pieces(spark, paths)
     raw = {
-        "train": read_training(spark, train_folder, header, trace=True),
-        "test": read_testing(spark, test_folder, header, trace=True),
+        "train": read_training(spark, train_folder, header, trace=True, city_of_file=city_of_file),
+        "test": read_testing(spark, test_folder, header, trace=True, city_of_file=city_of_file),
     }
     table = {part: f"{output}/{part}_readings" for part in raw}
     csv = {part: f"{output}/{part}_csv" for part in raw}

@@ -347,11 +347,20 @@ def all_oracles() -> dict[str, str]:
         "timeline_series": _with(CLEAN, f"""
             SELECT CAST(row_number() OVER (ORDER BY year, month) - 1 AS INT) AS place,
              {LABEL} AS label, {_shown("mean_pm2_5", 2)} AS real_pm25 FROM ({MONTHLY})"""),
-        "dashboard_or_fallback": _with(CLEAN, f"""
+        "dashboard_or_fallback": _with(CLEAN + """,
+            board AS (SELECT city, avg(main_aqi) AS mean FROM clean WHERE city IS NOT NULL GROUP BY city)""", f"""
             SELECT 'success' AS status, CAST(count(*) AS INT) AS n_months,
              string_agg({LABEL}, ',' ORDER BY year, month) AS labels,
-             (SELECT {_shown('avg(main_aqi) * 40', 1)} FROM clean) AS overall_index FROM ({MONTHLY})
-            UNION ALL SELECT 'fallback', 0, '', NULL"""),
+             (SELECT {_shown('avg(main_aqi) * 40', 1)} FROM clean) AS overall_index,
+             (SELECT string_agg(city, ',' ORDER BY mean DESC, city) FROM board) AS cities,
+             (SELECT {_shown('max(mean) * 40', 1)} FROM board) AS highest_index FROM ({MONTHLY})
+            UNION ALL SELECT 'fallback', 0, '', NULL, '', NULL"""),
+        "city_leaderboard_of_pieces": _with(PARSED, f"""
+            SELECT city, round(avg(main_aqi), 9) AS mean_aqi, count(*) AS n_readings,
+             {_shown('avg(main_aqi) * 40', 1)} AS city_index
+            FROM (SELECT replace(min(city), ' ', '-') AS city, * EXCLUDE (city) FROM parsed
+             WHERE city IS NOT NULL AND main_aqi IS NOT NULL AND datetime IS NOT NULL GROUP BY ALL)
+            GROUP BY city ORDER BY avg(main_aqi) DESC, city"""),
         "forest_shape": _with(CLEAN, """
             SELECT 15 AS num_trees, 5 AS max_depth, 11 AS num_features,
              CAST(max(main_aqi) + 1 AS INT) AS num_classes, count(*) AS n_train

@@ -552,6 +552,19 @@ def city_leaderboard(spark, folder):
     )
 
 
+@query
+def city_leaderboard_of_pieces(spark, folder):
+    """One raw file per city and no city inside: the city is that of the file. Equal rows of two
+    files are copies, and count for the first city by name."""
+    root = scratch_folder(spark, "per-city")
+    text = inputs.text_readings(spark, folder).where("city is not null")
+    for row in text.select("city").distinct().orderBy("city").collect():
+        name = row.city.replace(" ", "-")
+        csv_files.write_csv(text.where(F.col("city") == row.city).drop("city"), f"{root}/{name}_complete_data.csv")
+    raw = csv_files.read_training(spark, root, city_of_file=True)
+    return analytics.city_leaderboard(cleaning.clean_readings(raw)).withColumn("mean_aqi", F.round("mean_aqi", 9))
+
+
 @query
 def timeline_series(spark, folder):
     """Both arrays, shown again as rows by place."""
@@ -572,6 +585,8 @@ def dashboard_or_fallback(spark, folder):
         F.size("labels").alias("n_months"),
         F.array_join("labels", ",").alias("labels"),
         "overall_index",
+        F.array_join("cities", ",").alias("cities"),
+        F.get("city_index", F.lit(0)).alias("highest_index"),
     )
 
 

@@ -31,6 +31,8 @@ _HEADER_READERS = 16
 MALFORMED = "_malformed"
 BAD_LABEL = "_bad_label"
 TRACE = [MALFORMED, BAD_LABEL]
+CITY_OF_FILE = "_city"
+_PIECE_OF_CITY = r"([^/]+)_complete_data\.csv(?:/[^/]*)?$"
 
 
 def _csv_options(spark: SparkSession, strict: bool, multi_line: bool, headed: bool):
@@ -80,7 +82,7 @@ def numeric_extras(raw: DataFrame) -> list[str]:
 
     Costs one pass over those columns.
     """
-    declared = {DATETIME, "city", MALFORMED, *MEASURES, *_WHOLE_NUMBERS}
+    declared = {DATETIME, "city", MALFORMED, CITY_OF_FILE, *MEASURES, *_WHOLE_NUMBERS}
     extras = [name for name in raw.columns if name not in declared]
     if not extras:
         return []
@@ -124,6 +126,7 @@ def read_csv(
     strict: bool = False,
     multi_line: bool = False,
     headed: bool = True,
+    city_of_file: bool = False,
 ) -> DataFrame:
     """Read CSV files or folders of them as one frame of readings.
 
@@ -137,6 +140,10 @@ def read_csv(
     Types are declared. ``infer`` looks through the columns that are not, at the price of a pass
     over them, and makes those of numbers numeric.
 
+    ``city_of_file`` adds, where the rows name no city, the one that the name of their piece begins
+    with, as ``_city``. Cleaning judges copies without it and then takes it as the city: a row that
+    stands in the files of two cities counts once, for the first of them by name.
+
     Files without a header line (``headed`` false) need ``header``.
 
     Columns are matched by name; a column that a path lacks is NULL there. There is one scan per
@@ -156,7 +163,12 @@ def read_csv(
         _csv_options(spark, strict, multi_line, headed).schema(_text_schema(list(names))).csv(members)
         for names, members in groups.items()
     ]
+    if city_of_file:
+        named = F.regexp_extract("_metadata.file_path", _PIECE_OF_CITY, 1)
+        scans = [scan.withColumn(CITY_OF_FILE, F.nullif(F.url_decode(named), F.lit(""))) for scan in scans]
     whole = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
+    if city_of_file and "city" in whole.columns:
+        whole = whole.drop(CITY_OF_FILE)
     if not trace:
         whole = whole.where(_sound(whole)).drop(MALFORMED)
     return typed_readings(whole, numeric_extras(whole) if infer else None)
