@@ -60,6 +60,17 @@ class Shared:
         return held["built"]
 
 
+# Rows of a batch that are held as Python objects at once.
+ROWS_AT_ONCE = 1000
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of bounded length, so that a worker's memory does not follow their size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def map_batches(
     frame: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:
@@ -67,10 +78,9 @@ def map_batches(
     arrow = arrow_schema(frame.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = function(batch.to_pydict())
-                yield pa.RecordBatch.from_pydict({field.name: made[field.name] for field in arrow}, arrow)
+        for batch in in_parts(batches):
+            made = function(batch.to_pydict())
+            yield pa.RecordBatch.from_pydict({field.name: made[field.name] for field in arrow}, arrow)
 
     return frame.mapInArrow(run, schema)
 

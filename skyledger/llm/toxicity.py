@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_schema, bounded_sample, documents_only, words_of
+from .common import Shared, arrow_schema, bounded_sample, documents_only, in_parts, words_of
 from .simhash import fingerprint
 
 
@@ -35,7 +35,6 @@ BEGINNINGS = (5, 6, 7)
 @dataclass(frozen=True)
 class Settings:
     rows: int = 8192  # labelled documents to fit on
-    buckets: int = 1 << 22
     terms: int = 512  # the most telling terms that enter the model
     evidence: float = 14.0  # least negative log of the chance bound
     factors: int = 8
@@ -57,14 +56,20 @@ class Example:
 
 @dataclass
 class Machine:
-    slot: np.ndarray  # of each bucket; -1 where it has none
+    terms: np.ndarray  # hashes of the terms in order; each has a weight and factors
     bias: float
     linear: np.ndarray
     factors: np.ndarray
 
-    def score(self, buckets: np.ndarray) -> float:
-        slots = np.unique(self.slot[buckets])
-        slots = slots[slots >= 0]
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of those hashes that are terms of the machine."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64)
+        places = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.unique(places[self.terms[places] == hashes])
+
+    def score(self, hashes: np.ndarray) -> float:
+        slots = self.slots(hashes)
         v = self.factors[slots]
         pairs = 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
         return _sigmoid(self.bias + float(self.linear[slots].sum()) + pairs)
@@ -74,11 +79,11 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def term_buckets(text: str | None, buckets: int) -> np.ndarray:
-    """Buckets of the words of a text and of their beginnings, so that inflected words count."""
+def term_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text and of their beginnings, so that inflected words count."""
     words = set(words_of(text))
     terms = words.union(*({word[:size] + b"*" for word in words if len(word) > size} for size in BEGINNINGS))
-    return np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % buckets
+    return np.fromiter(map(zlib.crc32, terms), np.uint32, len(terms))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -90,20 +95,19 @@ def labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> list[Exa
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = bounded_sample(marks, settings.rows, "doc_id")
-    n_buckets = settings.buckets
 
     def made(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column("text").to_pylist()
-            terms = [np.unique(term_buckets(text, n_buckets)).astype(np.int32) for text in texts]
+            terms = [np.unique(term_hashes(text)).astype(np.int64) for text in texts]
             prints = pa.array([fingerprint(text) for text in texts], pa.int64())
-            columns = [batch.column("doc_id"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int32())), prints]
+            columns = [batch.column("doc_id"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int64())), prints]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    schema = arrow_schema(docs.sparkSession, "doc_id long, toxic int, terms array<int>, fp long")
+    schema = arrow_schema(docs.sparkSession, "doc_id long, toxic int, terms array<long>, fp long")
     # At most settings.rows rows of two numbers.
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), "doc_id")
-    made_rows = joined.select("doc_id", "text", "toxic").mapInArrow(made, "doc_id long, toxic int, terms array<int>, fp long")
+    made_rows = joined.select("doc_id", "text", "toxic").mapInArrow(made, "doc_id long, toxic int, terms array<long>, fp long")
     found = made_rows.limit(settings.rows).toArrow()
     terms = (row.values.to_numpy() for row in found.column("terms"))
     return [
@@ -129,21 +133,21 @@ def _evidence(hits: np.ndarray, count: np.ndarray, rate: float) -> np.ndarray:
     return count * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
 
 
-def _telling(terms: list[np.ndarray], toxic: np.ndarray, settings: Settings) -> np.ndarray:
-    """Buckets that enter the model."""
+def _telling(terms: list[np.ndarray], n_terms: int, toxic: np.ndarray, settings: Settings) -> np.ndarray:
+    """Numbers of the terms that enter the model."""
 
     def strength(chosen: np.ndarray) -> np.ndarray:
         flat = np.concatenate([terms[place] for place in np.flatnonzero(chosen)])
-        marks = np.concatenate([np.full(len(terms[place]), toxic[place]) for place in np.flatnonzero(chosen)])
-        count = np.bincount(flat, minlength=settings.buckets)
-        return _evidence(np.bincount(flat, marks, settings.buckets), count, float(toxic[chosen].mean()))
+        marks = np.repeat(toxic[chosen], [len(terms[place]) for place in np.flatnonzero(chosen)])
+        count = np.bincount(flat, minlength=n_terms)
+        return _evidence(np.bincount(flat, marks, n_terms), count, float(toxic[chosen].mean()))
 
     alone = strength(np.ones(len(terms), bool))
     first = alone >= settings.evidence
     holds = np.array([bool(first[t].any()) for t in terms])
     best = np.maximum(alone, strength(holds) / 2) if holds.any() else alone
     chosen = np.flatnonzero(best >= settings.evidence)
-    return chosen[np.argsort(-best[chosen], kind="stable")][: settings.terms]
+    return np.sort(chosen[np.argsort(-best[chosen], kind="stable")][: settings.terms])
 
 
 def fit(rows: list[Example], settings: Settings = Settings()) -> Machine:
@@ -151,20 +155,21 @@ def fit(rows: list[Example], settings: Settings = Settings()) -> Machine:
     rows = _without_near_copies(rows, settings.near_copy_bits)
     toxic = np.array([row.toxic for row in rows], float)
     base = (toxic.sum() + 0.5) / (len(rows) + 2)
-    slot = np.full(settings.buckets, -1, np.int16)
-    empty = Machine(slot, float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, settings.factors)))
+    empty = Machine(np.zeros(0, np.uint32), float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, settings.factors)))
     if not 0 < toxic.sum() < len(rows):
         return empty
-    terms = [row.terms for row in rows]
-    chosen = _telling(terms, toxic, settings)
+    hashes, numbers = np.unique(np.concatenate([row.terms for row in rows]), return_inverse=True)
+    terms = np.split(numbers, np.cumsum([len(row.terms) for row in rows])[:-1])
+    chosen = _telling(terms, len(hashes), toxic, settings)
     if not len(chosen):
         return empty
+    slot = np.full(len(hashes), -1)
     slot[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), len(chosen)))
-    for place, buckets in enumerate(terms):
-        slots = slot[buckets]
+    for place, own in enumerate(terms):
+        slots = slot[own]
         x[place, slots[slots >= 0]] = 1
-    return Machine(slot, *_descend(x, toxic, empty.bias, settings))
+    return Machine(hashes[chosen].astype(np.uint32), *_descend(x, toxic, empty.bias, settings))
 
 
 def _descend(x: np.ndarray, toxic: np.ndarray, bias: float, settings: Settings):
@@ -202,8 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 def _scorer(machine: Machine):
-    n_buckets = len(machine.slot)
-    return lambda text: float(machine.score(term_buckets(text, n_buckets)))
+    return lambda text: float(machine.score(term_hashes(text)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -214,7 +218,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
 
     def run(batches):
         scorer = _scorer(shared.value())
-        for batch in batches:
+        for batch in in_parts(batches):
             scores = [scorer(text) for text in batch.column("text").to_pylist()]
             predicted = pa.array([int(score >= 0.5) for score in scores], pa.int32())
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), predicted]
@@ -231,7 +235,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
 
     def run(batches):
         scorer = _scorer(shared.value())
-        for batch in batches:
+        for batch in in_parts(batches):
             yield batch.filter(pa.array([scorer(text) < 0.5 for text in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -50,10 +50,8 @@ def test_learns_terms_and_pairs_and_holds_rows_out(spark):
 
 def test_pair_score_equals_the_sum_over_pairs():
     rng = np.random.default_rng(1)
-    slot = np.full(64, -1, np.int16)
-    slot[:6] = range(6)
-    machine = op.Machine(slot, -0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
-    terms = np.array([0, 2, 5, 40, 2])
+    machine = op.Machine(np.arange(6, dtype=np.uint32), -0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
+    terms = np.array([0, 2, 5, 40, 2], np.uint32)
     logit = -0.3 + machine.linear[[0, 2, 5]].sum()
     logit += sum(machine.factors[a] @ machine.factors[b] for a, b in [(0, 2), (0, 5), (2, 5)])
     assert machine.score(terms) == pytest.approx(1 / (1 + np.exp(-logit)))
