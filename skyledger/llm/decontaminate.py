@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, WORD_BYTES, Shared, arrow_schema, documents_only, stored, words_of
+from .common import DOCUMENT_COLUMNS, WORD_BYTES, Shared, arrow_schema, documents_only, in_parts, stored, words_of
 
 WINDOW = 10
 # Benchmark text that one pass sends to the tasks; a larger benchmark takes several passes.
@@ -266,7 +266,7 @@ def _one_pass(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def run(batches):
         windows = shared.value()
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
             rows = []
             for doc, n_words, spans, names in scan_texts(batch.column("text").to_pylist(), windows):
@@ -367,7 +367,7 @@ def _cut_pass(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def run(batches):
         windows = shared.value()
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(place_of_text).to_pylist()
             lengths = batch.column(place_of_length).to_pylist()
             keep = [True] * len(texts)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, in_parts
 
 WIDTH = 8  # cells of each third of a fingerprint
 CHUNK = 256  # documents sketched at once
@@ -243,7 +243,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last = None
-        for batch in batches:
+        for batch in in_parts(batches):
             ready = []
             rows = zip(*(batch.column(name).to_pylist() for name in ("part", "tail", "doc_id", "text")))
             for row in rows:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_schema, bounded_sample
+from .common import Shared, arrow_schema, bounded_sample, in_parts
 
 
 @dataclass(frozen=True)
@@ -374,7 +374,7 @@ def train(pages: DataFrame, settings: Settings = Settings()) -> Chain:
     most = settings.blocks
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             made = []
             for page_id, page in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 for blind in (False, True):
@@ -400,7 +400,7 @@ def extract_main_text(pages: DataFrame, settings: Settings = Settings()) -> Data
 
     def run(batches):
         chain = shared.value()
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = [chain.main_text(page) for page in batch.column("html").to_pylist()]
             lengths = pa.array([len(text) for text in texts], pa.int64())
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), lengths]

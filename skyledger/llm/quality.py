@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, Shared, arrow_schema, bounded_sample, documents_only, words_of
+from .common import DOCUMENT_COLUMNS, Shared, arrow_schema, bounded_sample, documents_only, in_parts, words_of
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 
@@ -194,7 +194,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(docs.sparkSession, "pattern array<int>, n long")
 
     def made(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             seen = Counter(tuple(votes(Signals(text))) for text in batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
                 {"pattern": [list(p) for p in seen], "n": list(seen.values())}, schema=schema
@@ -213,7 +213,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Scorer:
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def made(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 signals = Signals(text)
@@ -238,7 +238,7 @@ def score_quality(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 
     def run(batches):
         scorer = shared.value()
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column("text").to_pylist()
             scores = [scorer.score(text) for text in texts]
             voted = [votes(Signals(text)) for text in texts]
@@ -262,7 +262,7 @@ def drop_low_quality(docs: DataFrame, settings: Settings = Settings()) -> DataFr
 
     def run(batches):
         scorer = shared.value()
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = [scorer.score(text) >= least for text in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -30,21 +30,20 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Shared
+from .common import Shared, in_parts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Byte fallback is dearer than any piece.
 BYTE_COST = 1e6
 PAIR_BASE = 1 << 24
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 400_000
-# Rows that a task holds ids of at once.
-ROWS = 1000
+WORDS_KEPT = 250_000
+PAIRS_KEPT = 300_000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _BYTE = 1, 6
 _USER_DEFINED = 4
@@ -210,21 +209,29 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def _with_column(docs: DataFrame, name: str, kind: T.DataType, made) -> DataFrame:
-    """Append a column that ``made`` builds from each Arrow batch; one of that name gives way."""
-    kept = docs.drop(name)
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+def _with_columns(docs: DataFrame, columns: dict[str, T.DataType], made) -> DataFrame:
+    """Append columns that ``made`` builds from each part of a batch; those of that name give way."""
+    kept = docs.drop(*columns)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(*column) for column in columns.items())])
+    arrow, names = to_arrow_schema(schema), kept.columns
 
     def run(batches):
         build = made()
-        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
-            column = build(batch)
-            arrays = [value for field, value in zip(batch.schema, batch.columns) if field.name in names] + [column]
-            fields = [field for field in batch.schema if field.name in names] + [pa.field(name, column.type)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
+        for batch in in_parts(batches):
+            arrays = [batch.column(name) for name in names] + build(batch)
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    names = set(kept.columns)
-    return docs.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
+
+
+def _ids_array(packed: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(part) // 4 for part in packed])]).astype(np.int32)
+    values = np.frombuffer(b"".join(packed), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+_IDS = {"ids": T.ArrayType(T.IntegerType())}
+_DECODED = {"decoded": T.StringType()}
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -232,17 +239,10 @@ def encode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = Shared(docs.sparkSession, pieces)
 
     def made():
-        machine = shared.built(Transducer)
-
-        def build(batch):
-            packed = [machine.packed(text) for text in batch.column("text").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(part) // 4 for part in packed])]).astype(np.int32)
-            values = np.frombuffer(b"".join(packed), np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-        return build
+        packed = shared.built(Transducer).packed
+        return lambda batch: [_ids_array([packed(text) for text in batch.column("text").to_pylist()])]
 
-    return _with_column(docs, "ids", T.ArrayType(T.IntegerType()), made)
+    return _with_columns(docs, _IDS, made)
 
 
 def decode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -250,15 +250,10 @@ def decode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = Shared(docs.sparkSession, pieces)
 
     def made():
-        machine = shared.built(Decoder)
-
-        def build(batch):
-            ids = batch.column("ids")
-            return pa.array([machine.decode(row.values.to_pylist() if row.is_valid else []) for row in ids], pa.string())
+        decode = shared.built(Decoder).decode
+        return lambda batch: [pa.array([decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())]
 
-        return build
-
-    return _with_column(docs, "decoded", T.StringType(), made)
+    return _with_columns(docs, _DECODED, made)
 
 
 def expected_text(text) -> F.Column:
@@ -267,8 +262,20 @@ def expected_text(text) -> F.Column:
 
 
 def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """``docs`` encoded and decoded, with ``n_pieces`` and whether the text came back."""
-    done = decode_documents(encode_documents(docs, pieces), pieces)
+    """``docs`` encoded and decoded in one pass, with ``n_pieces`` and whether the text came back."""
+    shared = Shared(docs.sparkSession, pieces)
+
+    def made():
+        encoder, decoder = shared.built(lambda pieces: (Transducer(pieces), Decoder(pieces)))
+
+        def build(batch):
+            packed = [encoder.packed(text) for text in batch.column("text").to_pylist()]
+            texts = [decoder.decode(np.frombuffer(part, np.int32).tolist()) for part in packed]
+            return [_ids_array(packed), pa.array(texts, pa.string())]
+
+        return build
+
+    done = _with_columns(docs, _IDS | _DECODED, made)
     return done.withColumn("n_pieces", F.size("ids").cast("long")).withColumn(
         "round_trip", F.col("decoded") == expected_text(F.col("text"))
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.paths import matching_paths, path_exists
-from .common import Shared, arrow_schema
+from .common import Shared, arrow_schema, in_parts
 
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How byte-level BPE of this vocabulary cuts a text (fixed value).
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], name: str) -> DataFra
 
     def run(batches):
         encode = shared.built(_encoding).encode_ordinary
-        for batch in batches:
+        for batch in in_parts(batches):
             counts = [len(encode(text)) if text else 0 for text in batch.column("text").to_pylist()]
             columns = [batch.column("doc_key"), batch.column("source"), batch.column("lang"), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
