@@ -60,9 +60,8 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def folded(hashes: np.ndarray) -> int:
     """SimHash as a signed 64-bit number: a bit is set if over half of the hashes have it."""
-    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 65536):
         part = hashes[start : start + 65536].view(np.uint8).reshape(-1, 8)
@@ -70,6 +69,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return folded(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, text_key, fp`` per row, written to the scratch folder."""
 
