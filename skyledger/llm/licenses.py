@@ -28,7 +28,9 @@ NAMES = [
     ("apache-1.1", "apache", f"apache(?: software)?(?: license)?{_V}1 1"),
     ("apache-2.0", "apache", f"apache(?: software)?(?: license)?{_V}2(?: 0)?"),
     ("apache", "apache", "apache(?: software)? license"),
-    ("mit", "mit", "(?:mit|expat|x11) (?:license|licence)"),
+    ("mit", "mit", "mit (?:license|licence)"),
+    ("mit", "expat", "expat (?:license|licence)"),
+    ("mit", "x11", "x11 (?:license|licence)"),
     ("mit-0", "mit", "mit (?:0|no attribution)(?: license)?"),
     ("bsd-0-clause", "bsd", "(?:0|zero) clause bsd(?: license)?|0bsd"),
     ("bsd-2-clause", "bsd", "(?:(?:2|two) clause|simplified|freebsd) bsd(?: license)?|bsd 2 clause(?: license)?"),

@@ -73,3 +73,43 @@ def test_native_plan(spark):
     docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
     plan = op.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def spellings(name):
+    """All texts that a pattern of literals, choices, classes and optional parts matches."""
+    def made(parts):
+        texts = [""]
+        for kind, value in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                ends = [chr(value)]
+            elif kind == "IN":
+                ends = [chr(code) for _, code in value]
+            elif kind == "BRANCH":
+                ends = [text for part in value[1] for text in made(part)]
+            elif kind == "SUBPATTERN":
+                ends = made(value[-1])
+            else:
+                assert kind == "MAX_REPEAT" and value[:2] == (0, 1), kind
+                ends = ["", *made(value[2])]
+            texts = [text + end for text in texts for end in ends]
+        return texts
+
+    return made(re._parser.parse(name))
+
+
+def test_keyword_and_gate_are_inside_every_spelling():
+    for label, keyword, name in op.NAMES + op.SENTENCES:
+        for text in spellings(name):
+            assert keyword in text, (label, text)
+            assert any(word in f" {text} " for word in op.GATE), (label, text)
+
+
+def labels_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.labels, r.score) for r in op.scan_licenses(docs).orderBy("doc_id").collect()]
+
+
+def test_other_names_of_mit_need_no_neighbour(spark):
+    texts = ["Released under the Expat License.", "X11 License", "X11 licence, limited", "MIT licence"]
+    assert labels_of(spark, texts) == [("mit", 0.9), ("mit", 0.6), ("mit", 0.6), ("mit", 0.6)]
