@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 # Label, keyword and pattern of the name (fixed values). Versions are words of their own.
-_V = "(?: version| v)? ?"
+_V = "(?: version| ?v)? ?"
 NAMES = [
     ("apache-1.0", "apache", f"apache(?: software)?(?: license)?{_V}1 0"),
     ("apache-1.1", "apache", f"apache(?: software)?(?: license)?{_V}1 1"),
@@ -43,15 +43,21 @@ NAMES = [
     ("gpl-3.0", "gnu", f"gnu general public license{_V}3(?: 0)?"),
     ("gpl-2.0", "gpl", f"(?:gnu )?gpl{_V}2(?: 0)?"),
     ("gpl-3.0", "gpl", f"(?:gnu )?gpl{_V}3(?: 0)?"),
+    ("gpl-1.0", "gpl", f"(?:gnu )?gpl{_V}1(?: 0)?"),
+    ("gpl", "gpl", "(?:gnu )?gpl"),
     ("gpl", "gnu", "gnu general public license"),
     ("lgpl-2.0", "gnu", f"gnu library general public license{_V}2(?: 0)?"),
     ("lgpl-2.1", "gnu", f"gnu lesser general public license{_V}2 1"),
     ("lgpl-3.0", "gnu", f"gnu lesser general public license{_V}3(?: 0)?"),
+    ("lgpl-2.0", "lgpl", f"(?:gnu )?lgpl{_V}2(?: 0)?"),
     ("lgpl-2.1", "lgpl", f"(?:gnu )?lgpl{_V}2 1"),
     ("lgpl-3.0", "lgpl", f"(?:gnu )?lgpl{_V}3(?: 0)?"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
     ("lgpl", "gnu", "gnu (?:lesser|library) general public license"),
     ("agpl-3.0", "affero", f"(?:gnu )?affero general public license{_V}3(?: 0)?"),
     ("agpl-3.0", "agpl", f"(?:gnu )?agpl{_V}3(?: 0)?"),
+    ("agpl-1.0", "agpl", f"(?:gnu )?agpl{_V}1(?: 0)?"),
+    ("agpl", "agpl", "(?:gnu )?agpl"),
     ("agpl", "affero", "(?:gnu )?affero general public license"),
     ("gfdl-1.1", "documentation", f"gnu free documentation license{_V}1 1"),
     ("gfdl-1.2", "documentation", f"gnu free documentation license{_V}1 2"),

@@ -113,3 +113,13 @@ def labels_of(spark, texts):
 def test_other_names_of_mit_need_no_neighbour(spark):
     texts = ["Released under the Expat License.", "X11 License", "X11 licence, limited", "MIT licence"]
     assert labels_of(spark, texts) == [("mit", 0.9), ("mit", 0.6), ("mit", 0.6), ("mit", 0.6)]
+
+
+def test_short_names_with_and_without_version(spark):
+    want = {
+        "GPLv2": "gpl-2.0", "GPLv3+": "gpl-3.0", "gpl v3": "gpl-3.0", "GPL-2.0-only": "gpl-2.0", "GPLv1": "gpl-1.0",
+        "GNU GPLv3": "gpl-3.0", "LGPLv2": "lgpl-2.0", "LGPLv2.1": "lgpl-2.1", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0",
+        "AGPLv1": "agpl-1.0", "GPL": "gpl", "the GNU GPL.": "gpl", "LGPL": "lgpl", "GNU AGPL": "agpl", "GPL version 2": "gpl-2.0",
+        "Apache License v2.0": "apache-2.0", "gplx": "",
+    }
+    assert dict(zip(want, (label for label, _ in labels_of(spark, list(want))))) == want
