@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, quality, sentencepiece_fst, similar, toxicity
+from skyledger.llm import decontaminate, quality, sentencepiece_fst, simhash, toxicity
 from skyledger.llm.common import DOCUMENT_COLUMNS, stored, table
 
 
@@ -22,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.drop_similar(docs)
+    return simhash.drop_near_duplicates(docs, simhash.SHINGLE)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
