@@ -102,6 +102,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
+# A join side of up to so many bytes, as text, is sent to all executors.
+SMALL_SIDE = 8 << 20
+
+
+def if_small(frame: DataFrame) -> DataFrame:
+    """A written table with the hint to broadcast it if it is small, and without it beyond that: then
+    both sides are shuffled, and adaptive execution splits hot keys."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in frame.columns), F.lit(0))
+    size = frame.agg(F.sum(size.cast("long")).alias("size")).head()["size"] or 0
+    return F.broadcast(frame) if size <= SMALL_SIDE else frame
+
+
 def bounded_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
     """At most ``limit`` distinct rows, chosen by a hash of the keys: the same at every layout."""
     order = F.xxhash64(*(F.col(key).cast("string") for key in keys))

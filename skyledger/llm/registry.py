@@ -19,6 +19,7 @@ from . import (
     token_rollups,
     toxicity,
     url_reputation,
+    vector_codes,
 )
 from .common import stored, table
 
@@ -125,6 +126,12 @@ def op10_licenses(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op11_vector_codes(spark, folder):
+    codes = vector_codes.compress(table(spark, folder, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 WORDS_SQL = r"""regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -193,3 +200,34 @@ FROM p JOIN r USING (host)"""
 
 
 _ORACLES["op6_url_reputation"] = _reputation_sql()
+
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Every distance of every part in every round: a full search."""
+    apart = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, part, min(CAST(coalesce({apart}, 0) AS BIGINT) * 256 + entry) AS m FROM p JOIN book{k} c USING (part) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+  SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT part, m % 256 AS entry, i, sum(x[i]) AS total, count(*) AS n
+    FROM near{k} JOIN p USING (r, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM book{k} c LEFT JOIN mean{k} m USING (part, entry))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS r, * FROM kept),
+p AS MATERIALIZED (SELECT r, part, x[len(x) * part // 4 + 1 : len(x) * (part + 1) // 4] AS x FROM v, range(4) t(part)),
+book0 AS MATERIALIZED (SELECT part, r AS entry, x FROM p WHERE r < 256),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, sum(m // 256) AS error FROM near{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS d FROM book{rounds})
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       d AS codebooks_sha256
+FROM v JOIN coded USING (r), digest"""
+
+
+_ORACLES["op11_vector_codes"] = _vector_codes_sql()

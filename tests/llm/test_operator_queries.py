@@ -8,7 +8,11 @@ from skyledger.llm import registry
 from skyledger.llm.common import table
 
 QUERIES, ORACLES = registry.all_queries(), registry.all_oracles()
-TABLES = {"op3_html_extraction": "pages", "op6_url_reputation": "pages"}
+TABLES = {
+    "op3_html_extraction": "pages",
+    "op6_url_reputation": "pages",
+    "op11_vector_codes": "embeddings",
+}
 CONTRACT = {
     "op1_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op2_simhash": "doc_id fingerprint component_id",
@@ -16,6 +20,7 @@ CONTRACT = {
     "op4_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op5_toxicity": "doc_id held_out score predicted",
     "op6_url_reputation": "page_id host path rule verdict",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
     "op10_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
@@ -23,7 +28,7 @@ CONTRACT = {
 @pytest.fixture(scope="module")
 def connection(small):
     made = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "embeddings"):
         made.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     return made
 
