@@ -11,6 +11,7 @@ from ..session import scratch_folder
 from . import (
     decontaminate,
     fingerprints,
+    hard_negatives,
     html_extract,
     licenses,
     quality,
@@ -132,6 +133,11 @@ def op11_vector_codes(spark, folder):
     return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+@query
+def op12_hard_negatives(spark, folder):
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
 WORDS_SQL = r"""regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -231,3 +237,19 @@ FROM v JOIN coded USING (r), digest"""
 
 
 _ORACLES["op11_vector_codes"] = _vector_codes_sql()
+
+
+_ORACLES["op12_hard_negatives"] = """
+WITH r AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS slot
+  FROM s WHERE same AND other <> r QUALIFY slot <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY p.r, slot ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank
+FROM p JOIN s n ON n.r = p.r AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5"""
