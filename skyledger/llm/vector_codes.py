@@ -5,9 +5,10 @@ codebook of entries, fitted by rounds of assignment and whole-number means. The
 position are starting entries that lie far apart. A part's distances to its pivots are computed once
 and stored with it. They never change, so each round only measures the pivots against the moved
 entries: by the triangle inequality the difference of two distances to one pivot never exceeds the
-distance between part and entry. The largest such difference orders the entries; those it puts first
-are measured exactly, and an entry whose bound is above the best exact distance so far is never
-measured. Exact distances are whole numbers, so the codes are those of a full search.
+distance between part and entry. The largest such difference orders the entries, in blocks of those
+about equally far from the first pivot; the block it puts first is measured exactly, and a block whose
+bounds are all above the best exact distance so far is never measured. Exact distances are whole
+numbers, so the codes are those of a full search.
 
 Each round is one pass over the stored parts. A task adds up its parts by entry and sends on at most
 one row per entry, so what is shuffled and what reaches the driver follow the size of the codebooks.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Shared, arrow_schema, if_small, stored
 
 LARGEST = 1 << 26
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 512
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Settings:
     entries: int = 256  # at most 256: an index is two hex digits
     rounds: int = 4
     pivots: int = 8  # per part position
-    ahead: int = 8  # entries that are measured before any is left out
+    block: int = 16  # entries that are measured, or left out, together
     scale: int = 1024
 
 
@@ -89,60 +90,76 @@ def far_apart(entries: np.ndarray, count: int) -> np.ndarray:
 
 
 class Book:
-    """Entries of one part position, with their distances to its pivots."""
+    """Entries of one part position, with their distances to its pivots, in blocks of entries that
+    lie about equally far from the first pivot."""
 
-    def __init__(self, entries: np.ndarray, pivots: np.ndarray):
+    def __init__(self, entries: np.ndarray, pivots: np.ndarray, block: int):
         self.entries = entries
-        self.to_pivots = np.sqrt(squared(entries, pivots)).astype(np.float32)
-
-    def nearest(self, points: np.ndarray, to_pivots: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, int]:
+        to_pivots = np.sqrt(squared(entries, pivots))
+        order = np.argsort(to_pivots[:, 0], kind="stable")
+        self.blocks = [np.sort(order[start : start + block]) for start in range(0, len(order), block)]
+        self.starts = np.arange(0, len(order), block)
+        # By pivot, entries in the order of the blocks.
+        self.to_pivots = to_pivots[np.concatenate(self.blocks)].T.astype(np.float32)
+
+    def nearest(self, points: np.ndarray, to_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Index and squared distance of each point's nearest entry, the lower index among equals,
         and how many distances were measured.
 
-        The bounds are single floats; ``slack`` is above their rounding error, so no entry that
-        could be nearest, or as near, is left out.
+        Each point first meets the block that holds its lowest bound, then every block with a bound
+        that is not above its best distance so far. Bounds are single floats; ``slack`` is above
+        their rounding error, so no entry that could be nearest, or as near, is left out.
         """
-        rows, near = np.arange(len(points)), min(ahead, len(self.entries))
-        points, entries = _narrow(points, self.entries)
-        to_pivots = to_pivots.astype(np.float32)
-        low = np.zeros((len(points), len(self.entries)), np.float32)
-        for pivot in range(to_pivots.shape[1]):
-            np.maximum(low, np.abs(to_pivots[:, pivot, None] - self.to_pivots[None, :, pivot]), out=low)
-        slack = 1e-6 * (1 + max(to_pivots.max(initial=0), self.to_pivots.max(initial=0)))
-        first = np.argpartition(low, near - 1, axis=1)[:, :near]
-        index = np.full(len(points), len(self.entries))
-        best = np.full(len(points), np.iinfo(np.int64).max)
-        for place in range(near):
-            _measure(points, entries, rows, first[:, place], index, best)
-        np.put_along_axis(low, first, np.float32(np.inf), axis=1)
-        limit = (np.sqrt(best) + slack).astype(np.float32)
-        order = np.argsort(low.min(axis=0, initial=np.inf), kind="stable")
-        measured = near * len(points)
-        for entry in order:
-            left = np.flatnonzero(low[:, entry] <= limit)
-            if len(left):
-                measured += len(left)
-                nearer = _measure(points, entries, left, entry, index, best)
-                limit[nearer] = np.sqrt(best[nearer]) + slack
-        return index, best, measured
-
-
-def _narrow(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as 32-bit numbers where no squared distance can leave their range."""
-    largest = int(max(np.abs(points).max(initial=0), np.abs(entries).max(initial=0)))
-    kind = np.int32 if points.shape[1] * (2 * largest) ** 2 < 1 << 31 else np.int64
-    return points.astype(kind), entries.astype(kind)
-
-
-def _measure(points, entries, rows, entry, index, best) -> np.ndarray:
-    """Measure rows against an entry (or one each) and keep what is nearer; the rows it was for."""
-    apart = points[rows] - entries[entry]
-    distance = np.einsum("ij,ij->i", apart, apart)
-    nearer = (distance < best[rows]) | (distance == best[rows]) & (entry < index[rows])
-    changed = rows[nearer]
-    best[changed] = distance[nearer]
-    index[changed] = entry[nearer] if isinstance(entry, np.ndarray) else entry
-    return changed
+        own = to_pivots.astype(np.float32)
+        low, apart = np.zeros((2, len(points), len(self.entries)), np.float32)
+        for pivot, theirs in enumerate(self.to_pivots):
+            np.subtract(own[:, pivot, None], theirs, out=apart)
+            np.abs(apart, out=apart)
+            np.maximum(low, apart, out=low)
+        bounds = np.minimum.reduceat(low, self.starts, axis=1)
+        slack = 1e-6 * (1 + max(own.max(initial=0), self.to_pivots.max(initial=0)))
+        first = bounds.argmin(axis=1)
+        search = _Search(points, self.entries)
+        for number, block in enumerate(self.blocks):
+            search.measure(np.flatnonzero(first == number), block)
+        limit = (np.sqrt(search.best) + slack).astype(np.float32)
+        bounds[np.arange(len(points)), first] = np.inf
+        for number in np.argsort(bounds.mean(axis=0), kind="stable"):
+            nearer = search.measure(np.flatnonzero(bounds[:, number] <= limit), self.blocks[number])
+            limit[nearer] = np.sqrt(search.best[nearer]) + slack
+        return search.index, search.best, search.measured
+
+
+class _Search:
+    """The nearest entry of each point so far.
+
+    Squared distances come from products of whole numbers: in doubles where no sum can leave the
+    whole numbers that these hold exactly, in longs otherwise.
+    """
+
+    def __init__(self, points: np.ndarray, entries: np.ndarray):
+        largest = int(max(np.abs(points).max(initial=0), np.abs(entries).max(initial=0)))
+        kind = np.float64 if 4 * points.shape[1] * largest**2 < 1 << 53 else np.int64
+        self.points, self.entries = points.astype(kind), entries.astype(kind)
+        self.points_squared = (self.points**2).sum(axis=1)
+        self.entries_squared = (self.entries**2).sum(axis=1)
+        self.index = np.full(len(points), len(entries))
+        self.best = np.full(len(points), np.iinfo(np.int64).max)
+        self.measured = 0
+
+    def measure(self, rows: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Measure rows against a block of entries and keep what is nearer; the rows it was for."""
+        if not len(rows):
+            return rows
+        products = self.points[rows] @ self.entries[block].T
+        distances = self.entries_squared[block] - 2 * products
+        place = distances.argmin(axis=1)
+        distance = (distances[np.arange(len(rows)), place] + self.points_squared[rows]).astype(np.int64)
+        found, best = block[place], self.best[rows]
+        nearer = (distance < best) | (distance == best) & (found < self.index[rows])
+        self.best[rows[nearer]], self.index[rows[nearer]] = distance[nearer], found[nearer]
+        self.measured += products.size
+        return rows[nearer]
 
 
 def _start(kept: DataFrame, s: Settings) -> np.ndarray | None:
@@ -187,7 +204,7 @@ def _assigned(batch: pa.RecordBatch, books: list[Book], places: list[slice], s:
     points = batch.column("parts").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(count, width)
     flat = batch.column("to_pivots").flatten().to_numpy(zero_copy_only=False).reshape(count, -1)
     to_pivots = np.sqrt(flat).reshape(count, s.parts, -1)
-    found = [book.nearest(points[:, place], to_pivots[:, k], s.ahead) for k, (book, place) in enumerate(zip(books, places))]
+    found = [book.nearest(points[:, place], to_pivots[:, k]) for k, (book, place) in enumerate(zip(books, places))]
     return points, found
 
 
@@ -229,7 +246,7 @@ def fit_codebooks(parts: DataFrame, start: list[np.ndarray], pivots: list[np.nda
     places = _places(start)
     entries = start
     for _ in range(s.rounds):
-        books = [Book(own, fixed) for own, fixed in zip(entries, pivots)]
+        books = [Book(own, fixed, s.block) for own, fixed in zip(entries, pivots)]
         entries = _moved(entries, _sums(parts, books, places, s).collect())
     return entries
 
@@ -249,7 +266,7 @@ def encode(parts: DataFrame, entries: list[np.ndarray], pivots: list[np.ndarray]
     ``n_measured`` is the number of distances that its batch measured, shared over its rows."""
     schema = f"vec_id long, label {parts.schema['label'].dataType.simpleString()}, code string, error long, n_measured double"
     places = _places(entries)
-    shared = Shared(parts.sparkSession, [Book(own, fixed) for own, fixed in zip(entries, pivots)])
+    shared = Shared(parts.sparkSession, [Book(own, fixed, s.block) for own, fixed in zip(entries, pivots)])
     arrow = arrow_schema(parts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,7 @@ def test_few_rows_and_odd_widths(spark, width):
 def test_small_books_leave_entries_unused(spark):
     draw = random.Random(9)
     rows = [(n, [0.0] * 4 if n < 6 else [draw.gauss(0, 9) for _ in range(4)], 0) for n in range(120)]
-    assert order(got(spark, rows, settings=op.Settings(entries=16, pivots=3, ahead=2))) == order(brute(rows, 16))
+    assert order(got(spark, rows, settings=op.Settings(entries=16, pivots=3, block=5))) == order(brute(rows, 16))
 
 
 def test_nothing_to_code(spark):
