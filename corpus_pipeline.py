@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.llm import decontaminate, quality, sentencepiece_fst, simhash, toxicity
 from skyledger.llm.common import DOCUMENT_COLUMNS, stored, table
+from skyledger.session import tune
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)  # for all stages
     return quality.drop_low_quality(docs)
 
 

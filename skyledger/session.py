@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs the next aggregate a shuffle of its own.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows of long texts that a Python worker and its executor hold at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
