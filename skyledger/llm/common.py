@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import scratch_folder, tune
 
@@ -85,11 +86,10 @@ def map_batches(
     return frame.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def documents_only(docs: DataFrame) -> DataFrame:
@@ -106,12 +106,16 @@ def lower_ascii(text: Column) -> Column:
 SMALL_SIDE = 8 << 20
 
 
+def is_small(frame: DataFrame) -> bool:
+    """Whether a written table may be broadcast."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in frame.columns), F.lit(0))
+    return (frame.agg(F.sum(size.cast("long")).alias("size")).head()["size"] or 0) <= SMALL_SIDE
+
+
 def if_small(frame: DataFrame) -> DataFrame:
     """A written table with the hint to broadcast it if it is small, and without it beyond that: then
     both sides are shuffled, and adaptive execution splits hot keys."""
-    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in frame.columns), F.lit(0))
-    size = frame.agg(F.sum(size.cast("long")).alias("size")).head()["size"] or 0
-    return F.broadcast(frame) if size <= SMALL_SIDE else frame
+    return F.broadcast(frame) if is_small(frame) else frame
 
 
 def bounded_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:

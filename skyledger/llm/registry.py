@@ -14,6 +14,7 @@ from . import (
     hard_negatives,
     html_extract,
     licenses,
+    mixing,
     quality,
     sentencepiece_fst,
     simhash,
@@ -138,6 +139,12 @@ def op12_hard_negatives(spark, folder):
     return hard_negatives.mine(table(spark, folder, "embeddings"))
 
 
+@query
+def op13_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 WORDS_SQL = r"""regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
