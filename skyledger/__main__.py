@@ -26,6 +26,9 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     prepare.add_argument("--output", required=True)
     prepare.add_argument("--header", help="comma-joined columns of all files, which are then not looked up")
     prepare.add_argument("--city-of-file", action="store_true", help="rows without a city take that of their piece")
+    prepare.add_argument("--strict", action="store_true", help="fail at rows with more or fewer fields than the header")
+    prepare.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks")
+    prepare.add_argument("--line-breaks", choices=["escape", "refuse"], default="escape", help="in texts that are written")
     prepare.add_argument("--handle-invalid", choices=["skip", "keep", "error"], default="skip")
 
     train = jobs.add_parser("train", help="fit, measure and save the forest")
@@ -60,7 +63,8 @@ def main(words: list[str] | None = None) -> None:
     if options.job == "preprocess":
         header = options.header.split(",") if options.header else None
         prepared = preprocess(
-            spark, options.train, options.test, options.output, header, options.handle_invalid, options.city_of_file
+            spark, options.train, options.test, options.output, header, options.handle_invalid, options.city_of_file,
+            options.strict, options.multi_line, options.line_breaks,
         )
         prepared.train_report.show()
         prepared.test_report.show()

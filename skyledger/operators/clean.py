@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import date_parts, parse_mixed_timestamp
 from ..schema import DATETIME, LABEL
-from ..sources.csv_files import BAD_LABEL, CITY_OF_FILE, MALFORMED, TRACE
+from ..sources.csv_files import BAD_LABEL, CITY_OF_FILE, MALFORMED, SHORT, TRACE
+from ..sources.tables import CLEAN, OUTCOME, REJECTED_TEXT, TALLIES
 
 
 def drop_unlabelled(readings: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def clean_readings(raw: DataFrame) -> DataFrame:
     return add_date_parts(drop_undated(parse_datetime(unique)))
 
 
+_TRACED = ["malformed_rows", "short_rows", "bad_label_rows"]
 _REPORT = ["initial_rows", "labelled_rows", "unique_rows", "clean_rows", "dropped_rows"]
 
 
@@ -86,6 +88,7 @@ def _trace_counts(raw: DataFrame) -> list:
     return [
         F.count("*").alias("initial_rows"),
         F.count_if(~sound).alias("malformed_rows"),
+        F.count_if(F.col(SHORT)).alias("short_rows"),
         F.count_if(sound & F.col(BAD_LABEL)).alias("bad_label_rows"),
     ]
 
@@ -94,37 +97,50 @@ def _traced_report(raw: DataFrame) -> DataFrame:
     found = raw.agg(*_trace_counts(raw)).withColumn("one", F.lit(1))
     rest = cleaning_report(drop_malformed(raw)).drop("initial_rows", "dropped_rows").withColumn("one", F.lit(1))
     return found.join(rest, "one").select(
-        *_REPORT[:1], "malformed_rows", "bad_label_rows", *_REPORT[1:-1],
+        *_REPORT[:1], *_TRACED, *_REPORT[1:-1],
         (F.col("initial_rows") - F.col("clean_rows")).alias("dropped_rows"),
     )
 
 
-class CountedCleaning:
-    """Cleaning whose steps are counted by the pass that writes its result.
+def sort_out(raw: DataFrame) -> DataFrame:
+    """Each different row of a traced read with what became of it, ready to be written once.
 
-    ``rows`` is to be written once; ``report`` then holds one row of counts. Counts come from the
-    tasks of that pass, so where stages are done again after lost executors they may be too high;
-    `cleaning_report` counts exactly, at the price of a pass of its own.
+    ``cleaning_outcome`` is clean, malformed, unlabelled or undated. Tallies say how many rows of the
+    input a row stands for, how many of those were short and how many had a label that is none. They
+    are aggregates of the shuffle that collapses copies, so a task that runs again adds nothing.
+    Rejected rows keep the text of their date in ``_datetime_text``.
     """
-
-    def __init__(self, raw: DataFrame):
-        self.spark = raw.sparkSession
-        self.read, self.unique, self.clean = (Observation() for _ in range(3))
-        labelled = F.col(LABEL).isNotNull()
-        sound = F.col(MALFORMED).isNull()
-        raw = raw.observe(self.read, *_trace_counts(raw), F.count_if(sound & labelled).alias("labelled_rows"))
-        unique = drop_copies(drop_unlabelled(drop_malformed(raw)))
-        unique = unique.observe(self.unique, F.count("*").alias("unique_rows"))
-        done = add_date_parts(drop_undated(parse_datetime(unique)))
-        self.rows = done.observe(self.clean, F.count("*").alias("clean_rows"))
-
-    def report(self) -> DataFrame:
-        counts = {**self.read.get, **self.unique.get, **self.clean.get}
-        counts["dropped_rows"] = counts["initial_rows"] - counts["clean_rows"]
-        names = [*_REPORT[:1], "malformed_rows", "bad_label_rows", *_REPORT[1:]]
-        return self.spark.createDataFrame(
-            [tuple(counts[name] for name in names)], ", ".join(f"{name} long" for name in names)
-        )
+    city = [F.min(CITY_OF_FILE).alias("city")] if CITY_OF_FILE in raw.columns else []
+    own = [name for name in raw.columns if name not in (SHORT, BAD_LABEL, CITY_OF_FILE)]
+    tallies = (F.count("*"), F.count_if(SHORT), F.count_if(BAD_LABEL))
+    unique = raw.groupBy(own).agg(*(tally.alias(name) for tally, name in zip(tallies, TALLIES)), *city)
+    dated = parse_datetime(unique.withColumn(REJECTED_TEXT, F.col(DATETIME).cast("string")))
+    outcome = (
+        F.when(F.col(MALFORMED).isNotNull(), "malformed")
+        .when(F.col(LABEL).isNull(), "unlabelled")
+        .when(F.col(DATETIME).isNull(), "undated")
+        .otherwise(CLEAN)
+    )
+    sorted_ = add_date_parts(dated).withColumn(OUTCOME, outcome)
+    return sorted_.withColumn(REJECTED_TEXT, F.when(F.col(OUTCOME) != CLEAN, F.col(REJECTED_TEXT)))
+
+
+def report_of_outcomes(written: DataFrame) -> DataFrame:
+    """The cleaning report from rows that `sort_out` made and a sink has committed."""
+    rows, short, bad = (F.col(name) for name in TALLIES)
+    total = lambda value, kept=F.lit(True): F.coalesce(F.sum(F.when(kept, value)), F.lit(0))
+    labelled = F.col(OUTCOME).isin(CLEAN, "undated")
+    sound = F.col(OUTCOME) != "malformed"
+    report = written.agg(
+        total(rows).alias("initial_rows"),
+        total(rows, ~sound).alias("malformed_rows"),
+        total(short).alias("short_rows"),
+        total(bad, sound).alias("bad_label_rows"),
+        total(rows, labelled).alias("labelled_rows"),
+        F.count_if(labelled).alias("unique_rows"),
+        F.count_if(F.col(OUTCOME) == CLEAN).alias("clean_rows"),
+    )
+    return report.withColumn("dropped_rows", F.col("initial_rows") - F.col("clean_rows"))
 
 
 def cleaning_report_after_write(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -6,17 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.clean import CountedCleaning
+from ..operators.clean import report_of_outcomes, sort_out
 from ..operators.features import assemble, available_features, count_incomplete
-from ..sources.csv_files import (
-    read_testing,
-    read_training,
-    refuse_uneven_pieces,
-    testing_paths,
-    training_paths,
-    write_csv,
-)
-from ..sources.tables import read_readings, write_features, write_readings
+from ..sources.csv_files import read_testing, read_training, write_csv
+from ..sources.tables import read_outcomes, read_readings, write_features, write_outcomes
 
 
 @dataclass(frozen=True)
@@ -43,24 +36,30 @@ def preprocess(
     header: list[str] | None = None,
     handle_invalid: str = "skip",
     city_of_file: bool = False,
+    strict: bool = False,
+    multi_line: bool = False,
+    line_breaks: str = "escape",
 ) -> PreparedData:
     """Clean both folders and write readings, CSV copies and feature vectors.
 
     ``header`` names the columns of all files, which are then not opened before the scan.
     ``handle_invalid`` says what a missing feature does: ``skip`` drops the row, ``keep`` puts NaN,
     ``error`` fails. A piece that lacks a feature column which others have would lose all its rows
-    to ``skip``, so it is refused, by name, unless ``keep`` is asked for. ``city_of_file`` takes the city of rows that name none from
-    the name of their piece.
+    to ``skip``, so it is refused, by name, unless ``keep`` is asked for. ``city_of_file`` takes the
+    city of rows that name none from the name of their piece. ``strict`` fails at rows that do not
+    have the fields of their header, ``multi_line`` reads quoted fields over several lines, and
+    ``line_breaks`` is what `write_csv` does with them.
 
-    Each raw folder is scanned once, for the table and the report; the CSV and the vectors start
-    from the written table.
+    Each raw folder is scanned once, by the pass that writes the table: clean rows, and rejected rows
+    beside them. The report, the CSV and the vectors start from what that pass has committed.
     """
-    if handle_invalid == "skip" and not header:
-        for paths in (training_paths(spark, train_folder), testing_paths(spark, test_folder)):
-            refuse_uneven_pieces(spark, paths)
+    options = {
+        "trace": True, "city_of_file": city_of_file, "strict": strict, "multi_line": multi_line,
+        "even": handle_invalid == "skip",
+    }
     raw = {
-        "train": read_training(spark, train_folder, header, trace=True, city_of_file=city_of_file),
-        "test": read_testing(spark, test_folder, header, trace=True, city_of_file=city_of_file),
+        "train": read_training(spark, train_folder, header, **options),
+        "test": read_testing(spark, test_folder, header, **options),
     }
     table = {part: f"{output}/{part}_readings" for part in raw}
     csv = {part: f"{output}/{part}_csv" for part in raw}
@@ -68,13 +67,12 @@ def preprocess(
     clean: dict[str, DataFrame] = {}
     reports: dict[str, DataFrame] = {}
     for part, readings in raw.items():
-        counted = CountedCleaning(readings)
-        write_readings(counted.rows, table[part])
-        reports[part] = counted.report()
+        write_outcomes(sort_out(readings), table[part])
+        reports[part] = report_of_outcomes(read_outcomes(spark, table[part]))
         clean[part] = read_readings(spark, table[part])
     features = available_features(clean["train"], clean["test"])
     for part, readings in clean.items():
-        write_csv(readings, csv[part])
+        write_csv(readings, csv[part], line_breaks)
         write_features(assemble(readings, features, handle_invalid=handle_invalid), vectors[part])
     return PreparedData(
         table["train"],

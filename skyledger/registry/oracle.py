@@ -243,15 +243,28 @@ def all_oracles() -> dict[str, str]:
         "csv_malformed": _with(PARSED + """,
             kinds AS (SELECT * REPLACE (
              CASE WHEN reading_id % 31 = 3 THEN NULL ELSE components_co END AS components_co,
+             CASE WHEN reading_id % 31 = 6 THEN NULL ELSE wind_speed_10m END AS wind_speed_10m,
+             CASE WHEN reading_id % 31 = 6 THEN NULL ELSE relative_humidity_2m END AS relative_humidity_2m,
              CASE WHEN reading_id % 31 = 4 THEN 'A "B", C' ELSE city END AS city),
              reading_id % 31 AS kind FROM parsed),
-            sound AS (SELECT * FROM kinds WHERE main_aqi IS NOT NULL AND kind NOT IN (1, 2, 5, 6))""", """
+            sound AS (SELECT * FROM kinds WHERE main_aqi IS NOT NULL AND kind NOT IN (1, 2, 5, 7))""", """
             SELECT *, initial_rows - clean_rows AS dropped_rows FROM
              (SELECT unnest(['exact', 'pass']) AS counted_by),
-             (SELECT count(*) AS initial_rows, count(*) FILTER (WHERE kind IN (5, 6)) AS malformed_rows,
+             (SELECT count(*) AS initial_rows, count(*) FILTER (WHERE kind IN (5, 7)) AS malformed_rows,
+              count(*) FILTER (WHERE kind = 6) AS short_rows,
               count(*) FILTER (WHERE kind IN (1, 2)) AS bad_label_rows FROM kinds),
              (SELECT count(*) AS labelled_rows FROM sound),
              (SELECT count(*) AS unique_rows, count(datetime) AS clean_rows FROM (SELECT DISTINCT * FROM sound))"""),
+        "rejected_rows": _with(PARSED, """
+            SELECT CASE WHEN main_aqi IS NULL THEN 'unlabelled' WHEN datetime IS NULL THEN 'undated' ELSE 'clean' END AS cleaning_outcome,
+             CAST(year(datetime) AS INT) AS year, CAST(month(datetime) AS INT) AS month, count(*) AS n_rows,
+             CAST(sum(copies) AS BIGINT) AS n_input_rows, sum(components_pm2_5) AS total_pm2_5
+            FROM (SELECT *, count(*) AS copies FROM parsed GROUP BY ALL) GROUP BY 1, 2, 3"""),
+        "csv_line_breaks": _with("", """
+            SELECT reading_id, line_no, city || CASE reading_id % 5 WHEN 0 THEN ' a' || chr(10) || 'b'
+             WHEN 1 THEN 'c' || chr(13) || chr(10) || '"d",' WHEN 2 THEN '\\n\\'
+             WHEN 3 THEN 'e\\s' || chr(10) || '\\r' ELSE 'plain ' END AS city,
+             count(*) OVER () AS n_lines FROM readings"""),
         "timestamp_shapes": _with("", """
             SELECT reading_id, line_no, CASE WHEN reading_id % 9 < 3 THEN date_trunc('day', datetime)
              WHEN reading_id % 9 IN (5, 6) THEN date_trunc('month', datetime) ELSE datetime END AS moment

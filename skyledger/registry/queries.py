@@ -487,9 +487,11 @@ def cleaning_report_after_write(spark, folder):
 @query
 def csv_malformed(spark, folder):
     """Lines with a field too many or too few, with labels and numbers that are none; counted by
-    the report and by the pass that writes the clean rows."""
-    path = scratch_folder(spark, "malformed")
+    the report of the plan and from what the pass that sorts the rows out has committed."""
+    path, sorted_ = scratch_folder(spark, "malformed"), scratch_folder(spark, "sorted-out")
     text = inputs.text_readings(spark, folder)
+    last = ["wind_speed_10m", "relative_humidity_2m"]
+    text = text.select(*[name for name in text.columns if name not in last], *last)
     kind = F.col("reading_id").cast("long") % 31
     text = text.withColumns(
         {
@@ -502,17 +504,42 @@ def csv_malformed(spark, folder):
     field = lambda name: F.concat(F.lit('"'), F.replace(F.coalesce(name, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     whole = F.concat_ws(",", *[field(F.col(name)) for name in text.columns])
     short = F.concat_ws(",", *[field(F.col(name)) for name in text.columns[:-2]])
-    line = F.when(kind == 5, F.concat(whole, F.lit(',"more"'))).when(kind == 6, short).otherwise(whole)
-    lines = text.select(line.alias("value"))
-    lines.write.text(path)
+    open_ = F.concat(whole, F.lit(',"open'))
+    line = F.when(kind == 5, F.concat(whole, F.lit(',"more"'))).when(kind == 6, short).when(kind == 7, open_)
+    text.select(line.otherwise(whole).alias("value")).write.text(path)
     # The header is given, so no file starts with one.
     raw = csv_files.read_csv(spark, path, text.columns, trace=True, headed=False)
-    counted = cleaning.CountedCleaning(raw)
-    counted.rows.write.parquet(scratch_folder(spark, "counted"))
-    sums = F.struct(*[F.col(name) for name in counted.report().columns])
-    exact = cleaning.cleaning_report(raw).select(F.lit("exact").alias("counted_by"), sums.alias("n")).select("counted_by", "n.*")
-    passing = counted.report().select(F.lit("pass").alias("counted_by"), "*")
-    return exact.unionByName(passing)
+    tables.write_outcomes(cleaning.sort_out(raw), sorted_)
+    exact = cleaning.cleaning_report(raw).withColumn("counted_by", F.lit("exact"))
+    committed = cleaning.report_of_outcomes(tables.read_outcomes(spark, sorted_))
+    return exact.unionByName(committed.withColumn("counted_by", F.lit("pass")))
+
+
+@query
+def rejected_rows(spark, folder):
+    """One pass writes clean rows by month and beside them the rejected ones, each with how many rows
+    of the input it stands for."""
+    path = scratch_folder(spark, "outcomes")
+    raw = csv_files.typed_readings(inputs.text_readings(spark, folder))
+    raw = raw.withColumns({"_malformed": F.lit(None).cast("string"), "_short": F.lit(False), "_bad_label": F.lit(False)})
+    tables.write_outcomes(cleaning.sort_out(raw), path)
+    return (
+        tables.read_outcomes(spark, path)
+        .groupBy("cleaning_outcome", "year", "month")
+        .agg(F.count("*").alias("n_rows"), F.sum("_copies").alias("n_input_rows"), F.sum("components_pm2_5").alias("total_pm2_5"))
+    )
+
+
+@query
+def csv_line_breaks(spark, folder):
+    """Texts with line breaks, backslashes, quotes and commas, written and read back."""
+    path = scratch_folder(spark, "breaks")
+    pieces = [" a\nb", "c\r\n\"d\",", "\\n\\", "e\\s\n\\r", "plain "]
+    kind = (F.col("reading_id") % len(pieces)).cast("int")
+    text = F.concat("city", F.element_at(F.array(*map(F.lit, pieces)), kind + 1))
+    csv_files.write_csv(inputs.readings(spark, folder).withColumn("city", text).select(*KEYS, "city", "main_aqi"), path)
+    n_lines = spark.read.text(path).where(~F.col("value").startswith("reading_id")).agg(F.count("*")).scalar()
+    return csv_files.read_csv(spark, path).select(*_typed_keys(), "city", n_lines.alias("n_lines"))
 
 
 @query

@@ -21,16 +21,18 @@ from ..schema import (
     TRAIN_PIECES,
     TRAIN_WORKBOOKS,
 )
-from .paths import EmptySourceError, first_line, matching_paths, path_exists
+from .paths import EmptySourceError, create_empty, first_line, matching_paths, path_exists
 
 _WHOLE_NUMBERS = [LABEL, "hour", "month", "year"]
 _HEADER_READERS = 16
 
 
-# The text of a row that does not have the fields of its header, and whether a label is no label.
+# The text of a row that has more fields than its header or a quote that does not end; whether a row
+# has fewer fields; whether a label is no label.
 MALFORMED = "_malformed"
+SHORT = "_short"
 BAD_LABEL = "_bad_label"
-TRACE = [MALFORMED, BAD_LABEL]
+TRACE = [MALFORMED, SHORT, BAD_LABEL]
 CITY_OF_FILE = "_city"
 _PIECE_OF_CITY = r"([^/]+)_complete_data\.csv(?:/[^/]*)?$"
 
@@ -53,11 +55,35 @@ def _text_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in [*header, MALFORMED]])
 
 
-def _sound(raw: DataFrame) -> Column:
-    """Whether a row has the fields of its header. It reads a second column on purpose: Spark
-    answers no query that needs the column of malformed rows alone."""
-    mark = F.concat_ws("", MALFORMED, F.lit("\x01"), raw.columns[0])
-    return mark.startswith("\x01")
+# A quoted field; of a field that starts with a quote and does not end with one, no match.
+_QUOTED_FIELD = r'(^|,)"(?:[^"]|"")*"(?=,|$)'
+_OPEN_QUOTE = r'(^|,)"'
+
+
+def _judged(raw: DataFrame) -> DataFrame:
+    """Rows that Spark found to have more or fewer fields than their header, told apart.
+
+    Only those rows have their text here. It is judged without its quoted fields: as many commas as
+    are left, so many fields there are beside the first. A short row keeps its values and its text is
+    forgotten; the fields that it lacks are NULL.
+    """
+    names = [name for name in raw.columns if name != MALFORMED]
+    if not names:
+        return raw.withColumn(SHORT, F.lit(False))
+    # True of every row, but reads a second column: Spark answers no query that needs the text of
+    # malformed rows alone.
+    always = F.coalesce(F.col(names[0]), F.lit("")) >= F.lit("")
+    text = F.when(always, F.col(MALFORMED))
+    plain = F.regexp_replace(text, _QUOTED_FIELD, "$1")
+    commas = F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit("")))
+    short = F.coalesce((commas < len(names) - 1) & ~plain.rlike(_OPEN_QUOTE), F.lit(False))
+    return raw.withColumns({SHORT: short, MALFORMED: F.when(~short, text)})
+
+
+def _refusing_malformed(raw: DataFrame) -> DataFrame:
+    """Fail at the first malformed row that is met, showing the start of it."""
+    message = F.concat(F.lit("malformed CSV row (read with trace to keep and count them): "), F.substring(MALFORMED, 1, 200))
+    return raw.where(F.when(F.col(MALFORMED).isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -77,12 +103,18 @@ def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
         return list(pool.map(lambda path: _header(spark, path), paths))
 
 
+def _escaped(spark: SparkSession, paths: list[str]) -> list[bool]:
+    """Whether `write_csv` left its mark in each path."""
+    with ThreadPoolExecutor(min(_HEADER_READERS, len(paths))) as pool:
+        return list(pool.map(lambda path: path_exists(spark, f"{path}/{ESCAPED_MARK}"), paths))
+
+
 def numeric_extras(raw: DataFrame) -> list[str]:
     """Undeclared text columns that hold nothing but numbers and missing values.
 
     Costs one pass over those columns.
     """
-    declared = {DATETIME, "city", MALFORMED, CITY_OF_FILE, *MEASURES, *_WHOLE_NUMBERS}
+    declared = {DATETIME, "city", *TRACE, CITY_OF_FILE, *MEASURES, *_WHOLE_NUMBERS}
     extras = [name for name in raw.columns if name not in declared]
     if not extras:
         return []
@@ -108,7 +140,7 @@ def typed_readings(raw: DataFrame, numbers: list[str] | None = None) -> DataFram
             return to_measure(F.col(name)).alias(name)
         if name in _WHOLE_NUMBERS:
             return to_whole_number(F.col(name)).alias(name)
-        return (F.col(name) if name == MALFORMED else missing_to_null(F.col(name))).alias(name)
+        return (F.col(name) if name in TRACE else missing_to_null(F.col(name))).alias(name)
 
     trace = []
     if MALFORMED in raw.columns and LABEL in raw.columns:
@@ -127,12 +159,15 @@ def read_csv(
     multi_line: bool = False,
     headed: bool = True,
     city_of_file: bool = False,
+    even: bool = False,
 ) -> DataFrame:
     """Read CSV files or folders of them as one frame of readings.
 
-    A row with more or fewer fields than its header is malformed. Such rows are left out; ``strict``
-    fails instead; ``trace`` keeps them, with their text in ``_malformed``, and marks labels that are
-    no whole number in ``_bad_label``, so that the cleaning report can count both.
+    No row is lost without a count. A row with fewer fields than its header keeps them, and the others
+    are NULL. A row with more fields, or with a quote that does not end, is malformed, and the read
+    fails there. ``trace`` keeps malformed rows, with their text in ``_malformed``, marks short rows in
+    ``_short`` and labels that are no whole number in ``_bad_label``, so that the cleaning report can
+    count them all. ``strict`` fails at short rows too.
 
     A quoted field may hold a line break only with ``multi_line``; files are then read whole by one
     task each, so keep them small.
@@ -148,21 +183,23 @@ def read_csv(
 
     Columns are matched by name; a column that a path lacks is NULL there. There is one scan per
     distinct header, not per path. Give ``header`` where all files share it, and no file is opened
-    before the scan; a file that differs then fails the scan.
+    before the scan; a file that differs then fails the scan. ``even`` refuses, by name, a piece that
+    lacks a feature column which another piece has. Line breaks that `write_csv` escaped come back.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise EmptySourceError("no CSV path given")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    if header:
-        groups[tuple(header)] = paths
-    else:
-        for path, found in zip(paths, _headers(spark, paths)):
-            groups.setdefault(found, []).append(path)
-    scans = [
-        _csv_options(spark, strict, multi_line, headed).schema(_text_schema(list(names))).csv(members)
-        for names, members in groups.items()
-    ]
+    found = [tuple(header)] * len(paths) if header else _headers(spark, paths)
+    if even and not header:
+        refuse_uneven_pieces(dict(zip(paths, found)))
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for path, names, escaped in zip(paths, found, _escaped(spark, paths)):
+        groups.setdefault((names, escaped), []).append(path)
+    scans = []
+    for (names, escaped), members in groups.items():
+        scan = _csv_options(spark, strict, multi_line, headed).schema(_text_schema(list(names))).csv(members)
+        texts = [name for name in names if name not in (*MEASURES, *_WHOLE_NUMBERS)] if escaped else []
+        scans.append(_judged(scan).withColumns({name: restore_line_breaks(F.col(f"`{name}`")) for name in texts}))
     if city_of_file:
         named = F.regexp_extract("_metadata.file_path", _PIECE_OF_CITY, 1)
         scans = [scan.withColumn(CITY_OF_FILE, F.nullif(F.url_decode(named), F.lit(""))) for scan in scans]
@@ -170,16 +207,18 @@ def read_csv(
     if city_of_file and "city" in whole.columns:
         whole = whole.drop(CITY_OF_FILE)
     if not trace:
-        whole = whole.where(_sound(whole)).drop(MALFORMED)
+        whole = _refusing_malformed(whole).drop(MALFORMED, SHORT)
     return typed_readings(whole, numeric_extras(whole) if infer else None)
 
 
-def read_csv_glob(spark: SparkSession, pattern: str, header: list[str] | None = None) -> DataFrame:
+def read_csv_glob(
+    spark: SparkSession, pattern: str, header: list[str] | None = None, **options: bool
+) -> DataFrame:
     """Concatenate everything that matches a glob."""
     paths = matching_paths(spark, pattern)
     if not paths:
         raise EmptySourceError(f"no input matches {pattern}")
-    return read_csv(spark, paths, header)
+    return read_csv(spark, paths, header, **options)
 
 
 def training_paths(spark: SparkSession, folder: str) -> list[str]:
@@ -198,9 +237,8 @@ def testing_paths(spark: SparkSession, folder: str) -> list[str]:
     return matching_paths(spark, f"{folder}/{TEST_PIECES}")
 
 
-def refuse_uneven_pieces(spark: SparkSession, paths: list[str]) -> None:
+def refuse_uneven_pieces(headers: dict[str, tuple[str, ...]]) -> None:
     """Raise where a piece lacks a feature column that another piece of the same part has."""
-    headers = dict(zip(paths, _headers(spark, paths))) if paths else {}
     wanted = {name for names in headers.values() for name in names} & set(MEASURES)
     for path, names in headers.items():
         missing = sorted(wanted - set(names))
@@ -228,21 +266,47 @@ def read_testing(
     return read_csv(spark, paths, header, **options)
 
 
-def write_csv(readings: DataFrame, path: str) -> None:
+# Name of the empty file that says that texts of a folder have their line breaks escaped.
+ESCAPED_MARK = "_line_breaks_escaped"
+
+
+def escape_line_breaks(text: Column) -> Column:
+    """Each row on its line: a backslash stands before ``n`` for a line feed, ``r`` for a carriage
+    return and ``s`` for a backslash, so what is read back is what was written."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\s"))
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def restore_line_breaks(text: Column) -> Column:
+    """What `escape_line_breaks` was given. Every backslash in its result starts one of the three
+    pairs; backslashes come back last, so that none of them starts a pair anew."""
+    text = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(text, F.lit("\\s"), F.lit("\\"))
+
+
+def write_csv(readings: DataFrame, path: str, line_breaks: str = "escape") -> None:
     """Write with header and without index; timestamps as ``2021-08-01 05:00:00``.
 
-    A line break inside a text is written as a space, so that each row stays on its line and large
-    files can be split.
+    Each row stays on its line, so that large files can be split. ``line_breaks`` says what a line
+    break inside a text does: ``escape`` writes it as ``\\n`` or ``\\r``, and a backslash as ``\\s``,
+    and leaves a mark in the folder, by which `read_csv` knows to turn them back; ``refuse`` fails.
     """
+    if line_breaks not in ("escape", "refuse"):
+        raise ValueError(f"line breaks can be escaped or refused, not {line_breaks!r}")
 
     def written(field: T.StructField) -> Column:
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
             return F.col(field.name).cast("string").alias(field.name)
-        if isinstance(field.dataType, T.StringType):
-            return F.regexp_replace(field.name, r"[\r\n]+", " ").alias(field.name)
-        return F.col(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            return F.col(field.name)
+        if line_breaks == "escape":
+            return escape_line_breaks(F.col(field.name)).alias(field.name)
+        broken = F.concat(F.lit(f"line break in {field.name}: "), F.substring(field.name, 1, 200))
+        refused = F.when(F.col(field.name).rlike(r"[\r\n]"), F.raise_error(broken)).otherwise(F.col(field.name))
+        return refused.alias(field.name)
 
     shown = [written(field) for field in readings.schema.fields]
-    readings.select(shown).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    readings.select(shown).write.mode("overwrite").options(**kept).csv(path)
+    if line_breaks == "escape":
+        create_empty(readings.sparkSession, f"{path}/{ESCAPED_MARK}")

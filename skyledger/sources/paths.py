@@ -29,6 +29,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(found)
 
 
+def create_empty(spark: SparkSession, path: str) -> None:
+    """An empty file; one that is there stays."""
+    found, file_system = _resolved(spark, path)
+    file_system.createNewFile(found)
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, and its folders, where there is none; false where there is one already,
+    also if another writer was first."""
+    found, file_system = _resolved(spark, path)
+    file_system.mkdirs(found.getParent())
+    return file_system.createNewFile(found)
+
+
 def qualified_path(spark: SparkSession, path: str) -> str:
     """A path with the file system it stands for."""
     found, file_system = _resolved(spark, path)

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .paths import EmptySourceError, path_exists
 
+# What became of a row in cleaning, and how many rows of the input it stands for: all of them, those
+# that were short, those with a label that is none. The text of a rejected row's date.
+OUTCOME = "cleaning_outcome"
+CLEAN = "clean"
+TALLIES = ["_copies", "_short_copies", "_bad_label_copies"]
+REJECTED_TEXT = "_datetime_text"
+_NOT_OF_READINGS = [*TALLIES, REJECTED_TEXT, "_malformed"]
+
 
 def write_readings(readings: DataFrame, path: str) -> None:
     """Write clean readings by year and month.
@@ -21,12 +29,28 @@ def write_readings(readings: DataFrame, path: str) -> None:
     )
 
 
-def read_readings(spark: SparkSession, path: str) -> DataFrame:
+def write_outcomes(rows: DataFrame, path: str) -> None:
+    """Write sorted-out rows in one pass: clean ones by year and month, rejected ones beside them."""
+    keys = [OUTCOME, "year", "month"]
+    rows.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that `write_outcomes` wrote, with what became of them."""
     if not path_exists(spark, path):
         raise EmptySourceError(f"no readings table at {path}")
     return spark.read.parquet(path)
 
 
+def read_readings(spark: SparkSession, path: str) -> DataFrame:
+    """Clean readings; of a table that holds rejected rows too, only the clean ones are read."""
+    clean = f"{path}/{OUTCOME}={CLEAN}"
+    found = clean if path_exists(spark, clean) else path
+    if not path_exists(spark, found):
+        raise EmptySourceError(f"no readings table at {path}")
+    return spark.read.parquet(found).drop(*_NOT_OF_READINGS)
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """Write the vector and label of each row."""
     features.write.mode("overwrite").parquet(path)

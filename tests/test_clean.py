@@ -1,7 +1,11 @@
 """Cleaning against a plain data-frame version of it."""
 
 import datetime
+import json
+import os
 import random
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
@@ -95,3 +99,27 @@ def test_filters_reach_the_scan(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(main_aqi)]" in text
     assert "ReadSchema: struct<main_aqi:int,a:double>" in text
+
+
+def test_counts_of_the_writing_pass_survive_failed_tasks(tmp_path):
+    """Committed files give the counts, so tasks that ran twice count once."""
+    rows = _raw_rows(500, 5)
+    lines = ["city,datetime,main_aqi,components_pm2_5,components_so2"]
+    text = lambda value: "" if value is None else f'"{value}"'
+    lines += [",".join(map(text, row)) for row in rows]
+    lines += ['Lahore,2021-08-01,1,2,3,4'] * 3 + ["Lahore,2021-08-02,2"] * 4 + ["Quetta,2021-08-02,bad,1,1"] * 2
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = os.path.join(root, "tests", "retried_cleaning.py")
+    done = subprocess.run(
+        [sys.executable, script, str(tmp_path)], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300
+    )
+    assert "ANSWER" in done.stdout, done.stderr[-3000:]
+    answer = json.loads(done.stdout.split("ANSWER")[1])
+    assert answer["partitions"] > 2
+    assert answer["committed"] == answer["plan"]
+    report = answer["committed"]
+    assert (report["malformed_rows"], report["short_rows"], report["bad_label_rows"]) == (3, 4, 2)
+    assert report["initial_rows"] == len(rows) + 9 and report["clean_rows"] == answer["clean"]
+    assert not [name for name in answer["columns"] if name.startswith("_") or name == "cleaning_outcome"]
+    assert answer["rejected"][0].count("Lahore,2021-08-01,1,2,3,4") or any("1,2,3,4" in row for row in answer["rejected"])

@@ -154,3 +154,74 @@ def test_header_forms(spark, tmp_path):
     with gzip.open(tmp_path / "z.csv.gz", "wt") as file:
         file.write("q,r\n1,2\n")
     assert csv_files._header(spark, str(tmp_path / "z.csv.gz")) == ("q", "r")
+
+
+LINES = "a,main_aqi,city\nx,1,Lahore\ny,2\nz\n\"p, q\",3\nu,4,Quetta,7\n\"open,5,Multan\nv,,\n"
+
+
+def test_short_rows_keep_their_values(spark, tmp_path):
+    sound = LINES.replace("u,4,Quetta,7\n", "").replace('"open,5,Multan\n', "")
+    path = _write(tmp_path / "a.csv", sound)
+    want = [("x", 1, "Lahore"), ("y", 2, None), ("z", None, None), ("p, q", 3, None), ("v", None, None)]
+    assert [tuple(row) for row in csv_files.read_csv(spark, path).collect()] == want
+    assert csv_files.read_csv(spark, path).count() == 5
+    with pytest.raises(Exception, match="(?i)malformed"):
+        csv_files.read_csv(spark, path, strict=True).collect()
+
+
+def test_rows_with_surplus_fields_or_open_quotes_fail_or_are_kept(spark, tmp_path):
+    path = _write(tmp_path / "a.csv", LINES)
+    with pytest.raises(Exception, match="malformed CSV row"):
+        csv_files.read_csv(spark, path).collect()
+    with pytest.raises(Exception, match="malformed CSV row"):
+        csv_files.read_csv_glob(spark, f"{tmp_path}/*.csv").count()
+    kept = csv_files.read_csv(spark, path, trace=True)
+    marks = {row.a: (row._malformed, row._short) for row in kept.collect()}
+    assert {a for a, (text, _) in marks.items() if text} == {"u", "open,5,Multan"}
+    assert marks["u"][0] == "u,4,Quetta,7" and {a for a, (_, short) in marks.items() if short} == {"y", "z", "p, q"}
+    # Queries that need no column but the marks.
+    assert kept.where("_malformed IS NOT NULL").count() == 2 and kept.where("_short").count() == 3
+
+
+def test_pieces_are_judged_by_their_own_header(spark, tmp_path):
+    _write(tmp_path / "x_complete_data.csv", "main_aqi,city\n1,Lahore\n")
+    _write(tmp_path / "y_complete_data.csv", "main_aqi,city,components_co\n2,Quetta,5\n3,Multan\n")
+    rows = csv_files.read_training(spark, str(tmp_path), trace=True).collect()
+    assert sorted((r.main_aqi, r.components_co, r._short, r._malformed) for r in rows) == [
+        (1, None, False, None), (2, 5.0, False, None), (3, None, True, None),
+    ]
+
+
+TEXTS = ["a\nb", "a\r\nb\r", "\\n", "\\", "\\\n", "\\s", "\\r\\s\\n", '"q", r\n"', " lead", "trail ", "x\\", "\n", "ü\u2028\x0b"]
+
+
+def test_texts_with_line_breaks_come_back(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(place, text) for place, text in enumerate(TEXTS)]
+    csv_files.write_csv(spark.createDataFrame(rows, "main_aqi int, city string").coalesce(1), path)
+    part = matching_paths(spark, f"{path}/part*")[0]
+    # Each row stays on its line, so a file can be split anywhere.
+    assert spark.read.text(part).count() == len(TEXTS) + 1
+    read = csv_files.read_csv(spark, path)
+    assert sorted(map(tuple, read.collect())) == rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    try:
+        split = csv_files.read_csv(spark, path)
+        assert split.rdd.getNumPartitions() > 2 and sorted(map(tuple, split.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_line_breaks_can_be_refused(spark, tmp_path):
+    fine = spark.createDataFrame([("a\\nb",)], "city string")
+    csv_files.write_csv(fine, str(tmp_path / "fine"), line_breaks="refuse")
+    assert csv_files.read_csv(spark, str(tmp_path / "fine")).first().city == "a\\nb"
+    with pytest.raises(Exception, match="line break in city"):
+        csv_files.write_csv(spark.createDataFrame([("a\nb",)], "city string"), str(tmp_path / "x"), line_breaks="refuse")
+    with pytest.raises(ValueError):
+        csv_files.write_csv(fine, str(tmp_path / "y"), line_breaks="drop")
+
+
+def test_backslashes_of_other_writers_stay(spark, tmp_path):
+    path = _write(tmp_path / "a.csv", "city,main_aqi\nC:\\new\\road\\s,1\n")
+    assert csv_files.read_csv(spark, path).first().city == "C:\\new\\road\\s"
