@@ -266,8 +266,8 @@ def all_oracles() -> dict[str, str]:
              WHEN 3 THEN 'e\\s' || chr(10) || '\\r' ELSE 'plain ' END AS city,
              count(*) OVER () AS n_lines FROM readings"""),
         "timestamp_shapes": _with("", """
-            SELECT reading_id, line_no, CASE WHEN reading_id % 9 < 3 THEN date_trunc('day', datetime)
-             WHEN reading_id % 9 IN (5, 6) THEN date_trunc('month', datetime) ELSE datetime END AS moment
+            SELECT reading_id, line_no, CASE WHEN reading_id % 15 IN (0, 1, 2, 11, 12, 14) THEN date_trunc('day', datetime)
+             WHEN reading_id % 15 IN (5, 6, 10) THEN date_trunc('month', datetime) ELSE datetime END AS moment
             FROM readings"""),
         "forest_fit": _with(CLEAN, """
             SELECT count(*) AS n_train, 11 AS n_features, 1.0::DOUBLE AS total_importance,

@@ -196,11 +196,13 @@ def mixed_timestamp_parse(spark, folder):
 
 @query
 def timestamp_shapes(spark, folder):
-    """Less usual shapes: weekdays, two-digit years, digits alone, months without a day, time first."""
+    """Less usual shapes: weekdays, two-digit years, digits alone, months without a day, time first,
+    the year before a name or between name and day."""
     moment = F.col("datetime")
     shapes = [
         "d-MMM-yy", "EEE MMM d yyyy", "EEEE, MMMM d, yyyy", "yyyyMMddHHmm", "yyyyMMddHHmmss",
-        "MM/yyyy", "MMM yyyy", "H:mm yyyy-MM-dd", "M/d/yy H:mm",
+        "MM/yyyy", "MMM yyyy", "H:mm yyyy-MM-dd", "M/d/yy H:mm", "yyyyMMdd'T'HHmm", "yyyy/MM", "yyyy-MMM-dd",
+        "yyyy MMM dd", "h:mm a M/d/yyyy", "MMMM yyyy dd",
     ]
     text = F
     for rest, shape in enumerate(shapes):
