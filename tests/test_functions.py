@@ -200,7 +200,7 @@ def test_the_pivot_of_short_years_is_a_parameter(spark):
 def test_names_of_weekdays_and_bare_words_are_no_dates(spark):
     texts = [
         "Sunday", "Mon", "monday morning", "12345", "1234567890", "the 13 August 2021", "2021/13/08", "20211308T0500",
-        "20210813X0500", "31 Nov 2021", "13:00 PM 8/13/2021", "08/13", "13 Aug", "8/13/2021 5", "08.2021", "-8/13/2021",
+        "20210813X0500", "31 Nov 2021", "13:00 PM 8/13/2021", "08/13", "13 Aug", "08.2021", "-8/13/2021",
         "8/13/2021 5:00 foo", "3xx Aug 2021", "8/13/2021 5 foo", "１３ Aug 2021", "Ağu 13, 2021", "8/13/2021/4", "9a", "a 9", "9:9",
     ]
     assert _spark_dates(spark, texts) == [None] * len(texts)
