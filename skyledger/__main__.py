@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 from .operators.scoring import score
 from .plans.dashboard import current_baselines, live_dashboard
+from .plans.loads import add_load, loaded_dashboard, remove_load
 from .plans.preprocess import preprocess
 from .plans.training import train_and_evaluate
 from .session import tune
+from .sources.csv_files import read_csv_glob
 from .sources.models import load_model
 from .sources.requests import read_requests, stream_requests, text_fields
 from .streaming.scoring import start_scoring
@@ -31,6 +33,12 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     prepare.add_argument("--line-breaks", choices=["escape", "refuse"], default="escape", help="in texts that are written")
     prepare.add_argument("--handle-invalid", choices=["skip", "keep", "error"], default="skip")
 
+    load = jobs.add_parser("load", help="add a raw CSV folder to a table that grows by loads")
+    load.add_argument("--raw", help="folder with CSV files")
+    load.add_argument("--table", required=True)
+    load.add_argument("--name", required=True, help="of the load; one that is there already changes nothing")
+    load.add_argument("--remove", action="store_true", help="take the load of this name back instead")
+
     train = jobs.add_parser("train", help="fit, measure and save the forest")
     train.add_argument("--train-features", required=True)
     train.add_argument("--test-features", required=True)
@@ -38,7 +46,9 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     train.add_argument("--repeatable-partitions", type=int, help="a fit that does not depend on the layout of rows")
 
     board = jobs.add_parser("dashboard", help="timeline and overall index of clean readings")
-    board.add_argument("--readings", required=True)
+    shown = board.add_mutually_exclusive_group(required=True)
+    shown.add_argument("--readings")
+    shown.add_argument("--loads", help="a table that grows by loads; only its sums are read")
     board.add_argument("--output", required=True, help="folder for one JSON line")
 
     for name, text in (("score", "score request files once"), ("stream", "score arriving request files")):
@@ -79,8 +89,15 @@ def main(words: list[str] | None = None) -> None:
             options.repeatable_partitions,
         )
         print(f"accuracy {trained.accuracy:.4f}, weighted F1 {trained.weighted_f1:.4f}")
+    elif options.job == "load":
+        if options.remove:
+            print("removed" if remove_load(spark, options.table, options.name) else "not there")
+        else:
+            raw = read_csv_glob(spark, f"{options.raw}/*.csv", trace=True)
+            print("added" if add_load(spark, options.table, options.name, raw) else "there already")
     elif options.job == "dashboard":
-        live_dashboard(spark, options.readings).write.mode("overwrite").json(options.output)
+        board = loaded_dashboard(spark, options.loads) if options.loads else live_dashboard(spark, options.readings)
+        board.write.mode("overwrite").json(options.output)
     else:
         model = load_model(spark, options.model)
         means = current_baselines(spark, options.readings, options.model_accuracy)

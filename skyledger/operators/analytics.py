@@ -29,7 +29,12 @@ def in_time_order(monthly: DataFrame) -> DataFrame:
 
 def monthly_timeline(readings: DataFrame) -> DataFrame:
     """``MM/YYYY`` and mean PM2.5, in time order."""
-    return in_time_order(monthly_means(readings)).select(
+    return timeline_of(monthly_means(readings))
+
+
+def timeline_of(monthly: DataFrame) -> DataFrame:
+    """The timeline from monthly means."""
+    return in_time_order(monthly).select(
         month_label(F.col("year"), F.col("month")).alias("label"),
         round_shown(F.col("mean_pm2_5"), 2).alias("real_pm25"),
     )
@@ -49,8 +54,13 @@ def timeline_series(readings: DataFrame) -> DataFrame:
 
     What is collected is one entry per month, so its size follows the calendar, not the data.
     """
+    return series_of(monthly_means(readings))
+
+
+def series_of(monthly: DataFrame) -> DataFrame:
+    """Both arrays from monthly means."""
     collected = F.array_sort(F.collect_list(_timeline_point()))
-    points = monthly_means(readings).agg(collected.alias("points"))
+    points = monthly.agg(collected.alias("points"))
     return points.select(
         F.col("points.label").alias("labels"), F.col("points.value").alias("real_pm25")
     )
@@ -62,19 +72,23 @@ def _index(mean_class: Column) -> Column:
 
 def overall_index(readings: DataFrame) -> DataFrame:
     """Mean class of the dataset on the index scale."""
-    mean = readings.agg(F.avg(LABEL).alias("mean_aqi"))
+    return index_of(readings.agg(F.avg(LABEL).alias("mean_aqi")))
+
+
+def index_of(mean: DataFrame) -> DataFrame:
+    """``overall_index`` from a row with the mean class."""
     return mean.select(_index(F.col("mean_aqi")).alias("overall_index"))
 
 
 def city_leaderboard(readings: DataFrame) -> DataFrame:
     """Mean class per city on the index scale, highest first, ties by name."""
-    return (
-        readings.where(F.col("city").isNotNull())
-        .groupBy("city")
-        .agg(F.avg(LABEL).alias("mean_aqi"), F.count("*").alias("n_readings"))
-        .withColumn("city_index", _index(F.col("mean_aqi")))
-        .orderBy(F.desc("mean_aqi"), "city")
-    )
+    means = readings.where(F.col("city").isNotNull()).groupBy("city")
+    return board_of(means.agg(F.avg(LABEL).alias("mean_aqi"), F.count("*").alias("n_readings")))
+
+
+def board_of(cities: DataFrame) -> DataFrame:
+    """The leaderboard from ``city, mean_aqi`` and other columns."""
+    return cities.withColumn("city_index", _index(F.col("mean_aqi"))).orderBy(F.desc("mean_aqi"), "city")
 
 
 DASHBOARD_SCHEMA = T.StructType(

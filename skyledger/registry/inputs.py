@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from ..operators.clean import clean_readings
 from ..operators.features import assemble
 from ..operators.forest import fit_forest
+from ..plans.loads import add_load, remove_load
 from ..session import scratch_folder, tune
+from ..sources.csv_files import typed_readings
 from ..sources.driver_tables import readings_view, test_split, train_split
 from ..sources.models import load_model, save_model
 from ..sources.tables import read_features, write_features
@@ -111,3 +113,27 @@ def forest(spark: SparkSession, folder: str) -> RandomForestClassificationModel:
 
 def test_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return assemble(test_split(clean(spark, folder)), keep=KEYS)
+
+
+@cache
+def _loads_path(application: str, folder: str) -> str:
+    spark = SparkSession.active()
+    root = scratch_folder(spark, "loads")
+    raw = typed_readings(text_readings(spark, folder))
+    line = F.col("line_no").cast("int")
+    assert add_load(spark, root, "first", raw.where(line <= 3))
+    assert add_load(spark, root, "mistaken", raw.where(line >= 6))
+    # It overlaps the first, its columns come in another order, and it is sent twice.
+    second = raw.select(*reversed(raw.columns)).where((line >= 2) & (line <= 5))
+    assert add_load(spark, root, "second", second)
+    assert not add_load(spark, root, "second", second)
+    assert remove_load(spark, root, "mistaken")
+    assert add_load(spark, root, "third", raw.where(line >= 5))
+    return root
+
+
+def loads(spark: SparkSession, folder: str) -> str:
+    """A table that took all raw readings in three overlapping loads, one of them sent twice, and a
+    load that was taken back; made once per application."""
+    tune(spark)
+    return _loads_path(spark.sparkContext.applicationId, folder)

@@ -47,6 +47,14 @@ SELECT reading_id, line_no, main_aqi,
 FROM readings)
 """
 
+# Clean rows of a raw text file.
+LOADED = PARSED + """,
+clean AS (
+SELECT *, CAST(hour(datetime) AS INT) AS hour, CAST(month(datetime) AS INT) AS month,
+ CAST(year(datetime) AS INT) AS year
+FROM (SELECT DISTINCT * FROM parsed WHERE main_aqi IS NOT NULL AND datetime IS NOT NULL))
+"""
+
 REQUESTS = """,
 requests AS (
 SELECT reading_id, line_no,
@@ -368,6 +376,24 @@ def all_oracles() -> dict[str, str]:
              (SELECT string_agg(city, ',' ORDER BY mean DESC, city) FROM board) AS cities,
              (SELECT {_shown('max(mean) * 40', 1)} FROM board) AS highest_index FROM ({MONTHLY})
             UNION ALL SELECT 'fallback', 0, '', NULL, '', NULL"""),
+        "dedup_across_loads": _with(LOADED, f"""
+            SELECT reading_id, line_no, datetime, city, main_aqi, hour, month, year, {ALL_MEASURES} FROM clean"""),
+        "rollup_monthly_means": _with(LOADED, f"""
+            SELECT year, month, round(mean_aqi, 6) AS mean_aqi, round(mean_pm2_5, 6) AS mean_pm2_5 FROM ({MONTHLY})"""),
+        "rollup_baselines": _with(LOADED + MEANS, "SELECT " + ", ".join(
+            f"round({name}, 6) AS {name}" for name in BASELINE_MEASURES) + " FROM means"),
+        "rollup_leaderboard": _with(LOADED, f"""
+            SELECT city, round(avg(main_aqi), 9) AS mean_aqi, count(*) AS n_readings,
+             {_shown('avg(main_aqi) * 40', 1)} AS city_index
+            FROM clean WHERE city IS NOT NULL GROUP BY city ORDER BY avg(main_aqi) DESC, city"""),
+        "rollup_dashboard": _with(LOADED + """,
+            board AS (SELECT city, avg(main_aqi) AS mean FROM clean WHERE city IS NOT NULL GROUP BY city)""", f"""
+            SELECT 'success' AS status, CAST(count(*) AS INT) AS n_months,
+             string_agg({LABEL}, ',' ORDER BY year, month) AS labels,
+             (SELECT {_shown('avg(main_aqi) * 40', 1)} FROM clean) AS overall_index,
+             (SELECT string_agg(city, ',' ORDER BY mean DESC, city) FROM board) AS cities,
+             (SELECT {_shown('max(mean) * 40', 1)} FROM board) AS highest_index FROM ({MONTHLY})
+            UNION ALL SELECT 'fallback', 0, '', NULL, '', NULL"""),
         "city_leaderboard_of_pieces": _with(PARSED, f"""
             SELECT city, round(avg(main_aqi), 9) AS mean_aqi, count(*) AS n_readings,
              {_shown('avg(main_aqi) * 40', 1)} AS city_index

@@ -20,8 +20,9 @@ from ..functions.bands import (
 from ..functions.numbers import lenient_number as number_at_start
 from ..functions.numbers import to_percent
 from ..functions.timestamps import month_label, parse_mixed_timestamp
-from ..operators import advice, analytics, baselines, clean as cleaning, features, forest, scoring
+from ..operators import advice, analytics, baselines, clean as cleaning, features, forest, rollup, scoring
 from ..plans.dashboard import live_dashboard
+from ..plans.loads import loaded_baselines, loaded_dashboard, loaded_readings, loaded_sums
 from ..schema import BASELINE_MEASURES, FEATURES, MEASURES, REQUEST_DEFAULTS
 from ..session import scratch_folder
 from ..sources import csv_files, models, requests as request_files, tables
@@ -619,6 +620,48 @@ def dashboard_or_fallback(spark, folder):
     )
 
 
+@query
+def dedup_across_loads(spark, folder):
+    """Overlapping loads leave the rows that one load of all would leave."""
+    return loaded_readings(spark, inputs.loads(spark, folder)).select(
+        *_typed_keys(), "datetime", "city", "main_aqi", "hour", "month", "year", *MEASURES
+    )
+
+
+@query
+def rollup_monthly_means(spark, folder):
+    return rollup.monthly_means(loaded_sums(spark, inputs.loads(spark, folder))).select(
+        "year", "month", F.round("mean_aqi", 6).alias("mean_aqi"), F.round("mean_pm2_5", 6).alias("mean_pm2_5")
+    )
+
+
+@query
+def rollup_baselines(spark, folder):
+    means = loaded_baselines(spark, inputs.loads(spark, folder))
+    return means.select(*[F.round(name, 6).alias(name) for name in BASELINE_MEASURES])
+
+
+@query
+def rollup_leaderboard(spark, folder):
+    board = rollup.city_leaderboard(loaded_sums(spark, inputs.loads(spark, folder)))
+    return board.withColumn("mean_aqi", F.round("mean_aqi", 9))
+
+
+@query
+def rollup_dashboard(spark, folder):
+    """The dashboard of the sums, before the first load and after all."""
+    root = scratch_folder(spark, "no-loads")
+    shown = loaded_dashboard(spark, inputs.loads(spark, folder)).unionByName(loaded_dashboard(spark, root))
+    return shown.select(
+        "status",
+        F.size("labels").alias("n_months"),
+        F.array_join("labels", ",").alias("labels"),
+        "overall_index",
+        F.array_join("cities", ",").alias("cities"),
+        F.get("city_index", F.lit(0)).alias("highest_index"),
+    )
+
+
 # Machine learning
 
 

@@ -35,12 +35,34 @@ def create_empty(spark: SparkSession, path: str) -> None:
     file_system.createNewFile(found)
 
 
-def create_new(spark: SparkSession, path: str) -> bool:
-    """Create an empty file, and its folders, where there is none; false where there is one already,
-    also if another writer was first."""
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file where there is none; false where there is one already, also if another
+    writer was first."""
     found, file_system = _resolved(spark, path)
-    file_system.mkdirs(found.getParent())
-    return file_system.createNewFile(found)
+    if file_system.exists(found):
+        return False
+    try:
+        stream = file_system.create(found, False)
+    except Exception as error:
+        if file_system.exists(found):
+            return False
+        raise error
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file, read without a Spark job."""
+    found, file_system = _resolved(spark, path)
+    jvm = spark.sparkContext._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(file_system.open(found), "UTF-8"))
+    try:
+        return "\n".join(iter(reader.readLine, None))
+    finally:
+        reader.close()
 
 
 def qualified_path(spark: SparkSession, path: str) -> str:

@@ -1,0 +1,141 @@
+"""Tables that grow by loads: copies across loads, sums, commits."""
+
+import random
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
+
+from skyledger.__main__ import main
+from skyledger.operators import analytics, baselines, clean, rollup
+from skyledger.plans import loads
+from skyledger.sources import loads as log
+
+COLUMNS = "city string, datetime string, main_aqi int, components_pm2_5 double, components_co double, components_no2 double, temperature_2m double"
+
+
+def _raw(count, seed):
+    draw = random.Random(seed)
+    texts = ["2021-08-01 05:00:00", "8/13/2021 5:00", "junk", None, "2022-01-05", "Mar 3, 2022", "2021-09-09"]
+    return [
+        (
+            draw.choice(["Lahore", "Quetta", None]), draw.choice(texts), draw.choice([1, 2, 3, None]),
+            draw.choice([10.0, 60.5, float("nan"), None, 0.0, -0.0]), draw.choice([0.1, 0.2, None]), 1.5, draw.choice([20.25, None]),
+        )
+        for _ in range(count)
+    ]
+
+
+def _rows(frame):
+    names = ["city", "datetime", "main_aqi", "components_pm2_5", "components_co", "temperature_2m", "year", "month"]
+    return sorted(map(str, frame.select(*names).withColumn("components_pm2_5", F.col("components_pm2_5") + 0.0).collect()))
+
+
+def _same_as_one_load(spark, root, raws):
+    whole = spark.createDataFrame([row for raw in raws for row in raw], COLUMNS)
+    # NaN and NULL are one thing once a file is read.
+    whole = whole.withColumn("components_pm2_5", F.nullif("components_pm2_5", F.lit(float("nan"))))
+    want = clean.clean_readings(whole)
+    got = loads.loaded_readings(spark, root)
+    assert _rows(got) == _rows(want)
+    sums = loads.loaded_sums(spark, root)
+    assert [r.asDict() for r in sums.collect()] and {tuple(r) for r in sums.collect()} == {tuple(r) for r in rollup.rollup(want).collect()}
+    shown = loads.loaded_dashboard(spark, root).first()
+    assert shown == analytics.dashboard(want).first()
+    means, exact = (frame.first() for frame in (loads.loaded_baselines(spark, root), baselines.dataset_baselines(want)))
+    assert all(means[name] == pytest.approx(exact[name]) for name in rollup._MEASURES)
+
+
+def _frame(spark, rows):
+    frame = spark.createDataFrame(rows, COLUMNS)
+    return frame.withColumn("components_pm2_5", F.nullif("components_pm2_5", F.lit(float("nan"))))
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_overlapping_loads_equal_one(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(loads, "SMALL_LOAD", small)
+    root = str(tmp_path / "table")
+    first, second = _raw(150, 1), _raw(120, 2)
+    second += first[:60]
+    assert loads.add_load(spark, root, "a", _frame(spark, first))
+    assert loads.add_load(spark, root, "b", _frame(spark, second).select(*reversed(COLUMNS.replace(" string", "").replace(" int", "").replace(" double", "").split(", "))))
+    assert not loads.add_load(spark, root, "a", _frame(spark, first))
+    _same_as_one_load(spark, root, [first, second])
+
+
+def test_snapshots_removed_loads_and_loads_without_news(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loads, "SNAPSHOT_AFTER", 2)
+    root = str(tmp_path / "table")
+    raws = [_raw(40, seed) for seed in range(4)]
+    for place, raw in enumerate(raws):
+        loads.add_load(spark, root, f"load {place}", _frame(spark, raw))
+    known = log.commits(spark, root)
+    assert "snapshot" in [entry.action for entry in known] and len(log.signed_sums(known)) <= 3
+    assert loads.add_load(spark, root, "nothing new", _frame(spark, raws[0]))
+    _same_as_one_load(spark, root, raws)
+    assert loads.remove_load(spark, root, "load 3") and not loads.remove_load(spark, root, "load 3")
+    _same_as_one_load(spark, root, raws[:3])
+    # After it was taken back it may come again.
+    assert loads.add_load(spark, root, "load 3", _frame(spark, raws[3]))
+    _same_as_one_load(spark, root, raws)
+
+
+def test_a_load_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "table")
+    assert loads.loaded_dashboard(spark, root).first().status == "fallback"
+    loads.add_load(spark, root, "a", _frame(spark, _raw(50, 1)))
+    before = _rows(loads.loaded_readings(spark, root))
+    monkeypatch.setattr(loads, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        loads.add_load(spark, root, "b", _frame(spark, _raw(50, 2)))
+    monkeypatch.undo()
+    assert _rows(loads.loaded_readings(spark, root)) == before
+    assert loads.add_load(spark, root, "b", _frame(spark, _raw(50, 2)))
+
+
+def test_of_two_writers_one_looks_again(spark, tmp_path):
+    root = str(tmp_path / "table")
+    raws = [_raw(60, 1), _raw(60, 2) + _raw(60, 1)[:40], _raw(60, 3)]
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda item: loads.add_load(spark, root, f"load {item[0]}", _frame(spark, item[1])), enumerate(raws)))
+    assert done == [True] * 3 and len(log.commits(spark, root)) == 3
+    _same_as_one_load(spark, root, raws)
+
+
+def test_only_months_of_the_load_are_looked_at(spark, tmp_path):
+    root = str(tmp_path / "table")
+    loads.add_load(spark, root, "a", _frame(spark, _raw(200, 1)))
+    known = log.read_rows(spark, root, log.commits(spark, root))
+    arrived = spark.createDataFrame([(bytes(32), 2021, 8)], "_row_digest binary, year int, month int")
+    plan = loads._unknown(arrived, known)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan or "PartitionFilters: [(year" in plan
+    assert "ReadSchema: struct<_row_digest:binary>" in plan
+
+
+def test_columns_may_be_missing_but_not_change_their_type(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = _raw(50, 1)
+    loads.add_load(spark, root, "a", _frame(spark, rows).drop("components_co"))
+    loads.add_load(spark, root, "b", _frame(spark, rows))
+    assert set(loads.loaded_readings(spark, root).columns) >= {"components_co", "city"}
+    other = _frame(spark, [(*row[:4], 5.0, *row[5:]) for row in rows]).withColumn("components_co", F.lit("x"))
+    with pytest.raises(ValueError, match="components_co"):
+        loads.add_load(spark, root, "c", other)
+    assert len(log.commits(spark, root)) == 2
+
+
+def test_a_value_beyond_decimals_counts_as_missing(spark):
+    rows = spark.createDataFrame([(2021, 8, 1, 1e300), (2021, 8, 1, 2.0)], "year int, month int, main_aqi int, components_pm2_5 double")
+    rows = rows.withColumns({name: F.lit(1.0) for name in ("components_co", "components_no2", "temperature_2m")})
+    assert rollup.monthly_means(rollup.rollup(rows)).first().mean_pm2_5 == 2.0
+
+
+def test_jobs(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.csv").write_text("datetime,main_aqi,city,components_pm2_5,components_co,components_no2,temperature_2m\n2021-08-01,2,Lahore,5,1,1,1\n")
+    words = ["load", "--raw", f"{tmp_path}/raw", "--table", f"{tmp_path}/table", "--name", "a"]
+    main(words)
+    main(words)
+    assert capsys.readouterr().out.split("\n")[:2] == ["added", "there already"]
+    main(["dashboard", "--loads", f"{tmp_path}/table", "--output", f"{tmp_path}/board"])
+    assert spark.read.json(f"{tmp_path}/board").first().overall_index == 80.0
