@@ -3,11 +3,14 @@
 A change inserts, revises or deletes the count of a document under a tokenizer version. A batch turns
 changes into signed rows by looking up what the document counts so far: an insert adds, a delete
 takes away what stands, a revision does both. Signed rows and their sums by source, language and
-tokenizer are written to folders of the batch, and a commit mark comes last. Totals are the sum over
-committed batches; nothing is ever rewritten.
+tokenizer are written to folders of their own, and a numbered commit that names them comes last.
+Totals are the sum over committed batches; nothing is ever rewritten.
 
-A batch sees only batches of smaller id, so doing it again after a failure gives the same rows and
-overwrites what was half written, and a batch whose mark exists is skipped: each counts once.
+Only one writer can make the next commit; one that loses looks up anew. A batch that is committed
+already is skipped, and one that was half written is named by no commit: each counts once. Batches
+come in the order of their ids: what a batch takes away rests on all before it, so one that comes
+after a batch of larger id is refused with `LateBatch`. After every ``SNAPSHOT_AFTER`` batches what
+documents count is written as a snapshot, and a look-up reads the last snapshot and later batches only.
 
 Cases: an insert of a known document is a revision, a revision of an unknown one an insert, a delete
 of an unknown one nothing. Of several changes of one document in a batch the one of the largest
@@ -20,12 +23,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..sources.paths import matching_paths, path_exists
+from ..sources.loads import Commit, LoadConflict, commit, commits, new_folder, read_folders
 from .common import Shared, arrow_schema, in_parts
 
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -77,41 +82,59 @@ def changes(counts: DataFrame, kind: str, seq: int = 0) -> DataFrame:
     return named.withColumn("kind", F.lit(kind)).withColumn("seq", F.lit(seq).cast("long"))
 
 
-def _mark(root: str, batch_id: int) -> str:
-    return f"{root}/committed/{batch_id:012d}"
+# Batches after which the ledger and the totals are written as a snapshot.
+SNAPSHOT_AFTER = 8
+_ATTEMPTS = 5
+
+
+class LateBatch(ValueError):
+    """A batch of larger id is committed already."""
 
 
 def committed(spark: SparkSession, root: str) -> list[int]:
-    return [int(path.rsplit("/", 1)[1]) for path in matching_paths(spark, f"{root}/committed/*")]
+    """Ids of the committed batches, in the order in which they came."""
+    return _ids(commits(spark, root))
 
 
-def _commit(spark: SparkSession, root: str, batch_id: int) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_mark(root, batch_id))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True).close()
+def _ids(known: list[Commit]) -> list[int]:
+    return [int(entry.load) for entry in known if entry.action == "add"]
 
 
-def _batches(spark: SparkSession, root: str, kind: str, schema: str, before: int | None = None) -> DataFrame:
-    ids = [k for k in committed(spark, root) if before is None or k < before]
-    if not ids:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*(f"{root}/{kind}/{k:012d}" for k in ids))
+def _since_snapshot(known: list[Commit]) -> list[Commit]:
+    last = max((place for place, entry in enumerate(known) if entry.action == "snapshot"), default=0)
+    return known[last:]
 
 
-def ledger(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """What each document counts now, or before a batch (``SIGNED`` with ``n_docs`` 1)."""
-    rows = _batches(spark, root, "signed", SIGNED, before)
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
     sums = [F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
-    return rows.groupBy("doc_key", "tokenizer", "source", "lang").agg(*sums).where("n_docs > 0")
+    return rows.groupBy(*keys).agg(*sums)
 
 
-def commit_batch(root: str, batch_id: int, batch: DataFrame) -> bool:
-    """Apply changes (``CHANGES``) as a batch; False where it had been applied before."""
-    spark = batch.sparkSession
-    if path_exists(spark, _mark(root, batch_id)):
-        return False
+def _ledger(spark: SparkSession, known: list[Commit]) -> DataFrame:
+    rows = read_folders(spark, [entry.rows for entry in _since_snapshot(known)], StructType.fromDDL(SIGNED))
+    return _summed(rows, "doc_key", "tokenizer", "source", "lang").where("n_docs > 0")
+
+
+def _totals(spark: SparkSession, known: list[Commit]) -> DataFrame:
+    rows = read_folders(spark, [entry.sums for entry in _since_snapshot(known)], StructType.fromDDL(TOTALS))
+    return _summed(rows, "source", "lang", "tokenizer").where("n_docs > 0")
+
+
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    """What each document counts now (``SIGNED`` with ``n_docs`` 1)."""
+    return _ledger(spark, commits(spark, root))
+
+
+def totals(spark: SparkSession, root: str) -> DataFrame:
+    """``TOTALS`` over all committed batches; groups without documents are left out."""
+    return _totals(spark, commits(spark, root))
+
+
+def _signed(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Signed rows of a batch (``CHANGES``), given what documents count before it."""
     rank = F.struct("seq", (F.col("kind") == "delete").alias("deletes"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "source", "lang")
     last = batch.groupBy("doc_key", "tokenizer").agg(F.max(rank).alias("last"))
-    known = ledger(spark, root, batch_id).select(
+    known = known.select(
         "doc_key", "tokenizer", F.struct("source", "lang", F.lit(-1).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")).alias("old")
     )
     added = F.struct("last.source", "last.lang", F.lit(1).alias("n_docs"), F.col("last.n_tokens").alias("n_tokens"))
@@ -120,21 +143,41 @@ def commit_batch(root: str, batch_id: int, batch: DataFrame) -> bool:
         .withColumn("new", F.when(~F.col("last.deletes"), added))
         .select("doc_key", "tokenizer", F.inline(F.array_compact(F.array("old", "new"))))
     )
-    signed = signed.select("doc_key", "tokenizer", "source", "lang", F.col("n_docs").cast("long"), "n_tokens")
-    place = f"{root}/signed/{batch_id:012d}"
-    signed.write.mode("overwrite").parquet(place)
-    rows = spark.read.schema(SIGNED).parquet(place)
-    sums = [F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
-    rows.groupBy("source", "lang", "tokenizer").agg(*sums).write.mode("overwrite").parquet(f"{root}/totals/{batch_id:012d}")
-    _commit(spark, root, batch_id)
-    return True
+    return signed.select("doc_key", "tokenizer", "source", "lang", F.col("n_docs").cast("long"), "n_tokens")
 
 
-def totals(spark: SparkSession, root: str) -> DataFrame:
-    """``TOTALS`` over all committed batches; groups without documents are left out."""
-    rows = _batches(spark, root, "totals", TOTALS)
-    sums = [F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
-    return rows.groupBy("source", "lang", "tokenizer").agg(*sums).where("n_docs > 0")
+def commit_batch(root: str, batch_id: int, batch: DataFrame) -> bool:
+    """Apply changes (``CHANGES``) as a batch; False where it had been applied before."""
+    spark = batch.sparkSession
+    for _ in range(_ATTEMPTS):
+        known = commits(spark, root)
+        if batch_id in _ids(known):
+            return False
+        if any(batch_id < other for other in _ids(known)):
+            raise LateBatch(f"batch {batch_id} comes after batch {max(_ids(known))}")
+        place, sums = new_folder(root, "signed"), new_folder(root, "totals")
+        _signed(batch, _ledger(spark, known)).write.parquet(place)
+        rows = read_folders(spark, [place], StructType.fromDDL(SIGNED))
+        _summed(rows, "source", "lang", "tokenizer").write.parquet(sums)
+        try:
+            commit(spark, root, known, Commit("add", str(batch_id), place, sums))
+        except LoadConflict:
+            continue
+        _snapshot_if_due(spark, root)
+        return True
+    raise LoadConflict(f"batch {batch_id} lost {_ATTEMPTS} times against other writers")
+
+
+def _snapshot_if_due(spark: SparkSession, root: str) -> None:
+    """Write ledger and totals as one commit; a writer that commits first makes it void."""
+    known = commits(spark, root)
+    if len(_since_snapshot(known)) <= SNAPSHOT_AFTER:
+        return
+    rows, sums = new_folder(root, "ledger"), new_folder(root, "totals")
+    _ledger(spark, known).write.parquet(rows)
+    _totals(spark, known).write.parquet(sums)
+    with suppress(LoadConflict):
+        commit(spark, root, known, Commit("snapshot", "", rows, sums))
 
 
 def into_rollup(root: str) -> Callable[[DataFrame, int], None]:

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -58,7 +59,7 @@ def test_a_half_done_batch_does_not_count_and_is_done_again(spark, tmp_path, mon
     op.commit_batch(root, 0, frames[0])
     before = totals(spark, root)
     with monkeypatch.context() as broken:
-        broken.setattr(op, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        broken.setattr(op, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError):
             op.commit_batch(root, 2, frames[3])
     assert totals(spark, root) == before
@@ -66,6 +67,60 @@ def test_a_half_done_batch_does_not_count_and_is_done_again(spark, tmp_path, mon
     assert totals(spark, root) == sums(apply(apply({}, rows[0]), rows[2]))
 
 
+def test_late_batches_are_refused(spark, tmp_path):
+    """Batches 1, 3, 2 of one document: the late one changes nothing."""
+    root = str(tmp_path)
+    one = lambda n: spark.createDataFrame([("d", "t", "s", "en", n, "revise", 0)], op.CHANGES)
+    assert op.commit_batch(root, 1, one(10)) and op.commit_batch(root, 3, one(30))
+    with pytest.raises(op.LateBatch):
+        op.commit_batch(root, 2, one(20))
+    assert totals(spark, root) == {("s", "en", "t"): (1, 30)} and op.committed(spark, root) == [1, 3]
+    assert not op.commit_batch(root, 1, one(10))
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_any_order_is_refused_or_right(spark, tmp_path, seed):
+    rnd, root, state, largest = random.Random(seed), str(tmp_path), {}, -1
+    for k in [rnd.randrange(6) for _ in range(8)]:
+        rows = batches(seed + k)[0][:20]
+        frame = spark.createDataFrame(rows, op.CHANGES)
+        if k in op.committed(spark, root):
+            assert not op.commit_batch(root, k, frame)
+        elif k < largest:
+            with pytest.raises(op.LateBatch):
+                op.commit_batch(root, k, frame)
+        else:
+            assert op.commit_batch(root, k, frame)
+            state, largest = apply(state, rows), k
+        assert totals(spark, root) == sums(state)
+
+
+def test_a_commit_reads_the_last_snapshot_and_later_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "SNAPSHOT_AFTER", 2)
+    root, state, read = str(tmp_path), {}, []
+    folders = op.read_folders
+    monkeypatch.setattr(op, "read_folders", lambda s, f, schema: read.append(len(f)) or folders(s, f, schema))
+    for k in range(7):
+        rows = batches(10 + k)[0][:25]
+        op.commit_batch(root, k, spark.createDataFrame(rows, op.CHANGES))
+        state = apply(state, rows)
+        assert totals(spark, root) == sums(state)
+    assert max(read) <= 3 and [c.action for c in op.commits(spark, root)].count("snapshot") >= 2
+
+
+def test_of_two_writers_of_one_batch_one_counts(spark, tmp_path):
+    root, rows = str(tmp_path), batches()[0]
+    frame = spark.createDataFrame(rows, op.CHANGES)
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda _: op.commit_batch(root, 1, frame), range(3)))
+    assert sorted(done) == [False, False, True] and totals(spark, root) == sums(apply({}, rows))
+
+
+def test_query_over_no_documents(spark, small, tmp_path):
+    table(spark, small, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.all_queries()["op9_token_rollups"](spark, str(tmp_path)).count() == 0
+
+
 def test_nothing_committed(spark, tmp_path):
     assert totals(spark, str(tmp_path / "none")) == {}
 
