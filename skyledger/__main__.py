@@ -13,9 +13,9 @@ from .plans.preprocess import preprocess
 from .plans.training import train_and_evaluate
 from .session import tune
 from .sources.csv_files import read_csv_glob
-from .sources.models import load_model
+from .sources.models import load_model, publish_version
 from .sources.requests import read_requests, stream_requests, text_fields
-from .streaming.scoring import start_scoring
+from .streaming.scoring import start_scoring, start_versioned_scoring
 
 
 def _arguments(words: list[str] | None) -> argparse.Namespace:
@@ -51,16 +51,23 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     shown.add_argument("--loads", help="a table that grows by loads; only its sums are read")
     board.add_argument("--output", required=True, help="folder for one JSON line")
 
+    publish = jobs.add_parser("publish", help="make a model and the present means what streams score by")
+    publish.add_argument("--versions", required=True)
+    publish.add_argument("--readings", required=True, help="table the baselines are taken from")
+    publish.add_argument("--model", help="without one the rule answers")
+    publish.add_argument("--model-accuracy", type=float)
+
     for name, text in (("score", "score request files once"), ("stream", "score arriving request files")):
         job = jobs.add_parser(name, help=text)
         job.add_argument("--requests", required=True)
-        job.add_argument("--readings", required=True, help="table the baselines are taken from")
-        job.add_argument("--model", required=True, help="absent model: the rule answers")
+        job.add_argument("--readings", required=name == "score", help="table the baselines are taken from")
+        job.add_argument("--model", required=name == "score", help="absent model: the rule answers")
         job.add_argument("--model-accuracy", type=float)
         job.add_argument("--output", required=True)
         job.add_argument("--id", action="append", default=[], help="request field to carry into the answer")
         job.add_argument("--on-error", choices=["error", "fallback"], default="error")
         if name == "stream":
+            job.add_argument("--versions", help="folder of published models and means, instead of --readings and --model")
             job.add_argument("--checkpoint", required=True)
             job.add_argument("--files-per-batch", type=int, help="most files of a batch; default: all that wait")
             job.add_argument("--interval", help="keep running, e.g. '10 seconds'")
@@ -98,7 +105,18 @@ def main(words: list[str] | None = None) -> None:
     elif options.job == "dashboard":
         board = loaded_dashboard(spark, options.loads) if options.loads else live_dashboard(spark, options.readings)
         board.write.mode("overwrite").json(options.output)
+    elif options.job == "publish":
+        model = load_model(spark, options.model) if options.model else None
+        means = current_baselines(spark, options.readings, options.model_accuracy).first().asDict()
+        print(f"version {publish_version(spark, options.versions, means, model)}")
+    elif options.job == "stream" and options.versions:
+        arriving = stream_requests(spark, options.requests, text_fields(options.id), options.files_per_batch)
+        start_versioned_scoring(
+            arriving, options.versions, options.output, options.checkpoint, options.id, options.interval, options.on_error
+        ).awaitTermination()
     else:
+        if not (options.readings and options.model):
+            raise SystemExit("stream takes --versions, or --readings and --model")
         model = load_model(spark, options.model)
         means = current_baselines(spark, options.readings, options.model_accuracy)
         carried = text_fields(options.id)

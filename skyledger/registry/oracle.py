@@ -421,5 +421,11 @@ def all_oracles() -> dict[str, str]:
             f"CASE WHEN ok THEN {name} END AS {name}" for name in ["reading_id", "line_no", *ANSWER_COLUMNS]
         ) + ", CASE WHEN ok THEN 'success' ELSE 'error' END AS status"
             " FROM (SELECT *, reading_id % 13 <> 0 AS ok FROM answers)"),
+        "stream_over_versions": _with(CLEAN + MEANS, """
+            SELECT CAST(reading_id % 3 AS INT) AS model_version, CAST(reading_id % 3 AS INT) AS lot,
+             CASE WHEN reading_id % 3 = 2 THEN 'model' ELSE 'rule' END AS scored_by, 'success' AS status,
+             count(*) AS n_rows, CAST(1 AS BIGINT) AS n_batches,
+             CASE WHEN reading_id % 3 = 0 THEN 101.0 ELSE (SELECT round(components_pm2_5, 6) FROM means) END AS mean_pm2_5
+            FROM readings GROUP BY reading_id % 3"""),
         "stream_equals_batch": _with("", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM readings"),
     }

@@ -28,7 +28,7 @@ from ..session import scratch_folder
 from ..sources import csv_files, models, requests as request_files, tables
 from ..sources.driver_tables import test_split, train_split
 from ..sources.paths import EmptySourceError
-from ..streaming.scoring import start_scoring
+from ..streaming.scoring import MODEL_VERSION, start_scoring, start_versioned_scoring
 from . import inputs
 from .inputs import KEYS
 
@@ -909,3 +909,26 @@ def stream_equals_batch(spark, folder):
         F.sum("n_batch").alias("n_rows"),
         F.sum(F.abs(F.col("n_stream") - F.col("n_batch"))).alias("n_different"),
     )
+
+
+@query
+def stream_over_versions(spark, folder):
+    """A stream that ran before the first version, then by means alone, then by a forest: requests
+    arrive in three lots, and a version is published between them."""
+    lines, versions, output = (scratch_folder(spark, name) for name in ("arriving", "versions", "versioned"))
+    progress = scratch_folder(spark, "progress")
+    requests = inputs.requests(spark, folder)
+    means = baselines.dataset_baselines(inputs.clean(spark, folder)).first().asDict()
+    lot = F.col("reading_id") % 3
+    for place, model in enumerate([None, None, inputs.forest(spark, folder)]):
+        requests.where(lot == place).select(F.to_json(F.struct(*requests.columns))).write.mode("append").text(lines)
+        if place:
+            models.publish_version(spark, versions, means, model)
+        arriving = request_files.stream_requests(spark, lines, inputs.KEY_FIELDS)
+        start_versioned_scoring(arriving, versions, output, progress, keep=KEYS).awaitTermination()
+    answers = spark.read.parquet(output)
+    return answers.groupBy(MODEL_VERSION, (F.col("reading_id") % 3).cast("int").alias("lot"), "scored_by", "status").agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("batch_id").alias("n_batches"),
+        F.round(F.avg("historical_baselines.components_pm2_5"), 6).alias("mean_pm2_5"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -36,22 +39,31 @@ def create_empty(spark: SparkSession, path: str) -> None:
 
 
 def create_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a small file where there is none; false where there is one already, also if another
-    writer was first."""
+    """Make a small file where there is none; false where there is one already, also if another
+    writer was first. It is there as a whole or not at all: a draft is written, then given its name.
+    On a local file system a second name can be given only where it is free; elsewhere a file system
+    must refuse to rename to a name that is taken, as HDFS does."""
+    jvm = spark.sparkContext._jvm
     found, file_system = _resolved(spark, path)
-    if file_system.exists(found):
-        return False
-    try:
-        stream = file_system.create(found, False)
-    except Exception as error:
-        if file_system.exists(found):
-            return False
-        raise error
+    file_system.mkdirs(found.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(found.getParent(), f".{uuid.uuid4().hex}")
+    stream = file_system.create(draft, False)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    return True
+    try:
+        if file_system.makeQualified(found).toUri().getScheme() == "file":
+            local = [jvm.java.io.File(place.toUri().getPath()).toPath() for place in (found, draft)]
+            jvm.java.nio.file.Files.createLink(*local)
+            return True
+        return not file_system.exists(found) and file_system.rename(draft, found)
+    except Py4JJavaError:
+        if file_system.exists(found):
+            return False
+        raise
+    finally:
+        file_system.delete(draft, False)
 
 
 def read_small(spark: SparkSession, path: str) -> str:
