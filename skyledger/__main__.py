@@ -31,6 +31,7 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     prepare.add_argument("--strict", action="store_true", help="fail at rows with more or fewer fields than the header")
     prepare.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks")
     prepare.add_argument("--line-breaks", choices=["escape", "refuse"], default="escape", help="in texts that are written")
+    prepare.add_argument("--counted", action="store_true", help="training vectors once each, with their number of rows")
     prepare.add_argument("--handle-invalid", choices=["skip", "keep", "error"], default="skip")
 
     load = jobs.add_parser("load", help="add a raw CSV folder to a table that grows by loads")
@@ -81,7 +82,7 @@ def main(words: list[str] | None = None) -> None:
         header = options.header.split(",") if options.header else None
         prepared = preprocess(
             spark, options.train, options.test, options.output, header, options.handle_invalid, options.city_of_file,
-            options.strict, options.multi_line, options.line_breaks,
+            options.strict, options.multi_line, options.line_breaks, options.counted,
         )
         prepared.train_report.show()
         prepared.test_report.show()

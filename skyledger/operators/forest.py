@@ -20,25 +20,49 @@ SEED = 42
 COPIES_PER_CHUNK = 10_000
 
 
+# How many rows of the input a counted row stands for, and as how many rows it is fitted at most.
+WEIGHT = "__copies"
+PIECES = 8
+
+
+def counted_rows(features: DataFrame) -> DataFrame:
+    """Each different vector and label once, with the number of its rows as `WEIGHT`; equal rows are
+    counted in the tasks that read them, before the shuffle."""
+    return features.groupBy(VECTOR, LABEL).agg(F.count("*").alias(WEIGHT))
+
+
+def in_pieces(counted: DataFrame, most: int) -> DataFrame:
+    """Counted rows as the rows that they stand for, or as ``most`` rows of equal weight where those
+    are more, in the order of the counted ones."""
+    pieces = F.least(F.col(WEIGHT), F.lit(most).cast("long"))
+    weight = (F.col(WEIGHT) / pieces).cast("double").alias(WEIGHT)
+    piece = F.explode(F.array_repeat(F.lit(1), pieces.cast("int"))).alias("__piece")
+    return counted.select(VECTOR, LABEL, weight, piece).drop("__piece")
+
+
 def in_repeatable_order(features: DataFrame, partitions: int) -> DataFrame:
     """Spread rows by their content and order them inside each partition.
 
     The forest draws its samples per partition, so a seed repeats a model only where rows fall
     into the same partitions in the same order. Equal rows are counted before the shuffle and
-    spread in chunks after it, so that many copies of one vector do not fill one partition.
+    spread in chunks after it, so that many copies of one vector do not fill one partition. Counted
+    rows fall where the rows that they stand for would; as they are few, one chunk holds them.
     """
-    counted = features.groupBy(VECTOR, LABEL).agg(F.count("*").alias("__copies"))
-    last_chunk = F.floor((F.col("__copies") - 1) / COPIES_PER_CHUNK)
+    values = vector_to_array(F.col(VECTOR))
+    weighted = WEIGHT in features.columns
+    counted = features if weighted else counted_rows(features)
+    last_chunk = F.lit(0).cast("long") if weighted else F.floor((F.col(WEIGHT) - 1) / COPIES_PER_CHUNK)
     chunks = counted.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("__chunk")
     )
-    values = vector_to_array(F.col(VECTOR))
     placed = chunks.repartition(
         partitions, F.xxhash64(values, F.col(LABEL), F.col("__chunk"))
     ).sortWithinPartitions(values, LABEL, "__chunk")
+    if weighted:
+        return placed.drop("__chunk")
     in_chunk = F.least(
         F.lit(COPIES_PER_CHUNK).cast("long"),
-        F.col("__copies") - F.col("__chunk") * COPIES_PER_CHUNK,
+        F.col(WEIGHT) - F.col("__chunk") * COPIES_PER_CHUNK,
     )
     return placed.select(
         VECTOR, LABEL, F.explode(F.array_repeat(F.lit(1), in_chunk.cast("int"))).alias("__copy")
@@ -52,24 +76,35 @@ def fit_forest(
     seed: int = SEED,
     repeatable_partitions: int | None = None,
     max_memory_mb: int = 256,
+    pieces: int = PIECES,
 ) -> RandomForestClassificationModel:
     """Train on vectors and labels; labels 1 to 5 give six classes, as class 0 counts too.
 
     Fitting reads its input a few times (classes, split points, sampled rows) and then works on
     its own compact copy of the rows. Give it a written feature table: reading that again is
     cheaper than a second cached copy, and survives the loss of an executor.
+
+    A table from `counted_rows` holds each different row once, and every pass reads it so. A row that
+    stands for no more than ``pieces`` rows is fitted as those, so with ``repeatable_partitions`` the
+    trees are the same as on all rows; one that stands for more is fitted as ``pieces`` rows of equal
+    weight. Weights count in split points, impurities and votes. There the trees differ from those on
+    all rows, as they do between seeds: a bootstrap draws ``pieces`` times, not once per copy.
     """
     if repeatable_partitions:
         features = in_repeatable_order(features, repeatable_partitions)
-    training = features.select(VECTOR, F.col(LABEL).cast("double").alias(LABEL))
-    return RandomForestClassifier(
+    weighted = WEIGHT in features.columns
+    training = in_pieces(features, pieces) if weighted else features
+    training = training.withColumn(LABEL, F.col(LABEL).cast("double"))
+    training = training.select(VECTOR, LABEL, *([WEIGHT] if weighted else []))
+    classifier = RandomForestClassifier(
         labelCol=LABEL,
         featuresCol=VECTOR,
         numTrees=num_trees,
         maxDepth=max_depth,
         seed=seed,
         maxMemoryInMB=max_memory_mb,
-    ).fit(training)
+    )
+    return (classifier.setWeightCol(WEIGHT) if weighted else classifier).fit(training)
 
 
 def confidence(probability: str = "probability") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import report_of_outcomes, sort_out
 from ..operators.features import assemble, available_features, count_incomplete
+from ..operators.forest import counted_rows
 from ..sources.csv_files import read_testing, read_training, write_csv
 from ..sources.tables import read_outcomes, read_readings, write_features, write_outcomes
 
@@ -39,6 +40,7 @@ def preprocess(
     strict: bool = False,
     multi_line: bool = False,
     line_breaks: str = "escape",
+    counted: bool = False,
 ) -> PreparedData:
     """Clean both folders and write readings, CSV copies and feature vectors.
 
@@ -48,7 +50,8 @@ def preprocess(
     to ``skip``, so it is refused, by name, unless ``keep`` is asked for. ``city_of_file`` takes the
     city of rows that name none from the name of their piece. ``strict`` fails at rows that do not
     have the fields of their header, ``multi_line`` reads quoted fields over several lines, and
-    ``line_breaks`` is what `write_csv` does with them.
+    ``line_breaks`` is what `write_csv` does with them. ``counted`` writes each different training
+    vector once, with the number of its rows, for a fit that reads less.
 
     Each raw folder is scanned once, by the pass that writes the table: clean rows, and rejected rows
     beside them. The report, the CSV and the vectors start from what that pass has committed.
@@ -73,7 +76,8 @@ def preprocess(
     features = available_features(clean["train"], clean["test"])
     for part, readings in clean.items():
         write_csv(readings, csv[part], line_breaks)
-        write_features(assemble(readings, features, handle_invalid=handle_invalid), vectors[part])
+        rows = assemble(readings, features, handle_invalid=handle_invalid)
+        write_features(counted_rows(rows) if counted and part == "train" else rows, vectors[part])
     return PreparedData(
         table["train"],
         table["test"],

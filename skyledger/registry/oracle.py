@@ -280,6 +280,10 @@ def all_oracles() -> dict[str, str]:
         "forest_fit": _with(CLEAN, """
             SELECT count(*) AS n_train, 11 AS n_features, 1.0::DOUBLE AS total_importance,
              true AS none_negative, true AS layout_is_no_matter FROM clean WHERE reading_id % 5 <> 0"""),
+        "forest_on_counted_rows": _with(CLEAN, f"""
+            SELECT sum(CASE WHEN reading_id % 3 = 0 THEN 3 ELSE 1 END)::BIGINT AS n_rows,
+             count(DISTINCT ({", ".join(FEATURES)}, main_aqi)) AS n_different,
+             true AS accuracy_is_close, true AS weighted_f1_is_close FROM clean WHERE reading_id % 5 <> 0"""),
         "forest_metrics": _with(CLEAN, """
             SELECT count(*) AS n_rows, true AS accuracy_agrees, true AS weighted_f1_agrees
             FROM clean WHERE reading_id % 5 = 0"""),

@@ -722,6 +722,30 @@ def forest_prediction_counts(spark, folder):
     )
 
 
+@query
+def forest_on_counted_rows(spark, folder):
+    """A fit on different rows with their counts as weights, beside one on all rows: training rows of
+    every third reading stand three times. Both are measured on the test split."""
+    rows = train_split(inputs.clean(spark, folder))
+    thrice = F.explode(F.array_repeat(F.lit(1), F.when(F.col("reading_id") % 3 == 0, 3).otherwise(1)))
+    vectors = features.assemble(rows.select("*", thrice.alias("__time")).drop("__time"))
+    paths = [scratch_folder(spark, name) for name in ("all-rows", "counted-rows")]
+    tables.write_features(vectors, paths[0])
+    everything = tables.read_features(spark, paths[0])
+    tables.write_features(forest.counted_rows(everything), paths[1])
+    counted = tables.read_features(spark, paths[1])
+    test = inputs.test_vectors(spark, folder)
+    fits = [forest.fit_forest(frame, repeatable_partitions=inputs.FIT_PARTITIONS) for frame in (everything, counted)]
+    first, second = (forest.evaluate(forest.predict(model, test)).first() for model in fits)
+    close = lambda name: F.lit(abs(first[name] - second[name]) <= 0.005)
+    return counted.agg(
+        F.sum(forest.WEIGHT).cast("long").alias("n_rows"),
+        F.count("*").alias("n_different"),
+        close("accuracy").alias("accuracy_is_close"),
+        close("weighted_f1").alias("weighted_f1_is_close"),
+    )
+
+
 @query
 def forest_metrics(spark, folder):
     """Accuracy and weighted F1 against those of Spark's evaluator."""

@@ -84,3 +84,29 @@ def test_prediction_stays_on_the_jvm(spark, small, model):
     assert "EvalPython" not in text
     row = plan.agg(F.min("prediction"), F.max("prediction"), F.min("confidence"), F.max("confidence")).first()
     assert 0 <= row[0] and row[1] <= 5 and 0 < row[2] and row[3] <= 1
+
+
+def _with_copies(vectors, often):
+    """Every third row stands ``often`` times."""
+    copies = F.when(F.xxhash64("main_aqi", F.col("features").cast("string")) % 3 == 0, often).otherwise(1)
+    return vectors.select("features", "main_aqi", F.explode(F.array_repeat(F.lit(1), copies)).alias("c")).drop("c")
+
+
+def test_counted_rows_give_the_trees_of_all_rows(spark, training, tmp_path):
+    everything = _with_copies(training, forest.PIECES)
+    write_features(forest.counted_rows(everything), str(tmp_path / "counted"))
+    counted = read_features(spark, str(tmp_path / "counted"))
+    assert counted.count() < everything.count() == counted.agg(F.sum(forest.WEIGHT)).first()[0]
+    fits = [forest.fit_forest(frame, num_trees=3, repeatable_partitions=5) for frame in (everything, counted)]
+    assert _trees(fits[0]) == _trees(fits[1])
+
+
+def test_many_copies_are_fitted_as_few_weighted_rows(spark, small, training):
+    counted = forest.counted_rows(_with_copies(training, 500))
+    pieces = forest.in_pieces(counted, forest.PIECES)
+    assert pieces.groupBy("features", "main_aqi").count().agg(F.max("count")).first()[0] <= forest.PIECES
+    total = counted.agg(F.sum(forest.WEIGHT)).first()[0]
+    assert pieces.agg(F.sum(forest.WEIGHT)).first()[0] == pytest.approx(total)
+    weighted = forest.fit_forest(counted, repeatable_partitions=4)
+    test = inputs.test_vectors(spark, small)
+    assert forest.evaluate(forest.predict(weighted, test)).first().accuracy > 0.75
