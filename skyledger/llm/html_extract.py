@@ -12,14 +12,15 @@ trained on as well, so that pages that mark nothing are decided by class words a
 
 Cases: null and empty pages, and pages without a main block, give an empty text. Broken markup is
 read as far as it goes: an unclosed comment or tag at the end is dropped, unclosed elements end with
-the page. Very long pages cost in proportion to their length. Repeated rows and ids are extracted
-one by one; other columns are ignored.
+the page. Very long and very deep pages cost time and memory in proportion to their length. Repeated
+rows and ids are extracted one by one; of pages of one id one is trained on. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,68 +61,140 @@ OTHER_WORDS = frozenset(
     "signup social sponsor sponsored subscribe subscription tags teaser toolbar top trending warning widget".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+# Behind the name of a tag everything up to its end, or to the end of the page, is taken at once and never given
+# back, so a page is read once from its start to its end, whatever it leaves open.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
+)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-@dataclass
+BORDERS = frozenset("div td th li blockquote dd".split())
+LISTS = frozenset("ul ol dl table tbody thead select menu".split()) | SECTIONS
+
+
+@dataclass(eq=False)
 class Element:
+    """An open element that counts for the blocks inside it; what its path says is settled when it
+    opens, from the element above and its own words."""
+
     tag: str
-    words: tuple[str, ...] = ()
-    label: str = ""
+    above: "Element | None"
+    fresh: tuple[str, ...]  # features that no element above has
+    near: str  # the nearest element that says what it is for
+    other: bool  # whether any of the path speaks of something else than the main text
+    label: str  # the nearest label
+    article: int  # 1 inside an article, -1 inside what is no text of it, else 0
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[Element, ...]
+    element: Element | None
     links: int = 0  # characters inside links
     features: list[str] = field(default_factory=list)
 
 
-def _element(tag: str, attributes: str) -> Element:
+class _Open:
+    """Open elements, with the places of each tag, so that an end tag finds its start at once."""
+
+    def __init__(self, blind: bool):
+        self.blind = blind
+        self.tags: list[str] = []
+        self.elements: list[Element | None] = []  # None: an inline element, which no path shows
+        self.own: list[tuple[str, ...]] = []
+        self.path: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.active: Counter[str] = Counter()
+        self.links = 0
+        self.holding: dict[frozenset[str], list[int]] = {SECTIONS | BORDERS: [], LISTS: []}
+
+    def push(self, tag: str, attributes: str) -> None:
+        element, own = None, ()
+        words, label = _names(attributes)
+        if tag not in INLINE or label:
+            element, own = self._element(tag, words, label)
+            self.path.append(element)
+            self.active.update(own)
+        place = len(self.tags)
+        for tags, places in self.holding.items():
+            if tag in tags:
+                places.append(place)
+        self.places.setdefault(tag, []).append(place)
+        self.tags.append(tag)
+        self.elements.append(element)
+        self.own.append(own)
+        self.links += tag == "a"
+
+    def _element(self, tag: str, words: tuple[str, ...], label: str) -> tuple[Element, tuple[str, ...]]:
+        above = self.path[-1] if self.path else None
+        shown = "div" if self.blind and tag in ("article", "main", "section") else tag
+        kept = set(words) - MAIN_WORDS if self.blind else set(words)
+        own = (f"in {shown}", *(f"word {word}" for word in sorted(kept)))
+        if kept & OTHER_WORDS:
+            near = "other"
+        elif kept & MAIN_WORDS:
+            near = "main"
+        else:
+            near = shown if shown in SECTIONS else above.near if above else "none"
+        no_text = tag in ("nav", "aside", "form", "footer", "head") or bool(set(words) & OTHER_WORDS)
+        before = above.article if above else 0
+        article = -1 if no_text or before < 0 else max(before, int(tag == "article"))
+        fresh = tuple(name for name in own if not self.active[name])
+        other = bool(set(words) & OTHER_WORDS) or bool(above and above.other)
+        return Element(tag, above, fresh, near, other, label or (above.label if above else ""), article), own
+
+    def close(self, upto: int) -> None:
+        while len(self.tags) > upto:
+            tag, element, own = self.tags.pop(), self.elements.pop(), self.own.pop()
+            self.places[tag].pop()
+            for tags, places in self.holding.items():
+                if tag in tags:
+                    places.pop()
+            if element:
+                self.path.pop()
+                self.active.subtract(own)
+            self.links -= tag == "a"
+
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of the tags, or -1."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def close_last(self, tags: set[str], within: frozenset[str]) -> None:
+        """End the innermost open element of the tags, unless an element of ``within`` lies inside it."""
+        place, holding = self.last(tags), self.holding[within]
+        if place >= 0 and (not holding or holding[-1] <= place):
+            self.close(place)
+
+
+def _names(attributes: str) -> tuple[tuple[str, ...], str]:
+    """Words of class, id and role, and the label."""
     if not attributes or "=" not in attributes:
-        return Element(tag)
+        return (), ""
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _NAMES.findall(attributes)}
     label = found.pop("data-label", "")
-    return Element(tag, tuple(w.lower() for value in found.values() for w in _WORDS.findall(value)), label)
+    return tuple(w.lower() for value in found.values() for w in _WORDS.findall(value)), label
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """Blocks of text in page order."""
+def leaf_blocks(page: str | None, blind: bool = False) -> list[Block]:
+    """Blocks of text in page order. Blind: without the tags and words that name the article."""
     blocks: list[Block] = []
-    stack: list[Element] = []
+    stack = _Open(blind)
     parts: list[tuple[str, bool]] = []
-    in_link = 0
 
     def text(piece: str) -> None:
         if piece:
-            parts.append((piece, in_link > 0))
+            parts.append((piece, stack.links > 0))
 
     def flush() -> None:
         if parts:
             plain = " ".join(entities.unescape("".join(piece for piece, _ in parts)).split())
             if plain:
                 links = sum(len(piece) for piece, linked in parts if linked)
-                path = tuple(e for e in stack if e.tag not in INLINE or e.label)
-                blocks.append(Block(plain, path, links))
+                blocks.append(Block(plain, stack.path[-1] if stack.path else None, links))
             parts.clear()
 
-    def close(upto: int) -> None:
-        nonlocal in_link
-        in_link -= sum(e.tag == "a" for e in stack[upto:])
-        del stack[upto:]
-
-    def close_open(tags: set[str] | frozenset[str], within: frozenset[str]) -> None:
-        """End the nearest open element of the tags, unless an element of ``within`` holds it."""
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth].tag in tags:
-                return close(depth)
-            if stack[depth].tag in within:
-                return None
-        return None
-
     at, page = 0, page or ""
     lowered = None
     while at < len(page):
@@ -141,17 +214,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 text(" ")
             elif ends:
-                close_open({tag}, SECTIONS | BORDERS)
+                stack.close_last({tag}, SECTIONS | BORDERS)
             elif tag not in VOID:
-                stack.append(_element(tag, token[3]))
-                in_link += tag == "a"
+                stack.push(tag, token[3])
             continue
         flush()
         if ends:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
+            place = stack.last({tag})
+            if place >= 0:
+                stack.close(place)
         elif tag in HIDDEN:
             if not token[3].endswith("/"):
                 lowered = page.lower() if lowered is None and page.isascii() else lowered
@@ -161,33 +232,25 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
                 at = page.find(">", start) + 1 or len(page)
         elif tag not in VOID:
-            close_open({"p"}, SECTIONS | BORDERS)
+            stack.close_last({"p"}, SECTIONS | BORDERS)
             if tag in SIBLINGS:
-                close_open(SIBLINGS[tag], LISTS)
-            stack.append(_element(tag, token[3]))
+                stack.close_last(SIBLINGS[tag], LISTS)
+            stack.push(tag, token[3])
     flush()
     return blocks
 
 
-BORDERS = frozenset("div td th li blockquote dd".split())
-LISTS = frozenset("ul ol dl table tbody thead select menu".split()) | SECTIONS
-
-
 def _band(value: float, limits: tuple[float, ...]) -> int:
     return sum(value >= limit for limit in limits)
 
 
-def describe(blocks: list[Block], blind: bool = False) -> list[Block]:
-    """Set the features of the blocks of a page. Blind: without the tags that name the article."""
-    known: dict[tuple[int, ...], list[str]] = {}
+def describe(blocks: list[Block]) -> list[Block]:
+    """Set the features of the texts of a page's blocks; those of their paths stay with the elements."""
     for place, block in enumerate(blocks):
-        key = tuple(map(id, block.path))
-        if key not in known:
-            known[key] = _path_features(block.path, blind)
         text, size = block.text, len(block.text)
         n_words = text.count(" ") + 1
         ends = sum(map(text.count, ".!?;"))
-        block.features = known[key] + [
+        block.features = [
             "bias",
             f"words {_band(n_words, (2, 4, 8, 16, 32, 64))}",
             f"links {_band(block.links / size, (0.01, 0.3, 0.7))}",
@@ -200,23 +263,20 @@ def describe(blocks: list[Block], blind: bool = False) -> list[Block]:
     return blocks
 
 
-def _path_features(path: tuple[Element, ...], blind: bool) -> list[str]:
-    features = set()
-    near = "none"
-    for element in path:
-        tag = "div" if blind and element.tag in ("article", "main", "section") else element.tag
-        words = set(element.words) - (MAIN_WORDS if blind else set())
-        features.add(f"in {tag}")
-        features |= {f"word {word}" for word in words}
-        if words & OTHER_WORDS:
-            near = "other"
-        elif words & MAIN_WORDS:
-            near = "main"
-        elif tag in SECTIONS:
-            near = tag
-    features |= {f"near {near}", f"tag {'div' if not path else path[-1].tag}"}
-    features |= {"other above"} if any(set(e.words) & OTHER_WORDS for e in path) else set()
-    return sorted(features)
+def _at_element(element: Element | None) -> list[str]:
+    """Features of a path that are those of its last element."""
+    if not element:
+        return ["near none", "tag div"]
+    return [f"near {element.near}", f"tag {element.tag}"] + (["other above"] if element.other else [])
+
+
+def path_features(element: Element | None) -> list[str]:
+    """All features of a path."""
+    names = _at_element(element)
+    while element:
+        names.extend(element.fresh)
+        element = element.above
+    return sorted(names)
 
 
 @dataclass
@@ -227,13 +287,27 @@ class Chain:
     weights: dict[str, float]
     steps: np.ndarray  # from label, to label
 
+    def _path_score(self, element: Element | None, known: dict[int, float]) -> float:
+        """What the path of a block adds to its score; sums of the elements above are kept."""
+        way = []
+        at = element
+        while at and id(at) not in known:
+            way.append(at)
+            at = at.above
+        total = known[id(at)] if at else 0.0
+        for step in reversed(way):
+            total += sum(self.weights.get(name, 0.0) for name in step.fresh)
+            known[id(step)] = total
+        return total + sum(self.weights.get(name, 0.0) for name in _at_element(element))
+
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi."""
         (a, b), (c, d) = self.steps.tolist()
         back: list[tuple[int, int]] = []
         zero = one = 0.0
+        known: dict[int, float] = {}
         for place, block in enumerate(blocks):
-            score = sum(self.weights.get(name, 0.0) for name in block.features)
+            score = self._path_score(block.element, known) + sum(self.weights.get(name, 0.0) for name in block.features)
             if place:
                 back.append((int(one + c > zero + a), int(one + d > zero + b)))
                 zero, one = max(zero + a, one + c), max(zero + b, one + d) + score
@@ -271,7 +345,7 @@ def forward_backward(scores: np.ndarray, steps: np.ndarray, lengths: np.ndarray)
 def fit_chain(pages: list[tuple[list[Block], list[int]]], settings: Settings = Settings()) -> Chain:
     """Maximum likelihood with a ridge, by adaptive gradient steps over all pages."""
     pages = [page for page in pages if page[0]]
-    names = {name: k for k, name in enumerate(sorted({f for blocks, _ in pages for b in blocks for f in b.features}))}
+    names = {name: k for k, name in enumerate(sorted({name for blocks, _ in pages for names in blocks for name in names}))}
     lengths = np.array([len(blocks) for blocks, _ in pages])
     size = int(lengths.max())
     cells, columns = [], []
@@ -279,8 +353,8 @@ def fit_chain(pages: list[tuple[list[Block], list[int]]], settings: Settings = S
     for k, (blocks, truth) in enumerate(pages):
         labels[k, : len(truth)] = truth
         for place, block in enumerate(blocks):
-            cells += [k * size + place] * len(block.features)
-            columns += [names[name] for name in block.features]
+            cells += [k * size + place] * len(block)
+            columns += [names[name] for name in block]
     cells, columns = np.array(cells), np.array(columns)
     wanted = np.zeros((2, 2))
     for blocks, truth in pages:
@@ -333,7 +407,7 @@ _SENTENCES = [
 _TITLES = ["Harbour", "The long winter", "Über uns", "Contact", "Dernières nouvelles", "Read more", "Inicio", "A year on the plain, and what came after it"]
 
 
-def hand_labelled() -> list[tuple[list[Block], list[int]]]:
+def hand_labelled() -> list[tuple[list[list[str]], list[int]]]:
     """Layouts, each filled several times, plain and blind."""
     rng = np.random.default_rng(0)
     pages = []
@@ -346,30 +420,30 @@ def hand_labelled() -> list[tuple[list[Block], list[int]]]:
     return pages
 
 
-def _labelled(page: str, label, blind: bool) -> tuple[list[Block], list[int]]:
-    blocks = describe(leaf_blocks(page), blind)
-    return blocks, [label(block.path) for block in blocks]
+def _labelled(page: str, label, blind: bool, most: int | None = None) -> tuple[list[list[str]], list[int]]:
+    """All features and the label of each block of a page; nothing of a page of more than ``most``."""
+    blocks = leaf_blocks(page, blind)
+    if most is not None and len(blocks) > most:
+        return [], []
+    features = [path_features(block.element) + block.features for block in describe(blocks)]
+    return features, [label(block.element) for block in blocks]
 
 
-def _nearest_label(path: tuple[Element, ...]) -> int:
-    return int(next((e.label for e in reversed(path) if e.label), "0") == "1")
+def _nearest_label(element: Element | None) -> int:
+    return int(element is not None and element.label == "1")
 
 
-def _inside_article(path: tuple[Element, ...]) -> int:
+def _inside_article(element: Element | None) -> int:
     """What pages say that mark their article: inside it, and below nothing that is not its text."""
-    inside = False
-    for element in path:
-        if element.tag in ("nav", "aside", "form", "footer", "head") or set(element.words) & OTHER_WORDS:
-            return 0
-        inside = inside or element.tag == "article"
-    return int(inside)
+    return int(element is not None and element.article == 1)
 
 
 def train(pages: DataFrame, settings: Settings = Settings()) -> Chain:
     marked = pages.where(F.col("html").rlike("(?i)<article")).select("page_id")
     ids = bounded_sample(marked, settings.rows, "page_id")
-    # At most settings.rows rows of one number.
-    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").limit(settings.rows)
+    # At most settings.rows rows of one number; of pages of one id the one of the least hash is taken.
+    rows = pages.select(F.col("page_id").cast("long"), "html").join(F.broadcast(ids), "page_id")
+    rows = rows.groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
 
     most = settings.blocks
 
@@ -378,17 +452,16 @@ def train(pages: DataFrame, settings: Settings = Settings()) -> Chain:
             made = []
             for page_id, page in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 for blind in (False, True):
-                    blocks, labels = _labelled(page, _inside_article, blind)
-                    if 0 < len(blocks) <= most:
-                        features = [block.features for block in blocks]
+                    features, labels = _labelled(page, _inside_article, blind, most)
+                    if features:
                         made.append({"page_id": page_id, "features": features, "labels": labels})
             yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     schema = "page_id long, features array<array<string>>, labels array<int>"
     arrow = arrow_schema(pages.sparkSession, schema)
-    found = rows.select(F.col("page_id").cast("long"), "html").mapInArrow(cut, schema).collect()
+    found = rows.mapInArrow(cut, schema).collect()
     found.sort(key=lambda row: (row.page_id, row.features))
-    marked_pages = [([Block("", (), 0, names) for names in row.features], row.labels) for row in found]
+    marked_pages = [(row.features, row.labels) for row in found]
     return fit_chain(hand_labelled() + marked_pages, settings)
 
 

@@ -1,6 +1,8 @@
 import html
 import itertools
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -85,3 +87,58 @@ def test_whole_table(spark, small):
     assert exact >= 0.99 * len(rows)
     assert all(r.n_chars == len(r.text) for r in got)
     assert op.extract_main_text(pages.limit(0)).count() == 0
+
+
+MEGABYTE = {
+    "unclosed elements": "<div>x" * 170_000,
+    "elements with words of their own": "".join(f'<div class="w{k}">x' for k in range(50_000)),
+    "open tags and a quote": "<a " * 330_000 + '"',
+    "quotes that never end": "<a '\"" * 200_000,
+    "end tags without a start": "<b>" * 170_000 + "</i>" * 120_000,
+    "end tags behind a border": "<b><div>" + "<i>" * 170_000 + "</b>" * 120_000,
+    "end tags of nothing": "<div>" * 100_000 + "</section>" * 50_000,
+    "open paragraphs": "<p>x" * 200_000,
+}
+
+
+def peak(chain, page):
+    tracemalloc.start()
+    chain.main_text(page)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+@pytest.mark.parametrize("kind", sorted(MEGABYTE))
+def test_a_megabyte_of_broken_markup_costs_seconds(seeds, kind):
+    """Twice the page takes about twice the memory, and the whole of it under 300 MB and some seconds."""
+    page = MEGABYTE[kind]
+    half, whole = (peak(seeds, page[: len(page) // part]) for part in (10, 5))
+    assert whole < 3 * half + (1 << 20) and 5 * whole < 300 << 20
+    began = time.process_time()
+    seeds.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_end_tags_and_borders():
+    assert texts("<b>a<div>b</b>c</div>d</b>e") == ["a", "bc", "de"]
+    assert texts("<div><p>a<table><tr><td>b<p>c</table>d") == ["a", "b", "c", "d"]
+    assert texts("<ul><li>a<div>b<li>c</ul>d") == ["a", "b", "c", "d"]
+    assert texts("<a <b>x</a> y") == ["x y"] and texts('<p title="a > b">x') == ["x"] and texts('x<p title="a > b') == ["x"]
+
+
+def test_features_of_a_path():
+    page = '<main><div class="post"><span class="ad">x</span><div class="post other">y<nav>z</nav></div></div>'
+    blocks = {block.text: op.path_features(block.element) for block in op.leaf_blocks(page)}
+    assert blocks["x"] == ["in div", "in main", "near main", "tag div", "word post"]
+    assert blocks["y"] == ["in div", "in main", "near main", "tag div", "word other", "word post"]
+    assert blocks["z"] == ["in div", "in main", "in nav", "near nav", "tag nav", "word other", "word post"]
+    blind = op.leaf_blocks(page, blind=True)
+    assert op.path_features(blind[0].element) == ["in div", "near none", "tag div"]
+
+
+def test_of_pages_of_one_id_one_is_trained_on(spark):
+    rows = [(1, "u", f"<article><p>Page {k} says a thing.</p></article><footer>f</footer>") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = op.train(pages, op.Settings(steps=3))
+    assert op.train(pages.repartition(5), op.Settings(steps=3)).weights == first.weights
