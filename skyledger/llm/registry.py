@@ -170,7 +170,8 @@ FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)"""
 def _reputation_sql() -> str:
     """The levels of ``url_reputation``, spelled out."""
     s = url_reputation.Settings()
-    second = ", ".join(f"'{name}'" for name in url_reputation.SECOND_LEVEL)
+    hosting, exceptions = (", ".join(f"'{name}'" for name in names) for names in (url_reputation.HOSTING, url_reputation.EXCEPTIONS))
+    special = f"(two IN ({hosting}) OR regexp_matches(two, '{url_reputation.SUFFIX_PATTERN}') AND two NOT IN ({exceptions}))"
 
     def strength(groups: str) -> str:
         return f"""(SELECT 1 / least(greatest(coalesce(
@@ -194,8 +195,8 @@ seen AS (SELECT host, count(good) AS n, sum(good) AS g FROM outcome GROUP BY hos
 named AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM p),
 parts AS (SELECT host, bare, array_to_string(string_split(bare, '.')[-2:], '.') AS two,
           array_to_string(string_split(bare, '.')[-3:], '.') AS three, regexp_matches(bare, '^[0-9.]+$|^\[') AS address FROM named),
-h AS (SELECT host, CASE WHEN address THEN bare WHEN two IN ({second}) THEN three ELSE two END AS domain,
-      CASE WHEN address THEN bare WHEN two IN ({second}) THEN two ELSE string_split(bare, '.')[-1] END AS suffix,
+h AS (SELECT host, CASE WHEN address THEN bare WHEN {special} THEN three ELSE two END AS domain,
+      CASE WHEN address THEN bare WHEN {special} THEN two ELSE string_split(bare, '.')[-1] END AS suffix,
       coalesce(n, 0) AS n, coalesce(g, 0) AS g FROM parts LEFT JOIN seen USING (host)),
 d AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(g) AS g FROM h GROUP BY domain),
 s0 AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY suffix),

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,17 @@ class Settings:
     strongest: float = 1000.0
 
 
-# Second-level suffixes below which names are registered (fixed values).
-SECOND_LEVEL = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.uk"]
+# Which two last labels of a host are a suffix below which names are registered (fixed values): usual
+# second labels under any country, hosting names, and every second label under some countries, with
+# exceptions. Under anything else names are registered below the last label.
+SECOND_LABELS = "ac co com edu go gob gov govt gv ltd mil ne net nhs nom or org plc sch".split()
+HOSTING = (
+    "azurewebsites.net blogspot.com firebaseapp.com fly.dev github.io gitlab.io herokuapp.com neocities.org netlify.app "
+    "onrender.com pages.dev readthedocs.io surge.sh vercel.app web.app wordpress.com workers.dev"
+).split()
+WILDCARDS = "bd ck er fk jm kh mm np pg".split()
+EXCEPTIONS = ["www.ck"]
+SUFFIX_PATTERN = rf"^({'|'.join(SECOND_LABELS)})\.[a-z][a-z]$|^[^.]+\.({'|'.join(WILDCARDS)})$"
 
 
 def with_host_and_path(pages: DataFrame) -> DataFrame:
@@ -70,8 +79,9 @@ def _names(host: Column) -> tuple[Column, Column]:
     bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
     two, three = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -3)
     address = bare.rlike(r"^[0-9.]+$|^\[")
-    domain = F.when(address, bare).when(two.isin(SECOND_LEVEL), three).otherwise(two)
-    suffix = F.when(address, bare).when(two.isin(SECOND_LEVEL), two).otherwise(F.substring_index(bare, ".", -1))
+    special = two.isin(HOSTING) | two.rlike(SUFFIX_PATTERN) & ~two.isin(EXCEPTIONS)
+    domain = F.when(address, bare).when(special, three).otherwise(two)
+    suffix = F.when(address, bare).when(special, two).otherwise(F.substring_index(bare, ".", -1))
     return domain, suffix
 
 
@@ -132,12 +142,13 @@ def judge_urls(
     """``page_id, host, path, rule, verdict, n_labelled, mean, bound`` per row of ``pages``.
 
     ``outcomes``: ``host, good`` (0 or 1) of labelled pages. Both sides are counted per host inside
-    each task first, so a host with a third of all pages costs one row per task; where pages join
+    each task first, so a host with a third of all pages costs one row per task, and written once; where pages join
     the hosts, adaptive execution splits such a host.
     """
     parts = with_host_and_path(pages)
     counts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("g"))
     hosts = parts.select("host").distinct().join(counts, "host", "left").na.fill(0, ["n", "g"])
+    hosts = stored(hosts, "hosts")  # each level and the last join read these rows, not the pages again
     judged = parts.join(host_reputation(hosts, settings), "host")
     by_method = F.when(F.col("bound") >= settings.least, "allow").otherwise("block")
     return judged.select(

@@ -19,11 +19,30 @@ def rule_of(host, path):
     return max(fits, key=lambda r: len(r.text)) if fits else None
 
 
+def is_suffix(two):
+    second, _, last = two.rpartition(".")
+    usual = second in op.SECOND_LABELS and re.fullmatch("[a-z]{2}", last) or second and last in op.WILDCARDS
+    return two in op.HOSTING or bool(usual) and two not in op.EXCEPTIONS
+
+
+@pytest.mark.parametrize(
+    "host, domain, suffix",
+    [
+        ("a.b.co.uk", "b.co.uk", "co.uk"), ("b.co.in", "b.co.in", "co.in"), ("www.x.com.sg", "x.com.sg", "com.sg"), ("me.github.io", "me.github.io", "github.io"),
+        ("a.b.example.com", "example.com", "com"), ("x.go.com", "go.com", "com"), ("a.b.anything.ck", "b.anything.ck", "anything.ck"), ("a.www.ck", "www.ck", "ck"),
+        ("co.uk", "co.uk", "co.uk"), ("localhost", "localhost", "localhost"), ("1.2.3.4", "1.2.3.4", "1.2.3.4"), ("u@h.ac.jp:80", "h.ac.jp", "ac.jp"), ("", "", ""),
+    ],
+)
+def test_domains_and_suffixes(spark, host, domain, suffix):
+    frame = spark.createDataFrame([(host,)], "host string")
+    assert tuple(frame.select(*op._names(frame["host"])).first()) == (domain, suffix)
+
+
 def reputation(hosts):
     """host -> (n, g): posterior mean and bound, level by level."""
     bare = {h: re.sub(":[0-9]*$", "", re.sub("^.*@", "", h)) for h in hosts}
     two = {h: ".".join(b.split(".")[-2:]) for h, b in bare.items()}
-    special = {h: two[h] in op.SECOND_LEVEL for h in hosts}
+    special = {h: is_suffix(two[h]) for h in hosts}
     domain = {h: ".".join(bare[h].split(".")[-3:]) if special[h] else two[h] for h in hosts}
     suffix = {h: two[h] if special[h] else bare[h].split(".")[-1] for h in hosts}
 
