@@ -14,8 +14,9 @@ approximate quantiles, each range is streamed in order through one task, and the
 each range is sent to the range before it as well (that of the first to the last).
 
 Cases: a null text is empty. An empty text has no digests; two texts without any are alike (1.0).
-Rows without an id come first, rows of equal id follow in the order of a hash of their text; rows
-that share an id stay in one range. Of a single row the next document is itself. Other columns are
+Rows without an id come first, rows of equal id follow in the order of a hash of their text; where one
+id, or none, has many rows, its range is cut by that hash, so only rows of one id and one text stay
+together. Of a single row the next document is itself. Other columns are
 ignored. A very long text costs in proportion to its length.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,7 @@ from .common import arrow_schema, in_parts
 WIDTH = 8  # cells of each third of a fingerprint
 CHUNK = 256  # documents sketched at once
 RANGES_PER_PARTITION = 4
+MOST_BITS = 10  # a range of one id has 1024 parts at most
 
 _PIECES = re.compile(rb"[^\s.!?][^.!?\n]*").findall
 RESULT = (
@@ -104,11 +107,12 @@ class Sketches:
         made.counts, made.sums, made.checks = self.counts[cells], self.sums[cells], self.checks[cells]
         return made
 
-    def peel(self) -> np.ndarray:
-        """Number of digests that each sketch of differences held; -1 where peeling got stuck."""
+    def peel(self) -> Peeled:
+        """Recover the digests that sketches of differences hold."""
         found = np.zeros(len(self.widths), np.int64)
         owner = np.repeat(np.arange(len(self.widths)), 3 * self.widths)
         live = np.arange(len(self.counts))
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while True:
             live = live[(self.counts[live] != 0) | (self.sums[live] != 0)]
             pure = live[np.abs(self.counts[live]) == 1]
@@ -119,8 +123,26 @@ class Sketches:
             owners, digests, signs = one.f0, np.ascontiguousarray(one.f1), np.ascontiguousarray(one.f2)
             np.add.at(found, owners, 1)
             self.add(owners, digests, -signs)
+            taken.append((owners, digests, signs))
         found[np.unique(owner[live])] = -1
-        return found
+        columns = [np.concatenate(part) for part in zip(*taken)] if taken else [np.zeros(0, k) for k in (np.int64, np.uint64, np.int32)]
+        return Peeled(found, *columns)
+
+
+@dataclass
+class Peeled:
+    """What peeling recovered: how many digests each sketch held, -1 where it got stuck, and the sketch,
+    the digest and the side (1 the first version, -1 the second) of each."""
+
+    counts: np.ndarray
+    owners: np.ndarray
+    digests: np.ndarray
+    signs: np.ndarray
+
+    def of(self, owner: int) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of the first version only and of the second only, in order."""
+        own = self.owners == owner
+        return tuple(np.sort(self.digests[own & (self.signs == sign)]) for sign in (1, -1))
 
 
 def sketch_all(sets: list[np.ndarray], widths: np.ndarray, salt: int = 0) -> Sketches:
@@ -144,20 +166,71 @@ def fingerprint_strings(sketches: Sketches, sizes: list[int]) -> list[str]:
     return [base64.b64encode(row.tobytes()).decode() for row in packed]
 
 
-def likeness(sets: list[np.ndarray], pairs: list[tuple[int, int]], sketches: Sketches) -> list[float]:
-    """Likeness of pairs of sets; ``sketches`` are their fingerprints."""
+def _peeled(sets: list[np.ndarray], pairs: list[tuple[int, int]], sketches: Sketches):
+    """Places of pairs of sets with what peeling recovered of them: all by their fingerprints
+    ``sketches`` first, then those that got stuck by ever larger sketches until none is left."""
     first, second = np.array(pairs, int).reshape(-1, 2).T
-    differing = sketches.take(first).minus(sketches.take(second)).peel()
+    peeled = sketches.take(first).minus(sketches.take(second)).peel()
+    places = np.arange(len(pairs))
+    yield places, peeled
     sizes = np.array([len(s) for s in sets])
-    total = sizes[first] + sizes[second]
-    stuck, salt, room = np.flatnonzero(differing < 0), 1, 1
-    while len(stuck):
-        widths = (total[stuck] * room + 2) // 2
-        left = sketch_all([sets[k] for k in first[stuck]], widths, salt)
-        right = sketch_all([sets[k] for k in second[stuck]], widths, salt)
-        differing[stuck] = left.minus(right).peel()
-        stuck, salt, room = stuck[differing[stuck] < 0], salt + 1, room * 2
-    return [1.0 - float(d) / int(t) if t else 1.0 for d, t in zip(differing, total)]
+    salt = room = 1
+    while len(places := places[peeled.counts < 0]):
+        widths = ((sizes[first] + sizes[second])[places] * room + 2) // 2
+        left = sketch_all([sets[k] for k in first[places]], widths, salt)
+        right = sketch_all([sets[k] for k in second[places]], widths, salt)
+        peeled = left.minus(right).peel()
+        yield places, peeled
+        salt, room = salt + 1, room * 2
+
+
+def likeness(sets: list[np.ndarray], pairs: list[tuple[int, int]], sketches: Sketches) -> list[float]:
+    """Likeness of pairs of sets; ``sketches`` are their fingerprints."""
+    differing = np.zeros(len(pairs), np.int64)
+    for places, peeled in _peeled(sets, pairs, sketches):
+        differing[places] = peeled.counts
+    return [_alike(int(d), len(sets[a]) + len(sets[b])) for d, (a, b) in zip(differing, pairs)]
+
+
+def _alike(differing: int, total: int) -> float:
+    return 1.0 - differing / total if total else 1.0
+
+
+def differences(sets: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of pairs of sets the digests that only the first and that only the second has."""
+    found: list = [None] * len(pairs)
+    for places, peeled in _peeled(sets, pairs, sketch_all(sets, np.full(len(sets), WIDTH))):
+        for k, place in enumerate(places):
+            if peeled.counts[k] >= 0:
+                found[place] = peeled.of(k)
+    return found
+
+
+CHANGED = "doc_id long, only_old array<string>, only_new array<string>, near double"
+
+
+def changed_paragraphs(versions: DataFrame) -> DataFrame:
+    """Which paragraphs differ between two versions of a document (``doc_id, old_text, new_text``): the
+    digests, as 16 hexadecimal digits, of those that only one side has, and the likeness. A null text
+    is empty; rows of one id are compared one by one."""
+    schema = arrow_schema(versions.sparkSession, CHANGED)
+
+    def run(batches):
+        for batch in in_parts(batches):
+            rows = list(zip(*(batch.column(name).to_pylist() for name in ("doc_id", "old_text", "new_text"))))
+            for start in range(0, len(rows), CHUNK):
+                part = rows[start : start + CHUNK]
+                sets = [paragraph_digests(text or "") for row in part for text in row[1:]]
+                pairs = [(2 * k, 2 * k + 1) for k in range(len(part))]
+                made = []
+                for (doc_id, _, _), (a, b), (old, new) in zip(part, pairs, differences(sets, pairs)):
+                    near = _alike(len(old) + len(new), len(sets[a]) + len(sets[b]))
+                    names = [[f"{digest:016x}" for digest in side.tolist()] for side in (old, new)]
+                    made.append({"doc_id": doc_id, "only_old": names[0], "only_new": names[1], "near": near})
+                yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    rows = versions.select(F.col("doc_id").cast("long"), F.col("old_text").cast("string"), F.col("new_text").cast("string"))
+    return rows.mapInArrow(run, CHANGED)
 
 
 def edited(text: str, following: str) -> str:
@@ -198,24 +271,41 @@ def compare(rows: list[tuple[int | None, str, str]]) -> list[dict]:
     return out
 
 
+def _bits(parts: int) -> int:
+    """So many highest bits of a hash cut rows into as many parts, or a few more."""
+    return min(MOST_BITS, max(0, parts - 1).bit_length())
+
+
 def _ranges(docs: DataFrame) -> DataFrame:
     """Rows with the number of their range, and once more, as ``tail``, the first row of each range
     for the range before it."""
     spark = docs.sparkSession
     n = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n))
-    bounds = F.array(*(F.lit(int(cut)) for cut in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    steps = max(1, len(cuts).bit_length())
+    cuts = Counter(map(int, docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n))))
+    counts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).head()
+    # An id that several quantiles meet has a range of its own; such a range, and that of the rows
+    # without an id, is cut again by the hash of the text, into as many parts as quantiles it holds.
+    hot = {value: met for value, met in cuts.items() if met > 1}
+    ends = sorted({*cuts, *(value + 1 for value in hot)})
+    nameless = n * (counts.n - counts.named) // max(1, counts.n)
+    bits = [_bits(nameless), 0, *(_bits(hot.get(value, 0)) for value in ends)]
+    bounds = F.array(*map(F.lit, ends)).cast("array<long>") if ends else F.array().cast("array<long>")
+    steps = max(1, len(ends).bit_length())
     # Binary search for the number of bounds up to the id.
     number = F.expr(
-        f"""coalesce(aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', size(bounds)),
+        f"""aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', size(bounds)),
           (s, k) -> IF(s.low >= s.high, s, IF(bounds[(s.low + s.high) DIV 2] <= doc_id,
             named_struct('low', CAST((s.low + s.high) DIV 2 + 1 AS INT), 'high', s.high),
             named_struct('low', s.low, 'high', CAST((s.low + s.high) DIV 2 AS INT)))),
-          s -> s.low), 0)"""
+          s -> s.low)"""
     )
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(number)
-    ranged = docs.withColumn("bounds", bounds).withColumn("part", number).drop("bounds")
+    number = F.when(F.col("doc_id").isNull(), 0).otherwise(number + 1)
+    ranged = docs.withColumns({"bounds": bounds, "bits": F.array(*map(F.lit, bits))}).withColumn("range", number)
+    ranged = ranged.withColumn("bits", F.get("bits", F.col("range")))
+    # Hashes in their order: the highest bits, from 0.
+    inner = F.expr("IF(bits = 0, 0, CAST(shiftright(text_key, 64 - bits) AS INT) + shiftleft(1, bits - 1))")
+    part = F.col("range") * (1 << MOST_BITS) + inner
+    ranged = ranged.withColumn("part", part.cast("int")).drop("bounds", "bits", "range")
     order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "text_key")
     firsts = ranged.groupBy("part").agg(F.min(order).alias("first")).orderBy("part").collect()
     before = [firsts[k - 1].part for k in range(len(firsts))]

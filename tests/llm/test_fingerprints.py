@@ -4,12 +4,24 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from skyledger.llm import fingerprints as op
 
 
+def pieces(text):
+    """From a character that is no space and no end of a sentence up to the next end of a sentence or line."""
+    found, held = [], ""
+    for char in text + "\n":
+        if char in ".!?\n":
+            found, held = found + [held] * bool(held), ""
+        elif held or char not in " \t\r\x0b\x0c":
+            held += char
+    return found
+
+
 def brute_likeness(a, b):
-    a, b = (Counter(op._PIECES(t.encode())) for t in (a, b))
+    a, b = (Counter(pieces(t)) for t in (a, b))
     total = sum(a.values()) + sum(b.values())
     return 1 - sum(((a - b) + (b - a)).values()) / total if total else 1.0
 
@@ -67,4 +79,48 @@ def test_peeling_recovers_the_differences():
         assert near == pytest.approx(1 - (extra + extra // 2) / (len(a) + len(b)))
         wide = np.array([4 * extra + 4])
         held = op.sketch_all([a], wide).minus(op.sketch_all([b], wide))
-        assert held.peel()[0] == extra + extra // 2
+        peeled = held.peel()
+        assert peeled.counts[0] == extra + extra // 2
+        only_a, only_b = peeled.of(0)
+        assert set(only_a.tolist()) == set(a.tolist()) - set(b.tolist()) and set(only_b.tolist()) == set(b.tolist()) - set(a.tolist())
+
+
+def named(text):
+    """Digest of each paragraph with how often it stood before."""
+    seen, names = Counter(), {}
+    for piece in pieces(text):
+        names[f"{xxhash.xxh64_intdigest(piece.encode(), seen[piece]):016x}"] = piece
+        seen[piece] += 1
+    return names
+
+
+def test_changed_paragraphs_equal_brute_force(spark):
+    texts = [text or "" for text in corpus(120, 4)]
+    rnd = random.Random(1)
+    rows = [(k, old, rnd.choice([old, old + " One more. And more!", rnd.choice(texts), "\n".join(old.split("\n")[1:])])) for k, old in enumerate(texts)]
+    rows += [(None, None, None), (7, None, "a. b"), (7, "a. b", None)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, old_text string, new_text string, near string")
+    got = Counter((r.doc_id, tuple(r.only_old), tuple(r.only_new), round(r.near, 9)) for r in op.changed_paragraphs(frame.repartition(3)).collect())
+    want = Counter()
+    for doc_id, old, new in rows:
+        a, b = named(old or ""), named(new or "")
+        near = brute_likeness(old or "", new or "")
+        want[doc_id, tuple(sorted(set(a) - set(b))), tuple(sorted(set(b) - set(a))), round(near, 9)] += 1
+    assert got == want and op.changed_paragraphs(frame.limit(0)).count() == 0
+
+
+def test_hot_ids_are_cut_by_their_texts(spark, monkeypatch):
+    """A third of the rows has one id and a third none; their order is that of the hash of the text."""
+    rnd = random.Random(2)
+    texts = [f"{rnd.random()}. common piece\nother piece {k % 7}" for k in range(900)]
+    rows = [(None if k % 3 == 0 else 77 if k % 3 == 1 else k, text) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keyed = docs.select("doc_id", "text", op.F.xxhash64("text").alias("text_key"))
+    parts = op._ranges(keyed).where("not tail").groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 200 and len(parts) > 10
+    ordered = sorted(((r.doc_id is not None, r.doc_id or 0, r.text_key, r.text) for r in keyed.collect()))
+    want = Counter()
+    for k, (named, doc_id, _, text) in enumerate(ordered):
+        want[doc_id if named else None, len(text), round(brute_likeness(text, ordered[(k + 1) % len(ordered)][3]), 9)] += 1
+    got = Counter((r.doc_id, r.n_chars, round(r.near_next, 9)) for r in op.fingerprint_documents(docs).collect())
+    assert got == want
