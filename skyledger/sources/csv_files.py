@@ -280,8 +280,8 @@ def escape_line_breaks(text: Column) -> Column:
 def restore_line_breaks(text: Column) -> Column:
     """What `escape_line_breaks` was given. Every backslash in its result starts one of the three
     pairs; backslashes come back last, so that none of them starts a pair anew."""
-    text = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-    return F.replace(text, F.lit("\\s"), F.lit("\\"))
+    breaks = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.when(text.contains("\\"), F.replace(breaks, F.lit("\\s"), F.lit("\\"))).otherwise(text)
 
 
 def write_csv(readings: DataFrame, path: str, line_breaks: str = "escape") -> None:
