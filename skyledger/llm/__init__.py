@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package.
 
-Functions that run in tasks are shipped by value, so executors need numpy, pyarrow and xxhash but
-not this package.
+Functions that run in tasks are shipped by value, so executors need not this package but numpy, pyarrow
+and xxhash, and for the tokenizers pyahocorasick and tiktoken.
 """
 
 from __future__ import annotations

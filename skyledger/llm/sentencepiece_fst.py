@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a model and composed with each input as far as the input
-reaches: the normaliser (spaces become the mark, one is put in front), the pieces (a trie; a path
-through it costs the negative score) and byte fallback (a character in no piece becomes its UTF-8
-bytes). The shortest path in the tropical semiring gives the pieces.
+A model stands for three transducers: the normaliser (spaces become the mark, one is put in front),
+the pieces (a path costs the negative score) and byte fallback (a character in no piece becomes its
+UTF-8 bytes). Their composition with an input is built by hand, as the lattice of the pieces that occur
+in the normalised word: an automaton of all pieces finds its arcs, and a character that no piece covers
+adds its byte arcs. The shortest path in the tropical semiring gives the pieces.
 
 A byte-pair model is more than its scores: it merges. Its transducer is therefore composed with a
 filter over neighbouring pieces, which lets b follow a only if merging the string ab gives back a, b.
