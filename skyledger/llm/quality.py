@@ -6,8 +6,9 @@ labellers, whatever its size) estimates how each labeller votes on good and on b
 posterior of each pattern then labels a bounded sample of documents, chosen by a hash, on which a
 hashed linear scorer is trained; the scorer judges every document.
 
-Cases: null, empty and wordless texts get no votes and the score one half, which keeps them; with no documents there is nothing to fit and every score is one half, which
-keeps. Repeated rows count as often as they stand. Other columns are ignored.
+Cases: null, empty and wordless texts get no votes and the score one half, which keeps them; with no
+documents there is nothing to fit and every score is one half. Repeated rows count as often as they
+stand. Other columns are ignored.
 """
 
 from __future__ import annotations
