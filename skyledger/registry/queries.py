@@ -584,13 +584,13 @@ def city_leaderboard(spark, folder):
 
 @query
 def city_leaderboard_of_pieces(spark, folder):
-    """One raw file per city and no city inside: the city is that of the file. Equal rows of two
-    files are copies, and count for the first city by name."""
+    """One raw piece per city, from one write, and no city inside: the city is that of the piece. Equal
+    rows of two pieces are copies, and count for the first city by name."""
     root = scratch_folder(spark, "per-city")
-    text = inputs.text_readings(spark, folder).where("city is not null")
-    for row in text.select("city").distinct().orderBy("city").collect():
-        name = row.city.replace(" ", "-")
-        csv_files.write_csv(text.where(F.col("city") == row.city).drop("city"), f"{root}/{name}_complete_data.csv")
+    text = inputs.text_readings(spark, folder).where("city <> 'N/A'")
+    piece = F.concat(F.replace("city", F.lit(" "), F.lit("-")), F.lit("_complete_data.csv"))
+    pieces = text.withColumn("piece", piece).drop("city").write.partitionBy("piece")
+    pieces.option("header", True).option("escape", '"').csv(root)
     raw = csv_files.read_training(spark, root, city_of_file=True)
     return analytics.city_leaderboard(cleaning.clean_readings(raw)).withColumn("mean_aqi", F.round("mean_aqi", 9))
 

@@ -34,7 +34,8 @@ SHORT = "_short"
 BAD_LABEL = "_bad_label"
 TRACE = [MALFORMED, SHORT, BAD_LABEL]
 CITY_OF_FILE = "_city"
-_PIECE_OF_CITY = r"([^/]+)_complete_data\.csv(?:/[^/]*)?$"
+# A piece is a file, or a folder, also one that a partitioned write named ``column=value``.
+_PIECE_OF_CITY = r"(?:[^/=%]+(?:=|%3D))?([^/]+)_complete_data\.csv(?:/[^/]*)?$"
 
 
 def _csv_options(spark: SparkSession, strict: bool, multi_line: bool, headed: bool):

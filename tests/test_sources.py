@@ -225,3 +225,12 @@ def test_line_breaks_can_be_refused(spark, tmp_path):
 def test_backslashes_of_other_writers_stay(spark, tmp_path):
     path = _write(tmp_path / "a.csv", "city,main_aqi\nC:\\new\\road\\s,1\n")
     assert csv_files.read_csv(spark, path).first().city == "C:\\new\\road\\s"
+
+
+def test_the_city_of_a_piece_that_a_partitioned_write_made(spark, tmp_path):
+    rows = [(1, "Dera-G_complete_data.csv"), (2, "Lahore_complete_data.csv"), (3, "Lahore_complete_data.csv")]
+    frame = spark.createDataFrame(rows, "main_aqi int, piece string")
+    frame.write.partitionBy("piece").option("header", True).csv(f"{tmp_path}/pieces")
+    _write(tmp_path / "pieces" / "Quetta_complete_data.csv", "main_aqi\n4\n")
+    read = csv_files.read_training(spark, f"{tmp_path}/pieces", city_of_file=True)
+    assert sorted((r.main_aqi, r._city) for r in read.collect()) == [(1, "Dera-G"), (2, "Lahore"), (3, "Lahore"), (4, "Quetta")]
