@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import bands, numbers
 from skyledger.functions.timestamps import month_label, parse_mixed_timestamp
+from skyledger.schema import MEASURES
+from skyledger.session import tune
+from skyledger.sources import csv_files
 
 
 def _column(spark, values, kind, expression):
@@ -216,3 +219,23 @@ def test_numbers_with_letters_or_beyond_range_are_missing(spark):
     got = rows.select(numbers.to_measure(F.col("text")).alias("a"), numbers.to_whole_number(F.col("text")).alias("b")).collect()
     assert [row.a for row in got] == [None, None, None, 3.5, -5.0, None, None]
     assert [row.b for row in got] == [None, None, None, None, -5, None, None]
+
+
+def test_each_text_is_taken_apart_once(spark):
+    raw = spark.range(1).select(*[F.col("id").cast("string").alias(name) for name in ("main_aqi", *MEASURES)])
+    plan = csv_files.typed_readings(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 + len(MEASURES)
+
+
+def test_numbers_at_the_edge(spark):
+    texts = ["3.0", "-0.0", "3.7", "1e400", "-1e400", "1.5d", " 7 ", "3e9", "0x1p3", "", None]
+    raw = spark.createDataFrame([(t, t) for t in texts], "main_aqi string, components_co string")
+    got = [tuple(row) for row in csv_files.typed_readings(raw).collect()]
+    assert got == [
+        (3, 3.0), (0, -0.0), (None, 3.7), (None, None), (None, None), (None, None), (7, 7.0), (None, 3e9),
+        (None, None), (None, None), (None, None),
+    ]
+
+
+def test_no_stage_has_a_method_that_the_jvm_leaves_uncompiled(spark):
+    assert tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
