@@ -14,11 +14,16 @@ from .features import VECTOR
 NUM_TREES = 15
 MAX_DEPTH = 5
 SEED = 42
+# What Spark takes for classes at most where a label does not say how many there are.
+MOST_CLASSES = 100
 
 
 # Copies of one row that may share a partition.
 COPIES_PER_CHUNK = 10_000
 
+# Rows of a partition on the average: about 50 MB of what a fit keeps of them.
+ROWS_PER_PARTITION = 200_000
+
 
 # How many rows of the input a counted row stands for, and as how many rows it is fitted at most.
 WEIGHT = "__copies"
@@ -40,13 +45,19 @@ def in_pieces(counted: DataFrame, most: int) -> DataFrame:
     return counted.select(VECTOR, LABEL, weight, piece).drop("__piece")
 
 
+def partitions_for(n_rows: int, least: int) -> int:
+    """Partitions for so many rows: they grow with the table, so that no task does."""
+    return max(least, -(-n_rows // ROWS_PER_PARTITION))
+
+
 def in_repeatable_order(features: DataFrame, partitions: int) -> DataFrame:
     """Spread rows by their content and order them inside each partition.
 
     The forest draws its samples per partition, so a seed repeats a model only where rows fall
     into the same partitions in the same order. Equal rows are counted before the shuffle and
     spread in chunks after it, so that many copies of one vector do not fill one partition. Counted
-    rows fall where the rows that they stand for would; as they are few, one chunk holds them.
+    rows fall where the rows that they stand for would; as they are few, one chunk holds them. The order
+    is that of a hash of the content, which sorts as plain numbers; values decide where hashes are equal.
     """
     values = vector_to_array(F.col(VECTOR))
     weighted = WEIGHT in features.columns
@@ -54,12 +65,10 @@ def in_repeatable_order(features: DataFrame, partitions: int) -> DataFrame:
     last_chunk = F.lit(0).cast("long") if weighted else F.floor((F.col(WEIGHT) - 1) / COPIES_PER_CHUNK)
     chunks = counted.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("__chunk")
-    )
-    placed = chunks.repartition(
-        partitions, F.xxhash64(values, F.col(LABEL), F.col("__chunk"))
-    ).sortWithinPartitions(values, LABEL, "__chunk")
+    ).withColumn("__place", F.xxhash64(values, F.col(LABEL), F.col("__chunk")))
+    placed = chunks.repartition(partitions, "__place").sortWithinPartitions("__place", values, LABEL, "__chunk")
     if weighted:
-        return placed.drop("__chunk")
+        return placed.drop("__chunk", "__place")
     in_chunk = F.least(
         F.lit(COPIES_PER_CHUNK).cast("long"),
         F.col(WEIGHT) - F.col("__chunk") * COPIES_PER_CHUNK,
@@ -80,6 +89,9 @@ def fit_forest(
 ) -> RandomForestClassificationModel:
     """Train on vectors and labels; labels 1 to 5 give six classes, as class 0 counts too.
 
+    ``repeatable_partitions`` is the least number of partitions; a large table is spread over more
+    (`partitions_for`), which its number of rows alone decides.
+
     Fitting reads its input a few times (classes, split points, sampled rows) and then works on
     its own compact copy of the rows. Give it a written feature table: reading that again is
     cheaper than a second cached copy, and survives the loss of an executor.
@@ -90,11 +102,17 @@ def fit_forest(
     weight. Weights count in split points, impurities and votes. There the trees differ from those on
     all rows, as they do between seeds: a bootstrap draws ``pieces`` times, not once per copy.
     """
-    if repeatable_partitions:
-        features = in_repeatable_order(features, repeatable_partitions)
     weighted = WEIGHT in features.columns
+    rows = F.sum(WEIGHT) if weighted else F.count("*")
+    known = features.agg(F.max(F.col(LABEL).cast("double")).alias("top"), rows.alias("n_rows")).first()
+    if repeatable_partitions:
+        features = in_repeatable_order(features, partitions_for(known.n_rows or 0, repeatable_partitions))
     training = in_pieces(features, pieces) if weighted else features
-    training = training.withColumn(LABEL, F.col(LABEL).cast("double"))
+    # With the number of classes at the label, the classifier does not look for it through all that
+    # was spread and sorted. A label that is no class is left for it to refuse.
+    plain = known.top is not None and 0 <= known.top < MOST_CLASSES and known.top == int(known.top)
+    classes = {"ml_attr": {"type": "nominal", "num_vals": int(known.top) + 1}} if plain else {}
+    training = training.withColumn(LABEL, F.col(LABEL).cast("double").alias(LABEL, metadata=classes))
     training = training.select(VECTOR, LABEL, *([WEIGHT] if weighted else []))
     classifier = RandomForestClassifier(
         labelCol=LABEL,

@@ -106,6 +106,11 @@ def _forest_path(application: str, folder: str) -> str:
     return f"{root}/model"
 
 
+def training_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of a folder's training split, as its forest was trained on."""
+    return read_features(spark, _forest_path(spark.sparkContext.applicationId, folder).removesuffix("model") + "features")
+
+
 def forest(spark: SparkSession, folder: str) -> RandomForestClassificationModel:
     """The forest of a folder's training split; trained once per application, then loaded."""
     return load_model(spark, _forest_path(spark.sparkContext.applicationId, folder))

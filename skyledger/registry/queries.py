@@ -669,11 +669,12 @@ def rollup_dashboard(spark, folder):
 def forest_fit(spark, folder):
     """Importances of the forest, and whether fits of rows laid out in two ways give equal trees."""
     model = inputs.forest(spark, folder)
-    vectors = features.assemble(train_split(inputs.clean(spark, folder)))
+    vectors = inputs.training_vectors(spark, folder)
+    times = forest.partitions_for(vectors.count(), 1)
     layouts = []
     for n in (3, 7):
         path = scratch_folder(spark, "layout")
-        tables.write_features(vectors.repartition(n), path)
+        tables.write_features(vectors.repartition(n * times), path)
         fitted = forest.fit_forest(
             tables.read_features(spark, path), num_trees=3, repeatable_partitions=inputs.FIT_PARTITIONS
         )

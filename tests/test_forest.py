@@ -110,3 +110,26 @@ def test_many_copies_are_fitted_as_few_weighted_rows(spark, small, training):
     weighted = forest.fit_forest(counted, repeatable_partitions=4)
     test = inputs.test_vectors(spark, small)
     assert forest.evaluate(forest.predict(weighted, test)).first().accuracy > 0.75
+
+
+def test_partitions_grow_with_the_table_and_the_fit_still_repeats(training, monkeypatch):
+    monkeypatch.setattr(forest, "ROWS_PER_PARTITION", 300)
+    used = []
+    placed = forest.in_repeatable_order
+    monkeypatch.setattr(forest, "in_repeatable_order", lambda rows, n: used.append(n) or placed(rows, n))
+    fits = [
+        forest.fit_forest(frame, num_trees=2, repeatable_partitions=4)
+        for frame in (training, training.repartition(7), forest.counted_rows(training))
+    ]
+    assert used == [-(-training.count() // 300)] * 3 and used[0] > 4
+    assert _trees(fits[0]) == _trees(fits[1]) == _trees(fits[2])
+
+
+def test_the_order_compares_numbers_before_values(training):
+    plan = forest.in_repeatable_order(training, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [__place" in plan
+
+
+def test_a_label_that_is_no_class_is_refused(training):
+    with pytest.raises(Exception, match="(?i)label"):
+        forest.fit_forest(training.withColumn("main_aqi", F.lit(2.5)), num_trees=1)
