@@ -65,14 +65,14 @@ def _unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of a load whose digest the table does not hold.
 
     Equal raw rows have equal dates, so only the months of the load are looked at. Of those, first the
-    digests that the load also has are found; where the load is small nothing of the table is
-    shuffled. What is found is no more than the load.
+    digests that a small load also has are found, so that nothing of the table is shuffled. What is
+    found is no more than the load. A larger load meets the table's digests in one join.
     """
-    digests = rows.select(DIGEST)
-    small = rows.count() * 48 <= SMALL_LOAD
     known = known.where(_of_months(rows)).select(DIGEST)
-    found = known.join(F.broadcast(digests) if small else digests, DIGEST, "left_semi")
-    return rows.join(F.broadcast(found) if small else found, DIGEST, "left_anti")
+    if rows.count() * 48 > SMALL_LOAD:
+        return rows.join(known, DIGEST, "left_anti")
+    found = known.join(F.broadcast(rows.select(DIGEST)), DIGEST, "left_semi")
+    return rows.join(F.broadcast(found), DIGEST, "left_anti")
 
 
 def add_load(spark: SparkSession, root: str, load: str, raw: DataFrame) -> bool:
@@ -85,7 +85,8 @@ def add_load(spark: SparkSession, root: str, load: str, raw: DataFrame) -> bool:
     if is_loaded(commits(spark, root), load):
         return False
     labelled = drop_unlabelled(drop_malformed(raw))
-    unique = drop_copies(labelled.withColumn(DIGEST, row_digest(labelled)))
+    # Digests are made after the shuffle that removes copies: there are fewer, and they do not compress.
+    unique = drop_copies(labelled).withColumn(DIGEST, row_digest(labelled))
     clean = add_date_parts(drop_undated(parse_datetime(unique)))
     staged = new_folder(root, "staged")
     clean.write.parquet(staged)

@@ -120,11 +120,17 @@ def test_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return assemble(test_split(clean(spark, folder)), keep=KEYS)
 
 
+def stored(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once and read from there, where several passes start from them."""
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @cache
 def _loads_path(application: str, folder: str) -> str:
     spark = SparkSession.active()
     root = scratch_folder(spark, "loads")
-    raw = typed_readings(text_readings(spark, folder))
+    raw = stored(spark, typed_readings(text_readings(spark, folder)), f"{root}/raw")
     line = F.col("line_no").cast("int")
     assert add_load(spark, root, "first", raw.where(line <= 3))
     assert add_load(spark, root, "mistaken", raw.where(line >= 6))

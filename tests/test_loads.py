@@ -139,3 +139,20 @@ def test_jobs(spark, tmp_path, capsys, monkeypatch):
     assert capsys.readouterr().out.split("\n")[:2] == ["added", "there already"]
     main(["dashboard", "--loads", f"{tmp_path}/table", "--output", f"{tmp_path}/board"])
     assert spark.read.json(f"{tmp_path}/board").first().overall_index == 80.0
+
+
+def test_a_large_load_meets_the_table_in_one_join(spark, monkeypatch):
+    monkeypatch.setattr(loads, "SMALL_LOAD", 0)
+    rows = spark.createDataFrame([(2021, 8, bytearray([place])) for place in range(4)], f"year int, month int, {loads.DIGEST} binary")
+    left = loads._unknown(rows, rows.where(F.col(loads.DIGEST) < F.lit(bytearray([2]))))
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted(row[loads.DIGEST][0] for row in left.collect()) == [2, 3]
+
+
+def test_digests_are_made_after_copies_are_gone(spark, tmp_path, monkeypatch):
+    seen = []
+    drop = loads.drop_copies
+    monkeypatch.setattr(loads, "drop_copies", lambda rows: seen.append(rows.columns) or drop(rows))
+    assert loads.add_load(spark, str(tmp_path / "table"), "a", _frame(spark, _raw(30, 5)))
+    assert loads.DIGEST not in seen[0]
+    assert loads.DIGEST in log.read_rows(spark, str(tmp_path / "table"), log.commits(spark, str(tmp_path / "table"))).columns
