@@ -481,7 +481,8 @@ def cleaning_report(spark, folder):
 
 @query
 def cleaning_report_after_write(spark, folder):
-    raw = csv_files.typed_readings(inputs.text_readings(spark, folder))
+    text = csv_files.typed_readings(inputs.text_readings(spark, folder))
+    raw = inputs.stored(spark, text, scratch_folder(spark, "raw"))
     path = scratch_folder(spark, "reported")
     tables.write_readings(cleaning.clean_readings(raw), path)
     return cleaning.cleaning_report_after_write(raw, tables.read_readings(spark, path))
