@@ -35,7 +35,8 @@ BAD_LABEL = "_bad_label"
 TRACE = [MALFORMED, SHORT, BAD_LABEL]
 CITY_OF_FILE = "_city"
 # A piece is a file, or a folder, also one that a partitioned write named ``column=value``.
-_PIECE_OF_CITY = r"(?:[^/=%]+(?:=|%3D))?([^/]+)_complete_data\.csv(?:/[^/]*)?$"
+# It starts a name of the path, so that the pattern is not tried at every letter.
+_PIECE_OF_CITY = r"(?:^|/)(?:[^/=%]+(?:=|%3D))?([^/]+)_complete_data\.csv(?:/[^/]*)?$"
 
 
 def _csv_options(spark: SparkSession, strict: bool, multi_line: bool, headed: bool):
@@ -207,7 +208,7 @@ def read_csv(
         texts = [name for name in names if name not in (*MEASURES, *_WHOLE_NUMBERS)] if escaped else []
         scans.append(_judged(scan).withColumns({name: restore_line_breaks(F.col(f"`{name}`")) for name in texts}))
     if city_of_file:
-        named = F.regexp_extract("_metadata.file_path", _PIECE_OF_CITY, 1)
+        named = F.regexp_extract(F.substring_index("_metadata.file_path", "/", -2), _PIECE_OF_CITY, 1)
         scans = [scan.withColumn(CITY_OF_FILE, F.nullif(F.url_decode(named), F.lit(""))) for scan in scans]
     whole = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
     if city_of_file and "city" in whole.columns:

@@ -239,3 +239,14 @@ def test_numbers_at_the_edge(spark):
 
 def test_no_stage_has_a_method_that_the_jvm_leaves_uncompiled(spark):
     assert tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_the_city_of_a_piece_is_looked_for_in_names_not_at_every_letter(spark):
+    paths = {
+        "file:/a/b=c/New%20York_complete_data.csv": "New%20York", "/x_complete_data.csv/part-0.csv": "x",
+        "/piece=AS-IA_complete_data.csv/part-0.csv": "AS-IA", "/piece%3DASIA_complete_data.csv": "ASIA",
+        "/a=b=c_complete_data.csv": "b=c", "/=x_complete_data.csv": "=x", "/other.csv": "", "/_complete_data.csv": "",
+    }
+    found = _column(spark, list(paths), "string", lambda path: F.regexp_extract(path, csv_files._PIECE_OF_CITY, 1))
+    assert found == list(paths.values())
+    assert csv_files._PIECE_OF_CITY.startswith("(?:^|/)")
