@@ -88,14 +88,19 @@ def add_load(spark: SparkSession, root: str, load: str, raw: DataFrame) -> bool:
     # Digests are made after the shuffle that removes copies: there are fewer, and they do not compress.
     unique = drop_copies(labelled).withColumn(DIGEST, row_digest(labelled))
     clean = add_date_parts(drop_undated(parse_datetime(unique)))
-    staged = new_folder(root, "staged")
-    clean.write.parquet(staged)
-    arrived = spark.read.schema(clean.schema).parquet(staged)
+    arrived = None
     for _ in range(_ATTEMPTS):
         known = commits(spark, root)
         if is_loaded(known, load):
             return False
-        fresh = _unknown(arrived, read_rows(spark, root, known)) if row_folders(known) else arrived
+        fresh = clean
+        if row_folders(known):
+            # Several passes compare the load with the table; into an empty one it goes as it is.
+            if arrived is None:
+                staged = new_folder(root, "staged")
+                clean.write.parquet(staged)
+                arrived = spark.read.schema(clean.schema).parquet(staged)
+            fresh = _unknown(arrived, read_rows(spark, root, known))
         rows, sums = new_folder(root, "rows"), new_folder(root, "sums")
         fresh.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(rows)
         new = Commit("add", load)

@@ -156,3 +156,12 @@ def test_digests_are_made_after_copies_are_gone(spark, tmp_path, monkeypatch):
     assert loads.add_load(spark, str(tmp_path / "table"), "a", _frame(spark, _raw(30, 5)))
     assert loads.DIGEST not in seen[0]
     assert loads.DIGEST in log.read_rows(spark, str(tmp_path / "table"), log.commits(spark, str(tmp_path / "table"))).columns
+
+
+def test_a_load_into_an_empty_table_is_written_once(spark, tmp_path):
+    root = str(tmp_path / "table")
+    assert loads.add_load(spark, root, "a", _frame(spark, _raw(30, 5)))
+    assert not (tmp_path / "table" / "staged").exists()
+    assert loads.add_load(spark, root, "b", _frame(spark, _raw(30, 6)))
+    assert len(list((tmp_path / "table" / "staged").iterdir())) == 1
+    _same_as_one_load(spark, root, [_raw(30, 5), _raw(30, 6)])
