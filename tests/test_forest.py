@@ -133,3 +133,13 @@ def test_the_order_compares_numbers_before_values(training):
 def test_a_label_that_is_no_class_is_refused(training):
     with pytest.raises(Exception, match="(?i)label"):
         forest.fit_forest(training.withColumn("main_aqi", F.lit(2.5)), num_trees=1)
+
+
+def test_rows_are_placed_once_for_all_passes_of_a_fit(training, monkeypatch):
+    plans = []
+    fit = forest.RandomForestClassifier.fit
+    seen = lambda self, rows: plans.append(rows._jdf.queryExecution().withCachedData().toString()) or fit(self, rows)
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", seen)
+    forest.fit_forest(training, num_trees=1, repeatable_partitions=4)
+    assert "InMemoryRelation" in plans[0]
+    assert training.sparkSession.sparkContext._jsc.getPersistentRDDs().isEmpty()
