@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..schema import LABEL
+from ..session import drop_shuffles
 from .features import VECTOR
 
 # Size of the forest and its seed.
@@ -22,6 +23,9 @@ MOST_CLASSES = 100
 # Copies of one row that may share a partition.
 COPIES_PER_CHUNK = 10_000
 
+# Rows are counted by so many buckets of their content to find those that may have more copies.
+BUCKETS = 65_536
+
 # Rows of a partition on the average: about 50 MB of what a fit keeps of them.
 ROWS_PER_PARTITION = 200_000
 
@@ -51,32 +55,54 @@ def partitions_for(n_rows: int, least: int) -> int:
     return max(least, -(-n_rows // ROWS_PER_PARTITION))
 
 
+def _crowded(features: DataFrame, content: Column) -> list[int]:
+    """The buckets of content with more rows than a chunk may have copies; no other holds a row with
+    more copies. They are counted in the tasks that read them, so little is shuffled."""
+    sizes = features.groupBy(content.alias("bucket")).agg(F.count("*").alias("n_rows"))
+    return sorted(row.bucket for row in sizes.where(F.col("n_rows") > COPIES_PER_CHUNK).collect())
+
+
+def _in_chunks(features: DataFrame) -> DataFrame:
+    """Rows with how many copies each stands for, in which chunk of its copies.
+
+    Where most rows are copies, all are counted, which leaves little to spread. Elsewhere a shuffle to count
+    them would be as large as the one that spreads them, so only rows of crowded buckets are counted: all
+    copies of another row are in its first chunk, and each goes as it is. Rows fall the same either way.
+    """
+    first, one = F.lit(0).cast("long").alias("__chunk"), F.lit(1).alias("__copies_here")
+    if WEIGHT in features.columns:
+        return features.select("*", first, one)
+    digest = F.xxhash64(vector_to_array(F.col(VECTOR)), F.col(LABEL))
+    seen = features.agg(F.count("*").alias("n_rows"), F.approx_count_distinct(digest).alias("n_different")).first()
+    counted, single = F.lit(True), F.lit(False)
+    if 2 * seen.n_different > seen.n_rows:
+        content = F.pmod(digest, F.lit(BUCKETS))
+        crowded = _crowded(features, content)
+        counted = content.isin(crowded) if crowded else F.lit(False)
+        single = ~counted
+    last_chunk = F.floor((F.col(WEIGHT) - 1) / COPIES_PER_CHUNK)
+    chunks = counted_rows(features.where(counted)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("__chunk"))
+    here = F.least(F.lit(COPIES_PER_CHUNK).cast("long"), F.col(WEIGHT) - F.col("__chunk") * COPIES_PER_CHUNK)
+    chunks = chunks.select(VECTOR, LABEL, "__chunk", here.cast("int").alias("__copies_here"))
+    return features.where(single).select(VECTOR, LABEL, first, one).unionByName(chunks)
+
+
 def in_repeatable_order(features: DataFrame, partitions: int) -> DataFrame:
     """Spread rows by their content and order them inside each partition.
 
     The forest draws its samples per partition, so a seed repeats a model only where rows fall
-    into the same partitions in the same order. Equal rows are counted before the shuffle and
+    into the same partitions in the same order. Rows with many copies are counted before the shuffle and
     spread in chunks after it, so that many copies of one vector do not fill one partition. Counted
     rows fall where the rows that they stand for would; as they are few, one chunk holds them. The order
     is that of a hash of the content, which sorts as plain numbers; values decide where hashes are equal.
     """
     values = vector_to_array(F.col(VECTOR))
-    weighted = WEIGHT in features.columns
-    counted = features if weighted else counted_rows(features)
-    last_chunk = F.lit(0).cast("long") if weighted else F.floor((F.col(WEIGHT) - 1) / COPIES_PER_CHUNK)
-    chunks = counted.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("__chunk")
-    ).withColumn("__place", F.xxhash64(values, F.col(LABEL), F.col("__chunk")))
+    chunks = _in_chunks(features).withColumn("__place", F.xxhash64(values, F.col(LABEL), F.col("__chunk")))
     placed = chunks.repartition(partitions, "__place").sortWithinPartitions("__place", values, LABEL, "__chunk")
-    if weighted:
-        return placed.drop("__chunk", "__place")
-    in_chunk = F.least(
-        F.lit(COPIES_PER_CHUNK).cast("long"),
-        F.col(WEIGHT) - F.col("__chunk") * COPIES_PER_CHUNK,
-    )
-    return placed.select(
-        VECTOR, LABEL, F.explode(F.array_repeat(F.lit(1), in_chunk.cast("int"))).alias("__copy")
-    ).drop("__copy")
+    if WEIGHT in features.columns:
+        return placed.drop("__chunk", "__place", "__copies_here")
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies_here"))).alias("__copy")
+    return placed.select(VECTOR, LABEL, copies).drop("__copy")
 
 
 def fit_forest(
@@ -96,7 +122,8 @@ def fit_forest(
     Fitting reads its input a few times (classes, split points, sampled rows) and then works on
     its own compact copy of the rows. Give it a written feature table: reading that again is
     cheaper than a second cached copy, and survives the loss of an executor. With
-    ``repeatable_partitions`` the rows as placed are kept on disk until the fit is done.
+    ``repeatable_partitions`` the rows as placed are kept on disk until the fit is done, and the shuffles
+    that placed them are gone before it starts.
 
     A table from `counted_rows` holds each different row once, and every pass reads it so. A row that
     stands for no more than ``pieces`` rows is fitted as those, so with ``repeatable_partitions`` the
@@ -112,6 +139,8 @@ def fit_forest(
         # The classifier starts from its input several times; each would spread and sort it again.
         placed = in_repeatable_order(features, partitions_for(known.n_rows or 0, repeatable_partitions))
         features = placed = placed.persist(StorageLevel.DISK_ONLY)
+        placed.count()
+        drop_shuffles(placed)
     training = in_pieces(features, pieces) if weighted else features
     # With the number of classes at the label, the classifier does not look for it through all that
     # was spread and sorted. A label that is no class is left for it to refuse.

@@ -53,7 +53,7 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
 
 def write_features(features: DataFrame, path: str) -> None:
     """Write the vector and label of each row."""
-    features.write.mode("overwrite").parquet(path)
+    features.write.mode("overwrite").parquet(path, compression="zstd")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import time
 
 import pytest
 from pyspark.sql import SparkSession
@@ -29,3 +30,31 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small():
     return SMALL
+
+
+@pytest.fixture(autouse=True)
+def nothing_cached(request):
+    """What a test caches is not there for the next one."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
+@pytest.fixture
+def shuffle_files(spark):
+    """Names of shuffle files on disk; with those of before, new ones that are still there after a while."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def found(before=None):
+        for _ in range(1 if before is None else 50):
+            names = {
+                name for root in manager.localDirs() for _, _, files in os.walk(str(root)) for name in files
+                if name.startswith("shuffle_")
+            }
+            left = names - (before or set())
+            if not left:
+                break
+            time.sleep(0.2)
+        return left
+
+    return found

@@ -143,3 +143,40 @@ def test_rows_are_placed_once_for_all_passes_of_a_fit(training, monkeypatch):
     forest.fit_forest(training, num_trees=1, repeatable_partitions=4)
     assert "InMemoryRelation" in plans[0]
     assert training.sparkSession.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def _many_and_few(spark):
+    """Different rows, of which a few stand more often than a chunk may have copies."""
+    rows = spark.range(300).select(F.array(F.col("id") * 0.5, F.lit(1.0)).alias("x"), (F.col("id") % 5).cast("int").alias("main_aqi"),
+                                   F.explode(F.array_repeat(F.lit(1), F.when(F.col("id") % 50 == 0, 8).otherwise(1))))
+    return rows.select(array_to_vector("x").alias("features"), "main_aqi")
+
+
+def _in_place(rows):
+    return [(row.p, row.main_aqi, tuple(row.features)) for row in rows.select("*", F.spark_partition_id().alias("p")).collect()]
+
+
+def test_rows_fall_the_same_whether_all_are_counted_or_only_crowded_ones(spark, monkeypatch):
+    monkeypatch.setattr(forest, "COPIES_PER_CHUNK", 3)
+    monkeypatch.setattr(forest, "BUCKETS", 1024)
+    rows = _many_and_few(spark)
+    some = _in_place(forest.in_repeatable_order(rows, 4))
+    found = []
+    monkeypatch.setattr(forest, "_crowded", lambda *_: found.append(1) or list(range(1024)))
+    every = _in_place(forest.in_repeatable_order(rows, 4))
+    assert found and some == every and len(some) == rows.count() == 342
+
+
+def test_rows_that_are_all_different_are_shuffled_once(spark):
+    rows = spark.range(2000).select(array_to_vector(F.array(F.col("id") * 0.5)).alias("features"), F.lit(1).alias("main_aqi"))
+    placed = forest.in_repeatable_order(rows, 4)
+    assert placed._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 0
+    assert len(set(_in_place(placed))) == 2000
+
+
+def test_no_shuffle_of_the_placing_is_left_when_the_fit_starts(training, monkeypatch, shuffle_files):
+    before, left = shuffle_files(), []
+    fit = forest.RandomForestClassifier.fit
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", lambda self, rows: left.append(shuffle_files(before)) or fit(self, rows))
+    forest.fit_forest(training, num_trees=1, repeatable_partitions=4)
+    assert left == [set()]
